@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from skein.functions.scratch import materialise, shared_dir, spread
 
-__all__ = ["WORD", "documents", "materialise", "mix64", "need", "read", "shared_dir", "split_words", "spread", "word_hash"]
+__all__ = ["ROW", "WORD", "documents", "materialise", "mix64", "need", "numbered", "read", "shared_dir", "split_words", "spread", "word_hash"]
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +32,15 @@ def need(df: DataFrame, **kinds: T.DataType) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()))
 
 
+#: A column that numbers rows; no table of the caller has it.
+ROW = "_skein_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` in the shared folder with a number for each row, the same at every reread."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def split_words(text: Column) -> Column:
     """The words of a text as an array, empty for null: one pass of built-in functions."""
     blank = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     ")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skein.llm import quality
+from skein.llm import mixing, quality
 
 QUERIES = {
+    "op2_entropy_mix": mixing.op2_entropy_mix,
     "op10_line_frequency": quality.op10_line_frequency,
 }
 
