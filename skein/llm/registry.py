@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing, quality
+from skein.llm import mixing, privacy, quality
 
 QUERIES = {
     "op2_entropy_mix": mixing.op2_entropy_mix,
+    "op4_information_sanitise": privacy.op4_information_sanitise,
     "op10_line_frequency": quality.op10_line_frequency,
 }
 
