@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing, privacy, quality
+from skein.llm import mixing, privacy, quality, sharding
 
 QUERIES = {
     "op2_entropy_mix": mixing.op2_entropy_mix,
     "op4_information_sanitise": privacy.op4_information_sanitise,
+    "op6_label_propagation": sharding.op6_label_propagation,
     "op10_line_frequency": quality.op10_line_frequency,
 }
 
