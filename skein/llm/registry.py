@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing, privacy, quality, sharding
+from skein.llm import mixing, privacy, quality, sharding, warc
 
 QUERIES = {
     "op2_entropy_mix": mixing.op2_entropy_mix,
     "op4_information_sanitise": privacy.op4_information_sanitise,
     "op6_label_propagation": sharding.op6_label_propagation,
+    "op8_merkle_audit": warc.op8_merkle_audit,
     "op10_line_frequency": quality.op10_line_frequency,
 }
 
 ORACLES = {
+    "op8_merkle_audit": warc.OP8_SQL,
     "op10_line_frequency": quality.OP10_SQL,
 }
