@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing, privacy, quality, sharding, warc
+from skein.llm import html, mixing, privacy, quality, sharding, warc
 
 QUERIES = {
+    "op1_template_text": html.op1_template_text,
     "op2_entropy_mix": mixing.op2_entropy_mix,
     "op4_information_sanitise": privacy.op4_information_sanitise,
     "op6_label_propagation": sharding.op6_label_propagation,
