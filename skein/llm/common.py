@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions.scratch import materialise, shared_dir, spread
 
-__all__ = ["ROW", "WORD", "documents", "materialise", "mix64", "need", "numbered", "read", "shared_dir", "split_words", "spread", "word_hash"]
+__all__ = ["ROW", "WORD", "WordMemo", "documents", "materialise", "mix64", "need", "numbered", "read", "shared_dir", "split_words", "spread", "word_hash"]
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,16 +59,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hash(memo: dict[str, int], words: list[str], room: int = 400_000) -> np.ndarray:
-    """A stable 64-bit hash of each word. ``memo`` speeds up repeats and is emptied when it is full."""
-    import xxhash
+class WordMemo(dict):
+    """The hashes of up to ``room`` words."""
+
+    def __init__(self, room: int = 400_000) -> None:
+        super().__init__()
+        self.room = room
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
 
-    if len(memo) > room:
+
+def word_hash(memo: WordMemo, words: list[str]) -> np.ndarray:
+    """A stable 64-bit hash of each word. ``memo`` speeds up repeats and is emptied when it is full."""
+    if len(memo) > memo.room:
         memo.clear()
-    out = []
-    for w in words:
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skein.llm import html, mixing, privacy, quality, sharding, toxicity, warc
+from skein.llm import decontaminate, html, mixing, privacy, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_template_text": html.op1_template_text,
     "op2_entropy_mix": mixing.op2_entropy_mix,
+    "op3_cgk_decontaminate": decontaminate.op3_cgk_decontaminate,
     "op4_information_sanitise": privacy.op4_information_sanitise,
     "op5_noisy_or_toxicity": toxicity.op5_noisy_or_toxicity,
     "op6_label_propagation": sharding.op6_label_propagation,
