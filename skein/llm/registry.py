@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import decontaminate, html, mixing, privacy, quality, sharding, toxicity, warc
+from skein.llm import decontaminate, html, mixing, privacy, quality, sharding, spans, toxicity, warc
 
 QUERIES = {
     "op1_template_text": html.op1_template_text,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_information_sanitise": privacy.op4_information_sanitise,
     "op5_noisy_or_toxicity": toxicity.op5_noisy_or_toxicity,
     "op6_label_propagation": sharding.op6_label_propagation,
+    "op7_sentence_spans": spans.op7_sentence_spans,
     "op8_merkle_audit": warc.op8_merkle_audit,
     "op10_line_frequency": quality.op10_line_frequency,
 }
