@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import decontaminate, html, mixing, privacy, quality, sharding, spans, toxicity, warc
+from skein.llm import decontaminate, html, mixing, neardup, privacy, quality, sharding, spans, toxicity, warc
 
 QUERIES = {
     "op1_template_text": html.op1_template_text,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_label_propagation": sharding.op6_label_propagation,
     "op7_sentence_spans": spans.op7_sentence_spans,
     "op8_merkle_audit": warc.op8_merkle_audit,
+    "op9_signature_join": neardup.op9_signature_join,
     "op10_line_frequency": quality.op10_line_frequency,
 }
 
