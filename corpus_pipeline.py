@@ -1,7 +1,59 @@
-"""The corpus pipeline; filled in below as its stages come."""
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Toxic documents go, one document of each group of near-duplicates stays, documents that hold benchmark passages go,
+the sources are mixed to their target weights, and the mix is dealt to shards.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skein.llm import decontaminate, mixing, neardup, sharding, toxicity
+from skein.llm.common import materialise, read
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the noisy-or model, trained on the labelled ones among them, doesn't reject."""
+    return toxicity.accepted(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return neardup.unique_documents(docs.select(*COLUMNS))
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.clean_documents(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.mixed_documents(docs.select(*COLUMNS))
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and slot, equal texts together where the quotas allow."""
+    return sharding.sharded(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("toxicity", keep_civil),
+    ("near_duplicates", keep_one_of_each),
+    ("decontamination", keep_clean),
+    ("mixing", mix_sources),
+    ("sharding", deal_shards),
+]
+
+#: Training and the LSH stages have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

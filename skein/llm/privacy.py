@@ -161,22 +161,23 @@ def disclosing_terms(found: DataFrame, words: DataFrame, n_docs: int, support: i
     where some term has the support.
     """
     near = found.select(F.inline("near"))
+    once = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
     entities = near.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = (
-        near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-        .where(F.col("n_both") >= support)
-    )
-    both = materialise(both, "accompanying")
-    spark = found.sparkSession
+    both = once.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    # the contexts that hold a term are a lower bound of the documents that do, and so bound its PMI from above
+    seen = near.groupBy("term", "context").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_seen"))
+    n = F.lit(float(n_docs))
+    information = F.log(n / F.col("n_entity"))
+    pmi = lambda held: F.log(F.col("n_both") * n / (F.col("n_entity") * F.col(held)))
+    both = both.join(entities, "entity").join(seen, "term").where((information > 0) & (pmi("n_seen") >= disclosure * information))
+    both = materialise(both.drop("n_seen"), "accompanying")
     if not both.limit(1).count():
-        return spark.createDataFrame([], "entity string, term string, pmi double, information double")
+        return found.sparkSession.createDataFrame([], "entity string, term string, pmi double, information double")
     terms = materialise(both.select("term").distinct(), "terms")
     held = materialise(words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term")), "term-documents")
-    pmi = F.log(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
-    information = F.log(F.lit(float(n_docs)) / F.col("n_entity"))
     return (
-        both.join(entities, "entity").join(held, "term").select("entity", "term", pmi.alias("pmi"), information.alias("information"))
-        .where((F.col("information") > 0) & (F.col("pmi") >= disclosure * F.col("information")))
+        both.join(held, "term").select("entity", "term", pmi("n_term").alias("pmi"), information.alias("information"))
+        .where(F.col("pmi") >= disclosure * F.col("information"))
     )
 
 
