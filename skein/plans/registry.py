@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans import graph  # noqa: F401
+from skein.plans import graph, network  # noqa: F401
 from skein.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
