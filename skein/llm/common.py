@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import types as T
 
 from skein.functions.scratch import materialise, shared_dir, spread
 
-__all__ = ["ROW", "WORD", "WordMemo", "documents", "materialise", "mix64", "need", "numbered", "read", "shared_dir", "split_words", "spread", "word_hash"]
+__all__ = ["ROW", "WORD", "WordMemo", "documents", "materialise", "mix64", "need", "numbered", "read", "shared_dir", "slices", "split_words", "spread", "word_hash"]
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +62,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """The batches in parts of few rows, so what a task makes of texts stays small whatever the session's batches hold."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.iloc[k : k + rows]
+
+
 class WordMemo(dict):
     """The hashes of up to ``room`` words."""
 
