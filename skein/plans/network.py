@@ -192,7 +192,7 @@ def _labelled(spark, d):
 @query(
     "rw14_auc",
     LABELLED_SQL + ", k AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY score) + (count(*) OVER (PARTITION BY grp, score) - 1) / 2.0 AS rk FROM r)"
-    " SELECT grp, CAST(sum(y) AS BIGINT) AS n_pos, CAST(count(*) - sum(y) AS BIGINT) AS n_neg, round((sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM k GROUP BY grp",
+    " SELECT grp, CAST(sum(y) AS BIGINT) AS n_pos, CAST(count(*) - sum(y) AS BIGINT) AS n_neg, round((sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auc FROM k GROUP BY grp",
 )
 def rw14(spark, d):
     return evaluate.auc(_labelled(spark, d), ["grp"]).withColumn("auc", F.round("auc", 6))
@@ -201,7 +201,7 @@ def rw14(spark, d):
 @query(
     "rw15_auc_summary",
     LABELLED_SQL + ", k AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY score) + (count(*) OVER (PARTITION BY grp, score) - 1) / 2.0 AS rk FROM r),"
-    " u AS (SELECT (sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc FROM k GROUP BY grp)"
+    " u AS (SELECT (sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc FROM k GROUP BY grp)"
     " SELECT round(avg(auc), 6) AS mean, round(median(auc), 6) AS median, round(quantile_cont(auc, 0.25), 6) AS q25, round(quantile_cont(auc, 0.75), 6) AS q75 FROM u",
 )
 def rw15(spark, d):
