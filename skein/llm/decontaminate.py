@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import WordMemo, documents, mix64, need, read, word_hash
+from skein.llm.common import WordMemo, documents, mix64, need, read, slices, word_hash
 
 #: Share of an item's words that may be edited, and the recall aimed at there.
 EDITS = 0.2
@@ -242,7 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, re
 
         def work(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             index, memo = shipped.value, WordMemo()
-            for rows in batches:
+            for rows in slices(batches):
                 found = []
                 for doc_id, text, hits in zip(rows["doc_id"], rows["text"], search(index, rows["text"].tolist(), memo), strict=True):
                     if hits:
@@ -264,7 +264,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS,
 
         def work(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             index, memo = shipped.value, WordMemo()
-            for rows in batches:
+            for rows in slices(batches):
                 yield rows[[not hits for hits in search(index, rows["text"].tolist(), memo)]]
 
         docs = docs.mapInPandas(work, docs.schema)

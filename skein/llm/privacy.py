@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import ROW, documents, materialise, need, numbered, split_words
+from skein.llm.common import ROW, documents, materialise, need, numbered, slices, split_words
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a mention that make its context.
@@ -139,7 +139,7 @@ def find_base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Base spans and contexts of every row. docs: uid, doc_id, text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in slices(batches):
             found = [base_spans(t) if t else [] for t in rows["text"]]
             near = [
                 [dict(zip(("entity", "context", "term", "start", "end"), x, strict=True)) for x in _contexts(t, s, window)] if s else []
@@ -223,7 +223,7 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCL
     schema = docs.schema
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in slices(batches):
             texts = []
             for t, kinds, starts, ends, terms in zip(*(rows[c] for c in ("text", "kinds", "starts", "ends", "terms")), strict=True):
                 if t is None:

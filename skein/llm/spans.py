@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import ROW, documents, materialise, numbered
+from skein.llm.common import ROW, documents, materialise, numbered, slices
 
 #: Sentences and words that a run has at least.
 RUN = 2
@@ -78,7 +78,7 @@ def document_runs(docs: DataFrame) -> DataFrame:
     """Sentences and runs of every row. docs: uid, doc_id, text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in slices(batches):
             found = [units(t) if t else [] for t in rows["text"]]
             yield pd.DataFrame({
                 "uid": rows["uid"], "doc_id": rows["doc_id"], "starts": [[u[0] for u in x] for x in found], "ends": [[u[1] for u in x] for x in found],
@@ -135,7 +135,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     schema = T.StructType(docs.schema.fields)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in slices(batches):
             texts = []
             for t, cuts in zip(part["text"], part["spans"], strict=True):
                 pos, out = 0, []

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import documents, materialise, read
+from skein.llm.common import documents, materialise, read, slices
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_ROWS = 6_000
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         weights = np.zeros(1 << BITS)
         weights[at] = values
         scorer = Scorer(weights, bias)
-        for rows in batches:
+        for rows in slices(batches):
             found = [scorer.document(t) if t else (0.0, np.zeros(0)) for t in rows["text"]]
             yield rows.assign(
                 _score=[min(1.0, max(0.0, s)) for s, _ in found], _sentences=np.array([len(p) for _, p in found], np.int32),
