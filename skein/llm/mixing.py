@@ -98,10 +98,10 @@ def _feed_back(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["words", "tie", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     whole = np.floor(rows["rate"].to_numpy() + 1e-9)
     part = np.maximum(rows["rate"].to_numpy() - whole, 0.0)
-    copies, owed = whole.astype(np.int64), 0.0
+    copies, owed = np.where(rows["words"] > 0, whole, 0).astype(np.int64), 0.0
     for k, (w, p) in enumerate(zip(rows["words"].tolist(), part.tolist(), strict=True)):
         owed += w * p
-        if p > 0 and owed >= w / 2:
+        if p > 0 and w > 0 and owed >= w / 2:
             copies[k] += 1
             owed -= w
     return rows.assign(copies=copies)[["uid", "copies"]]

@@ -188,8 +188,8 @@ def document_terms(docs: DataFrame) -> DataFrame:
 
 
 def personal_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """uid, doc_id and the base and term spans of each row of ``docs`` (doc_id, text, and uid if it is there)."""
-    uid = F.col("uid") if "uid" in docs.columns else F.monotonically_increasing_id().alias("uid")
+    """uid, doc_id and the base and term spans of each row of ``docs`` (doc_id, text)."""
+    uid = F.col(ROW).alias("uid") if ROW in docs.columns else F.monotonically_increasing_id().alias("uid")
     base = docs.select(uid, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialise(find_base(base), "personal")
     terms = disclosing_terms(found, document_terms(base), found.count(), support, disclosure)
@@ -219,7 +219,7 @@ def op4_information_sanitise(spark, sf_dir: str) -> DataFrame:
 def sanitised(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with values replaced by their kind and disclosing terms by their shape (``[Name]``, ``[number]``, ``[word]``)."""
     rows = numbered(docs)
-    spans = personal_spans(rows.withColumnRenamed(ROW, "uid"), support, disclosure).select(F.col("uid").alias(ROW), "kinds", "starts", "ends", "terms")
+    spans = personal_spans(rows, support, disclosure).select(F.col("uid").alias(ROW), "kinds", "starts", "ends", "terms")
     schema = docs.schema
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

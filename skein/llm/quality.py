@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import materialise, need, split_words
+from skein.llm.common import ROW, documents, materialise, need, numbered, split_words
 
 #: A line is furniture if more distinct texts of its host hold it than both limits allow.
 MIN_TEXTS = 20
@@ -43,13 +43,19 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
 
 
+def line_hash(line: Column) -> Column:
+    """The hash of a line in lower case, trimmed, with single spaces."""
+    return F.xxhash64(F.lower(F.array_join(split_words(line), " ")))
+
+
 def document_stats(docs: DataFrame) -> DataFrame:
     """Counts of the base rules and the hashed lines of each document: one narrow pass over the text.
 
     docs: doc_id, text, host. Out: uid, doc_id, host, text_hash, the counts, lines (array of line hash and words).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", "host", text.alias("text"))
+    uid = F.col(ROW).alias("uid") if ROW in docs.columns else F.monotonically_increasing_id().alias("uid")
+    docs = docs.select(uid, "doc_id", "host", text.alias("text"))
     docs = docs.withColumn("w", split_words(F.col("text")))
     docs = docs.withColumn(
         "line",
@@ -76,9 +82,8 @@ def document_stats(docs: DataFrame) -> DataFrame:
         ),
     )
     docs = docs.withColumn("starts", F.when(F.col("at").isNotNull(), _positions(F.col("at"))))
-    squeezed = lambda x: F.lower(F.array_join(split_words(x), " "))
     return docs.select(
-        F.monotonically_increasing_id().alias("uid"),
+        "uid",
         "doc_id",
         "host",
         F.xxhash64("text", F.length("text")).alias("text_hash"),
@@ -88,62 +93,69 @@ def document_stats(docs: DataFrame) -> DataFrame:
         (F.size("line") - F.size(F.array_distinct("line"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("starts")), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.transform(
-            "line", lambda x: F.struct(F.xxhash64(squeezed(x)).alias("h"), F.size(split_words(x)).alias("n"))
+            "line", lambda x: F.struct(line_hash(x).alias("h"), F.size(split_words(x)).alias("n"))
         ).alias("lines"),
     )
 
 
-def line_frequency_verdicts(
-    docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
-) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, ``host``) with base counts, removed words and the verdict.
+def furniture_lines(stats: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE) -> DataFrame:
+    """f_host, f_h: the lines above the limits. stats: from ``document_stats``, materialised.
 
-    Shuffles hashes only: (host, line, text) and (host, line) pre-aggregated, then the lines above the limit
-    join back. A hot host is spread over its lines; a hot line is a few partial counts.
+    Shuffles hashes only, (host, line, text) and (host, line) pre-aggregated. A hot host is spread over its lines; a
+    hot line is a few partial counts.
     """
-    base = need(docs, doc_id=T.LongType(), text=T.StringType(), **{host: T.StringType()}).withColumnRenamed(host, "host")
-    stats = materialise(document_stats(base), "line-stats")
-    lines = stats.select("uid", "host", "text_hash", F.inline("lines"))
+    lines = stats.select("host", "text_hash", F.inline("lines"))
     texts = stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
     held = (
         lines.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("held"))
         .where(F.col("held") > min_texts)
     )
     same_host = held["host"].eqNullSafe(texts["host"])
-    furniture = (
-        held.join(texts, same_host).where(F.col("held") > F.greatest(F.lit(float(min_texts)), F.col("texts") * max_share))
-        .select(held["host"].alias("f_host"), F.col("h").alias("f_h"))
-    )
-    furniture = materialise(furniture, "furniture")
+    above = held.join(texts, same_host).where(F.col("held") > F.greatest(F.lit(float(min_texts)), F.col("texts") * max_share))
+    return materialise(above.select(held["host"].alias("f_host"), F.col("h").alias("f_h")), "furniture")
+
+
+def _verdicts(stats: DataFrame, furniture: DataFrame, min_left: float) -> DataFrame:
+    lines = stats.select("uid", "host", F.inline("lines"))
     removed = (
         lines.join(furniture, (F.col("h") == F.col("f_h")) & F.col("host").eqNullSafe(F.col("f_host")))
         .groupBy("uid").agg(F.sum("n").cast("long").alias("removed"), F.count("*").cast("long").alias("removed_lines"))
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    gone = F.coalesce("removed", F.lit(0)).cast("long")
     return (
         stats.drop("lines").join(removed, "uid", "left")
         .withColumn("base_failed", failed)
-        .withColumn("removed_words", gone)
+        .withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
         .withColumn("removed_lines", F.coalesce("removed_lines", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") - F.col("removed_words")) >= min_left * F.col("n_words")))
     )
 
 
-def cleaned_texts(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
-    """doc_id and text without furniture lines, of the documents whose verdict is to keep them."""
-    base = need(docs, doc_id=T.LongType(), text=T.StringType(), **{host: T.StringType()})
-    verdicts = line_frequency_verdicts(base, host, **limits).where("kept").select("doc_id", "host").distinct()
-    lines = base.select("doc_id", F.col(host).alias("host"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.join(verdicts, ["doc_id"], "left_semi").groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text")
-    )
+def line_frequency_verdicts(
+    docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
+) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, ``host``) with base counts, removed words and the verdict."""
+    base = need(docs, doc_id=T.LongType(), text=T.StringType(), **{host: T.StringType()}).withColumnRenamed(host, "host")
+    stats = materialise(document_stats(base), "line-stats")
+    return _verdicts(stats, furniture_lines(stats, min_texts, max_share), min_left)
+
+
+def cleaned_texts(
+    docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
+) -> DataFrame:
+    """doc_id and text without furniture lines of the rows that are kept."""
+    rows = numbered(need(docs, doc_id=T.LongType(), text=T.StringType(), **{host: T.StringType()}).withColumnRenamed(host, "host"))
+    stats = materialise(document_stats(rows), "line-stats")
+    furniture = furniture_lines(stats, min_texts, max_share)
+    kept = _verdicts(stats, furniture, min_left).where("kept").select(F.col("uid").alias(ROW))
+    lines = rows.join(kept, ROW, "left_semi").select(ROW, "doc_id", "host", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("h", line_hash(F.col("line")))
+    left = lines.join(furniture, (F.col("h") == F.col("f_h")) & F.col("host").eqNullSafe(F.col("f_host")), "left_anti")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    return left.groupBy(ROW, "doc_id").agg(F.array_join(ordered, "\n").alias("text")).drop(ROW)
 
 
 def op10_line_frequency(spark, sf_dir: str) -> DataFrame:
     """The verdict on every document, under the production limits."""
-    from skein.llm.common import documents
-
     found = line_frequency_verdicts(documents(spark, sf_dir, "doc_id", "text", "source"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "removed_lines"

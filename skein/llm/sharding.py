@@ -147,8 +147,8 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """uid, doc_id, size, text_crc32, shard, slot of every row of ``docs`` (doc_id, text, and uid if it is there)."""
-    uid = F.col("uid") if "uid" in docs.columns else F.monotonically_increasing_id().alias("uid")
+    """uid, doc_id, size, text_crc32, shard, slot of every row of ``docs`` (doc_id, text)."""
+    uid = F.col(ROW).alias("uid") if ROW in docs.columns else F.monotonically_increasing_id().alias("uid")
     rows = materialise(_described(docs.select(uid, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "described")
     return rows.join(assign(rows.select("uid", "doc_id", "key"), shards, rounds), "uid")
 
@@ -165,5 +165,5 @@ def op6_label_propagation(spark, sf_dir: str) -> DataFrame:
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with its own columns and shard, slot."""
     rows = numbered(docs)
-    found = shard_documents(rows.withColumnRenamed(ROW, "uid"), shards).select(F.col("uid").alias(ROW), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    found = shard_documents(rows, shards).select(F.col("uid").alias(ROW), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     return rows.join(found, ROW).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_shard").cast("int").alias("shard"), F.col("_slot").cast("long").alias("slot"))

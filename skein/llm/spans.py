@@ -89,13 +89,13 @@ def document_runs(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, n_sentences, n_removed, spans (merged character ranges to remove) of every row of ``docs`` (doc_id, text, and uid if it is there).
+    """uid, doc_id, n_sentences, n_removed, spans (merged character ranges to remove) of every row of ``docs`` (doc_id, text).
 
     Runs of 20 bytes each are shuffled, not texts: once to find the first place of each repeated hash, once to find
     the others. A run that very many documents hold is one partial result a task in the first; in the
     second its rows only meet one row, and Spark may split them.
     """
-    uid = F.col("uid") if "uid" in docs.columns else F.monotonically_increasing_id().alias("uid")
+    uid = F.col(ROW).alias("uid") if ROW in docs.columns else F.monotonically_increasing_id().alias("uid")
     found = materialise(document_runs(docs.select(uid, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "runs")
     every = found.select("uid", "doc_id", F.posexplode("runs").alias("k", "run")).select("uid", "doc_id", "k", F.col("run.h").alias("h"), F.col("run.last").alias("last"))
     firsts = (
@@ -131,7 +131,7 @@ def op7_sentence_spans(spark, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated spans of their texts."""
     rows = numbered(docs)
-    spans = repeated_spans(rows.withColumnRenamed(ROW, "uid")).select(F.col("uid").alias(ROW), "spans")
+    spans = repeated_spans(rows).select(F.col("uid").alias(ROW), "spans")
     schema = T.StructType(docs.schema.fields)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
