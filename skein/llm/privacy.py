@@ -174,7 +174,8 @@ def disclosing_terms(found: DataFrame, words: DataFrame, n_docs: int, support: i
     if not both.limit(1).count():
         return found.sparkSession.createDataFrame([], "entity string, term string, pmi double, information double")
     terms = materialise(both.select("term").distinct(), "terms")
-    held = materialise(words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term")), "term-documents")
+    # counted before the join, in each task first, so the join sees a row a term and not one a document
+    held = materialise(words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term"), "term-documents")
     return (
         both.join(held, "term").select("entity", "term", pmi("n_term").alias("pmi"), information.alias("information"))
         .where(F.col("pmi") >= disclosure * F.col("information"))
