@@ -25,23 +25,24 @@ def auc(scored: DataFrame, by: list[str], score: str = "score", label: str = "la
 
 
 def roc(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """threshold, tpr, fpr of each group at every distinct score."""
+    """threshold, tpr, fpr of each group at every distinct score. The rate of a class that the group lacks is null."""
     y = F.coalesce(F.col(label).cast("int"), F.lit(0))
     at = scored.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
     upto = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of = Window.partitionBy(*by)
-    return at.select(*by, "threshold", (F.sum("p").over(upto) / F.sum("p").over(of)).alias("tpr"), (F.sum("q").over(upto) / F.sum("q").over(of)).alias("fpr"))
+    rate = lambda c: F.try_divide(F.sum(c).over(upto), F.sum(c).over(of))
+    return at.select(*by, "threshold", rate("p").alias("tpr"), rate("q").alias("fpr"))
 
 
 def delong(scored: DataFrame, by: list[str], first: str, second: str, label: str = "label") -> DataFrame:
-    """auc1, auc2, z, p of the difference of two scores' AUCs on the same rows, by placement values."""
+    """auc1, auc2, z, p of the difference of two scores' AUCs on the same rows, by placement values. Null if a class is absent."""
     y = F.coalesce(F.col(label).cast("int"), F.lit(0))
     of = Window.partitionBy(*by)
     base = scored.withColumn("_y", y).withColumn("_m", F.sum("_y").over(of)).withColumn("_n", F.count("*").over(of) - F.sum("_y").over(of))
     for k, s in ((1, first), (2, second)):
         base = base.withColumn(f"_all{k}", rank_average(s, by)).withColumn(f"_own{k}", rank_average(s, [*by, "_y"]))
         other = F.when(F.col("_y") == 1, F.col("_n")).otherwise(F.col("_m"))
-        share = (F.col(f"_all{k}") - F.col(f"_own{k}")) / other
+        share = F.try_divide(F.col(f"_all{k}") - F.col(f"_own{k}"), other)
         base = base.withColumn(f"_v{k}", F.when(F.col("_y") == 1, share).otherwise(1 - share))
     per = base.groupBy(*by, "_y").agg(F.count("*").alias("c"), F.avg("_v1").alias("a1"), F.avg("_v2").alias("a2"), F.var_samp("_v1").alias("s11"), F.var_samp("_v2").alias("s22"), F.covar_samp("_v1", "_v2").alias("s12"))
     var = F.sum((F.col("s11") + F.col("s22") - 2 * F.col("s12")) / F.col("c"))
