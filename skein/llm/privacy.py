@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import ROW, documents, materialise, need, numbered, slices, split_words
+from skein.llm.common import ROW, documents, materialise, numbered, slices, split_words
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a mention that make its context.
