@@ -326,6 +326,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.unique_documents(awkward(spark).limit(0)).count() == 0
 
 
+def test_unique_documents_without_unique_ids(spark):
+    rng = random.Random(16)
+    a, b, c, d, e = (prose(rng, 40) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, c), (9, c), (5, d), (5, e), (5, e), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in neardup.unique_documents(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (None, b), (7, c), (5, d), (5, e), (None, ""), (None, None)], key=repr)
+
+
 def test_components_of_chains(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 200), (200, 150)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
