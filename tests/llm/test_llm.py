@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.common import ROW
+from skein.llm.common import ROW, WordMemo
 from skein.llm import components, decontaminate, html, mixing, neardup, privacy, quality, sharding, spans, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -260,6 +260,40 @@ def test_repeated_sentence_runs(spark):
     assert out.count() == 6 and out.columns == awkward(spark).columns
 
 
+def run_places(text):
+    found = spans.units(text, WordMemo())
+    return {h: (found[i][0], found[j][1]) for h, i, j in spans.runs(found)}
+
+
+def test_passages_without_marks_at_every_offset():
+    rng = random.Random(14)
+    for trial in range(20):
+        passage = " ".join(f"p{rng.randrange(5000)}" for _ in range(60))
+        strange = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+        texts = [f"{strange(k)} {passage} {strange(30)}" for k in range(30)]
+        held = [run_places(t) for t in texts]
+        for t, h in zip(texts[1:], held[1:]):
+            both = [h[x] for x in set(h) & set(held[0])]
+            assert both
+            a, b = min(x for x, _ in both), max(x for _, x in both)
+            assert len(t[a:b].split()) >= 20 and t[a:b] in passage
+
+
+def test_the_last_sentences_of_a_passage_go(spark):
+    rng = random.Random(15)
+    passage = f"{prose(rng, 8).replace('.', '')} ends. " + " ".join(f"w{k}" for k in range(18)) + ". Three words here. Two more."
+    texts = [f"First {k} of all. {passage} {' '.join(f'z{k}{j}' for j in range(22))}." for k in range(2)]
+    left = {r.doc_id: r.text for r in spans.deduplicated(frame(spark, texts)).collect()}
+    assert left[0] == texts[0] and "Two more" not in left[1] and "First 1 of all." in left[1] and "z121." in left[1]
+
+
+def test_run_order():
+    rng = random.Random(17)
+    for _ in range(300):
+        found = spans.runs([(0, 0, rng.choice((1, 2, 3, 19, 24)), k) for k in range(rng.randrange(12))])
+        assert [x[2] for x in found] == sorted(x[2] for x in found) and [x[1] for x in found] == sorted(x[1] for x in found)
+
+
 # op8
 
 
