@@ -1,16 +1,19 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its elements, told apart by their path of tags and classes, and the text blocks outside any
-main container. Over the pages of one host a token has an occurrence vector: how often each page holds it. Tokens
+Tokens of a page are its elements, told apart by their path of tags and classes, and its text blocks. The pages of a host
+with a main container and those without one are two layouts. Over the pages of one layout a token has an occurrence
+vector: how often each page holds it. Tokens
 with one vector form an equivalence class. The vectors are never gathered: a token's vector is known by its
 sums of count * hash(page) under two hashes, which one aggregation makes for all hosts. Classes with enough
-members and pages whose members hang below one other class at most are valid and nest into the host's template;
-text in the template is furniture, the text in what remains, the slots, is data. Of the slots, those that serve
+members and pages whose elements hang below one other class at most are valid and nest into the layout's template, whose
+root is the class of what every page holds once; text in the template is furniture, inside main containers too, the
+text in what remains, the slots, is data. Of the slots, those that serve
 navigation, notices, adverts, forms, comments and the like are told by their element's names and by the share
-of their text inside links; where the template or the page has a main container, only its slots are the article.
+of their text inside links; where the page has a main container, only its slots are the article. A page whose
+main text is furniture throughout is one of copies, and keeps it.
 
-Cases. Null html: empty text. Null or odd url: such pages form a host of their own. A host with fewer than
-``MIN_PAGES`` pages has no template, and the names and the page's own links decide. Broken markup: open elements
+Cases. Null html: empty text. Null or odd url: such pages form a host of their own. A layout with fewer than
+``MIN_PAGES`` pages (``MAIN_PAGES`` with a main container) has no template, and the names and the page's own links decide. Broken markup: open elements
 end where HTML ends them, unclosed comments and scripts at the end of the page. Repeated rows: rows of their own.
 Very long pages are read whole. An empty table gives an empty result. Further columns are ignored.
 """
@@ -29,8 +32,10 @@ from pyspark.sql import types as T
 
 from skein.llm.common import materialise, need, read, slices, spread
 
-#: Pages of a host from which a template is deduced, and the share of them that a token must be on.
+#: Pages of a layout from which a template is deduced, and the share of them that a token must be on.
 MIN_PAGES = 3
+#: The same for pages with a main container: its name speaks for its text, so a few pages that repeat one don't make it furniture.
+MAIN_PAGES = 10
 MIN_SHARE = 0.1
 #: Members of a valid class.
 MIN_MEMBERS = 2
@@ -190,17 +195,22 @@ def parse(page: str, memo: dict) -> tuple[dict[int, int], dict[int, tuple[int, b
     return counts, about, blocks
 
 
+def holds_main(blocks: list[tuple[int, bool, bool, str, int]]) -> bool:
+    """Whether a page has text in a main container."""
+    return any(b[2] and not b[1] for b in blocks)
+
+
 def _text_token(path: int, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}|{text}".encode("utf-8", "surrogatepass"), 7) >> 1
 
 
 _TOKENS = (
-    "host string, token long, parent long, is_text boolean, apart boolean, main boolean, pages long, total long, sum1 decimal(38,0), sum2 decimal(38,0), chars long, linked long"
+    "host string, in_main boolean, token long, parent long, is_text boolean, apart boolean, main boolean, pages long, total long, sum1 decimal(38,0), sum2 decimal(38,0), chars long, linked long"
 )
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """Partial sums of the tokens of each host, one row for each batch, host and token. pages: key, host, html."""
+    """Partial sums of the tokens of each host and layout, one row for each batch and token. pages: key, host, html."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from decimal import Decimal
@@ -213,17 +223,18 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 h1, h2 = key & 0x7FFFFFFF, (key >> 31) & 0x7FFFFFFF
                 seen = {(p, False): [n, *about[p], 0, 0] for p, n in counts.items()}
                 seen[(0, False)] = [1, 0, False, False, 0, 0]  # the page itself
+                in_main = holds_main(blocks)
                 for path, apart, main, text, linked in blocks:
-                    if apart or main:
+                    if apart:
                         continue
                     slot = seen.get((path, False))
-                    if slot:
+                    if slot and not main:
                         slot[4] += len(text)
                         slot[5] += linked
                     t = seen.setdefault((_text_token(path, text), True), [0, path, apart, main, 0, 0])
                     t[0] += 1
                 for (token, is_text), (n, parent, apart, main, chars, linked) in seen.items():
-                    s = sums.setdefault((host, token, is_text), [parent, apart, main, 0, 0, 0, 0, 0, 0])
+                    s = sums.setdefault((host, in_main, token, is_text), [parent, apart, main, 0, 0, 0, 0, 0, 0])
                     s[3] += 1
                     s[4] += n
                     s[5] += n * h1
@@ -231,55 +242,59 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     s[7] += chars
                     s[8] += linked
             yield pd.DataFrame(
-                [(h, t, s[0], x, s[1], s[2], s[3], s[4], Decimal(s[5]), Decimal(s[6]), s[7], s[8]) for (h, t, x), s in sums.items()],
+                [(h, i, t, s[0], x, s[1], s[2], s[3], s[4], Decimal(s[5]), Decimal(s[6]), s[7], s[8]) for (h, i, t, x), s in sums.items()],
                 columns=[c.split()[0] for c in _TOKENS.split(", ")],
             )
 
     return pages.mapInPandas(work, _TOKENS)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_members: int = MIN_MEMBERS) -> DataFrame:
-    """One row a host with a template: t_host, pages, has_main, menus (slot paths), furniture (text tokens).
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_members: int = MIN_MEMBERS, main_pages: int = MAIN_PAGES) -> DataFrame:
+    """One row a host with a template: t_host, and for its layouts menus (slot paths; null without a template) and furniture (text tokens).
 
-    Only tokens on ``min_share`` of a host's pages are kept, so a host has at most 1 / min_share times the
-    tokens of a page, whatever the number of its pages.
+    menus and furniture are those of the pages without a main container, main_furniture that of those with one. Only
+    tokens on ``min_share`` of a layout's pages are kept, so a host has at most 2 / min_share times the tokens of
+    a page, whatever the number of its pages.
     """
+    layout = ["host", "in_main"]
     sums = (
-        page_tokens(pages).groupBy("host", "token", "is_text")
+        page_tokens(pages).groupBy(*layout, "token", "is_text")
         .agg(F.first("parent").alias("parent"), F.first("apart").alias("apart"), F.first("main").alias("main"),
              *(F.sum(c).alias(c) for c in ("pages", "total", "sum1", "sum2", "chars", "linked")))
+        .where("token = 0 or pages >= 2").withColumn("class", F.xxhash64("pages", "total", "sum1", "sum2"))
     )
     sums = materialise(sums, "tokens")
-    hosts = sums.where("token = 0").select("host", F.col("pages").alias("of")).where(F.col("of") >= min_pages)
-    often = sums.where("token <> 0").join(hosts, "host").where((F.col("pages") >= F.col("of") * min_share) & (F.col("pages") >= 2))
-    vector = F.xxhash64("pages", "total", "sum1", "sum2")
-    often = materialise(often.withColumn("class", vector), "frequent")
-    above = often.where("not is_text").select("host", F.col("token").alias("parent"), F.col("class").alias("above"))
+    hosts = sums.where("token = 0").select(*layout, F.col("pages").alias("of"), F.col("class").alias("root")).where(F.col("of") >= F.when(F.col("in_main"), main_pages).otherwise(min_pages))
+    often = materialise(sums.where("token <> 0").join(hosts, layout).where(F.col("pages") >= F.col("of") * min_share), "frequent")
+    above = often.where("not is_text").select(*layout, F.col("token").alias("parent"), F.col("class").alias("above"))
     classes = (
-        often.join(above, ["host", "parent"], "left").groupBy("host", "class")
+        often.join(above, [*layout, "parent"], "left").groupBy(*layout, "class", "root")
         .agg(F.count("*").alias("members"), F.count_if(~F.col("is_text")).alias("elements"),
-             F.count_distinct(F.when(F.col("above") != F.col("class"), F.col("above"))).alias("parents"))
+             F.count_distinct(F.when(~F.col("is_text") & (F.col("above") != F.col("class")), F.col("above"))).alias("parents"))
     )
-    valid = classes.where((F.col("members") >= min_members) & (F.col("elements") >= 1) & (F.col("parents") <= 1))
-    template = often.join(valid.select("host", "class"), ["host", "class"])
+    nested = (F.col("members") >= min_members) & (F.col("elements") >= 1) & (F.col("parents") <= 1)
+    valid = classes.where(nested | (F.col("class") == F.col("root")))
+    template = often.join(valid.select(*layout, "class"), [*layout, "class"])
     # an element that many pages hold but whose class is too small still is a slot's place
     places = often.where("not is_text and not apart")
     menus = F.collect_set(F.when((F.col("chars") > 0) & (F.col("linked") > LINK_SHARE * F.col("chars")), F.col("token")))
-    slots = places.groupBy("host").agg(menus.alias("menus"), F.coalesce(F.max(F.when(F.col("main"), F.col("pages") / F.col("of"))), F.lit(0.0)).alias("main_share"))
-    fixed = template.groupBy("host").agg(F.collect_set(F.when(F.col("is_text") & (F.col("pages") >= 0.5 * F.col("of")), F.col("token"))).alias("furniture"))
+    slots = places.where("not in_main").groupBy("host").agg(menus.alias("menus"))
+    fixed = template.where(F.col("is_text") & (F.col("pages") >= 0.5 * F.col("of"))).groupBy("host").agg(
+        F.collect_set(F.when(~F.col("in_main"), F.col("token"))).alias("furniture"), F.collect_set(F.when(F.col("in_main"), F.col("token"))).alias("main_furniture")
+    )
     return (
-        hosts.join(slots, "host", "left").join(fixed, "host", "left")
-        .select(F.col("host").alias("t_host"), F.col("of").alias("pages"), (F.coalesce("main_share", F.lit(0.0)) >= 0.5).alias("has_main"), "menus", "furniture")
+        hosts.groupBy("host").agg(F.bool_or(~F.col("in_main")).alias("plain")).join(slots, "host", "left").join(fixed, "host", "left")
+        .select(F.col("host").alias("t_host"), F.when(F.col("plain"), F.coalesce("menus", F.array().cast("array<long>"))).alias("menus"), "furniture", "main_furniture")
     )
 
 
-def extract(blocks: list[tuple[int, bool, bool, str, int]], has_main: bool, menus: set[int] | None, furniture: set[int]) -> str:
+def extract(blocks: list[tuple[int, bool, bool, str, int]], menus: set[int] | None, furniture: set[int], main_furniture: set[int]) -> str:
     """Text of a page's data slots."""
     data = [b for b in blocks if not b[1]]
-    if has_main or any(b[2] for b in data):
+    if holds_main(data):
         inside = [b for b in data if b[2]]
-        if inside or has_main:
-            return " ".join(b[3] for b in inside)
+        slots = [b for b in inside if _text_token(b[0], b[3]) not in main_furniture]
+        return " ".join(b[3] for b in slots or inside)
     if menus is None:
         chars: dict[int, list[int]] = {}
         for b in data:
@@ -287,7 +302,8 @@ def extract(blocks: list[tuple[int, bool, bool, str, int]], has_main: bool, menu
             c[0] += len(b[3])
             c[1] += b[4]
         menus = {p for p, (n, linked) in chars.items() if linked > LINK_SHARE * n}
-    return " ".join(b[3] for b in data if b[0] not in menus and _text_token(b[0], b[3]) not in furniture)
+    fixed = furniture | main_furniture  # what stands outside the container of one layout may stand in the other
+    return " ".join(b[3] for b in data if b[0] not in menus and _text_token(b[0], b[3]) not in fixed)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -303,16 +319,15 @@ def main_text(pages: DataFrame) -> DataFrame:
         memo: dict = {}
         for rows in slices(batches):
             texts = []
-            for page, has_main, menus, fixed in zip(rows["html"], rows["has_main"], rows["menus"], rows["furniture"], strict=True):
+            for page, menus, *fixed in zip(*(rows[c] for c in ("html", "menus", "furniture", "main_furniture")), strict=True):
                 if not page:
                     texts.append("")
                     continue
                 _, _, blocks = parse(page, memo)
-                known = has_main is not None and has_main == has_main
-                texts.append(extract(blocks, bool(known and has_main), set(menus) if known and menus is not None else None, set(fixed) if fixed is not None else set()))
+                texts.append(extract(blocks, set(menus) if menus is not None else None, *(set(f) if f is not None else set() for f in fixed)))
             yield pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return base.join(found, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "has_main", "menus", "furniture").mapInPandas(work, schema)
+    return base.join(found, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "menus", "furniture", "main_furniture").mapInPandas(work, schema)
 
 
 def op1_template_text(spark, sf_dir: str) -> DataFrame:

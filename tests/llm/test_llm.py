@@ -54,6 +54,29 @@ def test_templates_remove_furniture_without_a_main_container(spark):
     assert got == {k: f"Story number {k} goes on." for k in range(8)}
 
 
+def texts_of(spark, pages):
+    rows = [(k, f"http://h.org/{k}", p) for k, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_hosts_of_two_layouts(spark):
+    new = [page(f"<p>Body {k}</p>").replace("Head", f"Head {k}") for k in range(12)]
+    old = [f"<body><div class=top><p>Welcome here</p></div><div class=links><a href=1>one {k}</a> <a href=2>two</a></div><div class=text><p>Story number {k} goes on.</p></div></body>" for k in range(8)]
+    got = texts_of(spark, new + old)
+    assert got == {k: f"Head {k} Body {k}" if k < 12 else f"Story number {k - 12} goes on." for k in range(20)}
+    few = texts_of(spark, new + old[:2])
+    assert "Story number 0 goes on." in few[12] and "Story number 1 goes on." in few[13]
+
+
+def test_unnamed_notices_inside_the_container(spark):
+    body = lambda k: "".join(f"<p>Story {k} part {j}.</p>" for j in range(k % 4 + 1))
+    pages = [f"<body><div>x<ul>{'<li>i' * (k % 3)}</ul></div><article><h1>Title {k}</h1>{body(k)}<p>Tell your friends about us.</p><div><p>All rights reserved.</p></div></article></body>" for k in range(12)]
+    want = {k: " ".join([f"Title {k}", *(f"Story {k} part {j}." for j in range(k % 4 + 1))]) for k in range(12)}
+    assert texts_of(spark, pages) == want
+    # copies of one page are no template of it
+    assert texts_of(spark, ["<body><article><h1>A</h1><p>Only text.</p></article></body>"] * 12) == dict.fromkeys(range(12), "A Only text.")
+
+
 def test_awkward_pages(spark):
     rows = [(1, None, None), (2, "", ""), (None, "no url", "<p>x"), (3, "http://a/", "<article>a<article>b</p></i>&lt;"), (3, "http://a/", "plain & text"), (4, "http://a/", "<" * 2000 + "'\"" * 2000)]
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
