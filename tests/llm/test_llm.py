@@ -160,6 +160,30 @@ def test_contamination_exact_and_edited(spark):
     assert decontaminate.contaminated(awkward(spark), bench.limit(0)).count() == 0
 
 
+def edited(rng, words, edits):
+    out = list(words)
+    for k in range(edits):
+        p = rng.randrange(len(out))
+        way = rng.randrange(3)
+        out[p : p + (way != 0)] = [f"new{k}"] if way != 2 else []
+    return out
+
+
+def recall_at(n, trials):
+    rng = random.Random(n)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for _ in range(trials)]
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    around = lambda: [f"y{rng.randrange(3000)}" for _ in range(30)]
+    texts = [" ".join(around() + edited(rng, w, n // 5) + around()) for w in items]
+    found = decontaminate.search(index, texts, WordMemo())
+    return sum(any(h[0] == k for h in hits) for k, hits in enumerate(found)) / trials
+
+
+@pytest.mark.parametrize("n", [3, 5, 6, 7, 8, 9, 10, 14, 15, 16, 19, 20, 30, 47, 48, 60, 100])
+def test_recall_by_item_length(n):
+    assert recall_at(n, 400) >= (1 if n < decontaminate.SHORT else decontaminate.RECALL)
+
+
 def test_edit_distance_by_bits():
     def plain(p, t):
         row = [0] * (len(t) + 1)
