@@ -6,47 +6,55 @@ vector: how often each page holds it. Tokens
 with one vector form an equivalence class. The vectors are never gathered: a token's vector is known by its
 sums of count * hash(page) under two hashes, which one aggregation makes for all hosts. Classes with enough
 members and pages whose elements hang below one other class at most are valid and nest into the layout's template, whose
-root is the class of what every page holds once; text in the template is furniture, inside main containers too, the
-text in what remains, the slots, is data. Of the slots, those that serve
-navigation, notices, adverts, forms, comments and the like are told by their element's names and by the share
-of their text inside links; where the page has a main container, only its slots are the article. A page whose
-main text is furniture throughout is one of copies, and keeps it.
-
-Cases. Null html: empty text. Null or odd url: such pages form a host of their own. A layout with fewer than
-``MIN_PAGES`` pages (``MAIN_PAGES`` with a main container) has no template, and the names and the page's own links decide. Broken markup: open elements
+root is the class of what every page holds once. Text in the template is furniture. What remains are the slots: a slot is a
+template element with all that hangs below it and below no other template element, and what the layout's pages have there (characters, those inside links, blocks) is
+known from the same aggregation.
+
+The layout's slots then are judged together, once for all its pages. Elements that serve navigation, forms and
+asides by their tag are no article. Names of classes are a weaker sign: they count on grouping elements only, not on headings, paragraphs or
+an ``article`` itself, and not on an element that holds the larger part of the layout's text. Slots with most of
+their text inside links are menus, unless they lie in the main container. The main container is what is named so, if it
+holds a good part of the text, and else the whole page. A block of a page is taken if the slot that it falls into is the article's and its text is
+no furniture; without a template nothing would be. A page whose main text is furniture throughout is one of copies, and keeps it.
+
+Cases. Null html: empty text. Null or odd url: such pages form a host of their own. Hosts of one or few pages have a template as well; only that
+text is furniture needs ``MIN_PAGES`` pages (``MAIN_PAGES`` inside a main container). Broken markup: open elements
 end where HTML ends them, unclosed comments and scripts at the end of the page. Repeated rows: rows of their own.
-Very long pages are read whole. An empty table gives an empty result. Further columns are ignored.
+Very long pages are read whole, in time linear in their length. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from decimal import Decimal
 
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import materialise, need, read, slices, spread
+from skein.llm.common import materialise, need, read, row_pass, spread
 
-#: Pages of a layout from which a template is deduced, and the share of them that a token must be on.
+#: Pages of a layout that must hold a text before it is furniture, and the same inside a main container, whose name speaks for its text.
 MIN_PAGES = 3
-#: The same for pages with a main container: its name speaks for its text, so a few pages that repeat one don't make it furniture.
 MAIN_PAGES = 10
+#: Share of a layout's pages that a token must be on to be of its template.
 MIN_SHARE = 0.1
 #: Members of a valid class.
 MIN_MEMBERS = 2
 #: A slot with more than this share of its text inside links is a menu.
 LINK_SHARE = 0.5
+#: An element with this share of its layout's text is no furniture whatever its name.
+MOST = 0.5
+#: Named containers are the main ones if they hold this share of their layout's text.
+MAIN_SHARE = 0.25
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|textarea|select|button|canvas|audio|video)\b(?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
-    r"|</?[a-z][^>]*>|<[!?][^>]*>",
+    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|canvas|audio|video)\b(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
+    r"|</?[a-z][^<>]*>|<[!?][^<>]*>",
     re.S | re.I,
 )
 _NAME = re.compile(r"""(?:\s|/|^)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -62,8 +70,9 @@ _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "body": ({"head"}, {"html"}),
 }
-#: Elements that never hold the article, and the words of classes, ids and roles that say the same.
+#: Elements that never hold the article, and the words of classes, ids and roles that say the same of grouping elements.
 _APART = frozenset("head nav footer aside form dialog menu fieldset title".split())
+_GROUPING = frozenset("div section ul ol dl table tbody tr td details figure header span center main body".split())
 _APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb "
     "breadcrumbs footer header masthead sidebar aside widget widgets comment comments reply replies respond disqus cookie cookies consent gdpr notice "
@@ -82,13 +91,16 @@ def _class_words(attrs: str) -> list[str]:
 
 
 class _Open:
-    __slots__ = ("tag", "path", "apart", "main")
+    """An open element. apart: by its tag or attributes, or those above; named: by its own name; near: the element whose block its text is."""
 
-    def __init__(self, tag: str, path: int, apart: bool, main: bool) -> None:
-        self.tag, self.path, self.apart, self.main = tag, path, apart, main
+    __slots__ = ("apart", "main", "named", "near", "path", "tag")
 
+    def __init__(self, tag: str, path: int, apart: bool, main: bool, named: bool, above: _Open | None) -> None:
+        self.tag, self.path, self.apart, self.main, self.named = tag, path, apart, main, named
+        self.near = self if above is None or tag in _BLOCK or (apart and not above.apart) else above.near
 
-_ROOT = _Open("", 1, False, False)
+
+_ROOT = _Open("", 1, False, False, False, None)
 
 
 def _child(top: _Open, tag: str, attrs: str, memo: dict) -> _Open:
@@ -96,35 +108,57 @@ def _child(top: _Open, tag: str, attrs: str, memo: dict) -> _Open:
     found = memo.get(key)
     if found is None:
         words = _class_words(attrs) if attrs else []
-        apart = top.apart or tag in _APART or any(w in _APART_WORDS for w in words) or bool(attrs and _HIDDEN.search(attrs))
-        if tag == "header" and top.main and not top.apart:
-            apart = any(w in _APART_WORDS - {"header"} for w in words)  # an article's own heading
-        elif tag == "header":
-            apart = True
-        main = top.main or (not apart and (tag in ("article", "main") or any(w in _MAIN_WORDS for w in words if tag != "body")))
-        label = f"{top.path}>{tag}.{'.'.join(sorted(set(words)))}"
+        says = any(w in _APART_WORDS for w in words)
+        apart = top.apart or tag in _APART or bool(attrs and _HIDDEN.search(attrs)) or (tag == "header" and not top.main)
+        named = says and tag in _GROUPING and not (tag == "header" and top.main and not any(w in _APART_WORDS - {"header"} for w in words))
+        main = top.main or (not apart and (tag in ("article", "main") or (tag in _GROUPING - {"body"} and any(w in _MAIN_WORDS for w in words) and not says)))
+        label = f"{top.path}>{tag}.{'.'.join(sorted(set(words)))}.{apart:d}"
         path = xxhash.xxh64_intdigest(label.encode()) >> 1
         if len(memo) > 200_000:
             memo.clear()
-        found = memo[key] = _Open(tag, path, apart, main)
+        found = memo[key] = _Open(tag, path, apart, main, named, top)
     return found
 
 
-def parse(page: str, memo: dict) -> tuple[dict[int, int], dict[int, tuple[int, bool, bool]], list[tuple[int, bool, bool, str, int]]]:
-    """Elements of a page by path with their counts; of each path its parent, whether apart and main; and its text blocks.
+class _Stack:
+    """The open elements, and where in the stack the elements of each tag are."""
+
+    def __init__(self) -> None:
+        self.open, self.at, self.links = [_ROOT], {}, 0
+
+    def push(self, o: _Open) -> None:
+        self.at.setdefault(o.tag, []).append(len(self.open))
+        self.open.append(o)
+        self.links += o.tag == "a"
+
+    def cut(self, k: int) -> bool:
+        """Close all elements from the k-th on; whether the last one closed ended a part of the page that stands apart."""
+        below = self.open[k].apart and not self.open[k - 1].apart
+        for o in reversed(self.open[k:]):
+            self.at[o.tag].pop()
+            self.links -= o.tag == "a"
+        del self.open[k:]
+        return below
+
+    def last(self, tags) -> int:
+        """Where the innermost open element of one of the tags is, -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+
+def parse(page: str, memo: dict) -> tuple[dict[int, int], dict[int, tuple[int, bool, bool, bool]], list[tuple[int, bool, bool, str, int]]]:
+    """Elements of a page by path with their counts; of each path its parent, whether apart, main and named; and its text blocks.
 
-    A block: path, apart, main, text with decoded references and single spaces, characters of it inside links.
+    A block: the path of its element, apart, main, text with decoded references and single spaces, characters of it inside links.
     """
     counts: dict[int, int] = {}
-    about: dict[int, tuple[int, bool, bool]] = {}
+    about: dict[int, tuple[int, bool, bool, bool]] = {}
     blocks: list[tuple[int, bool, bool, str, int]] = []
-    stack, piece, linked, at, pos = [_ROOT], [], 0, _ROOT, 0
-    in_link = 0
+    stack, piece, linked, at, pos = _Stack(), [], 0, _ROOT, 0
 
     def flush() -> None:
         nonlocal linked
         if piece:
-            text = " ".join(entities.unescape("".join(piece)).split())
+            text = " ".join("".join(piece).split())
             if text:
                 blocks.append((at.path, at.apart, at.main, text, min(linked, len(text))))
             piece.clear()
@@ -132,16 +166,15 @@ def parse(page: str, memo: dict) -> tuple[dict[int, int], dict[int, tuple[int, b
 
     def put(text: str) -> None:
         nonlocal at, linked
+        top = stack.open[-1]
         if not piece:
-            # a block belongs to its nearest block element
-            at = next((o for o in reversed(stack) if o.tag in _BLOCK or o.apart), _ROOT)
-            if stack[-1].apart and not at.apart:
-                at = stack[-1]
-        elif stack[-1].apart != at.apart:
+            at = top.near  # a block belongs to its nearest block element
+        elif top.apart != at.apart:
             flush()
-            at = stack[-1]
+            at = top.near
+        text = entities.unescape(text) if "&" in text else text
         piece.append(text)
-        if in_link:
+        if stack.links:
             linked += len(text.strip())
 
     for m in _TAG.finditer(page):
@@ -155,40 +188,33 @@ def parse(page: str, memo: dict) -> tuple[dict[int, int], dict[int, tuple[int, b
         if tag in _BLOCK:
             flush()
         if m["end"]:
-            if any(o.tag == tag for o in reversed(stack)):
-                while stack[-1].tag != tag:
-                    in_link -= stack.pop().tag == "a"
-                if stack[-1].apart != (stack[-2].apart if len(stack) > 1 else False):
+            if stack.at.get(tag):
+                k = stack.at[tag][-1]
+                if stack.open[-1].apart != stack.open[k - 1].apart:
                     flush()
-                in_link -= stack.pop().tag == "a"
+                stack.cut(k)
             continue
-        if tag in _BLOCK and tag != "br" and any(o.tag == "p" for o in stack):
-            k = max(i for i, o in enumerate(stack) if o.tag == "p")
-            if not any(o.tag in ("button", "table", "td", "th", "caption") for o in stack[k:]):
-                for o in stack[k:]:
-                    in_link -= o.tag == "a"
-                del stack[k:]
+        if tag in _BLOCK and tag != "br":
+            k = stack.last(("p",))
+            if k > stack.last(("button", "table", "td", "th", "caption")):
+                stack.cut(k)
         if tag in _ENDS:
             ends, until = _ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in until:
-                    break
-                if stack[i].tag in ends:
-                    for o in stack[i:]:
-                        in_link -= o.tag == "a"
-                    del stack[i:]
-                    break
-        top = stack[-1]
+            k = stack.last(ends)
+            if k > stack.last(until):
+                # the outermost one of those that end, above what bounds them
+                bound = stack.last(until)
+                stack.cut(min(p for t in ends for p in stack.at.get(t, ())[-1:] if p > bound))
+        top = stack.open[-1]
         here = _child(top, tag, m["attrs"] if "=" in m["attrs"] or "hidden" in m["attrs"] else "", memo)
         if here.path not in counts:
             counts[here.path] = 0
-            about[here.path] = (top.path, here.apart, here.main)
+            about[here.path] = (top.path, here.apart, here.main, here.named)
         counts[here.path] += 1
         if tag not in _VOID and not m["attrs"].endswith("/"):
             if here.apart != top.apart:
                 flush()
-            stack.append(here)
-            in_link += tag == "a"
+            stack.push(here)
     if pos < len(page):
         put(page[pos:])
     flush()
@@ -204,68 +230,70 @@ def _text_token(path: int, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}|{text}".encode("utf-8", "surrogatepass"), 7) >> 1
 
 
-_TOKENS = (
-    "host string, in_main boolean, token long, parent long, is_text boolean, apart boolean, main boolean, pages long, total long, sum1 decimal(38,0), sum2 decimal(38,0), chars long, linked long"
+_TOKEN = (
+    "host:string,in_main:boolean,token:bigint,parent:bigint,is_text:boolean,apart:boolean,main:boolean,named:boolean,"
+    "pages:bigint,total:bigint,sum1:decimal(38,0),sum2:decimal(38,0),chars:bigint,linked:bigint"
 )
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """Partial sums of the tokens of each host and layout, one row for each batch and token. pages: key, host, html."""
+    """Partial sums of the tokens of each host and layout, one row for each part of a batch and token. pages: key, host, html.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from decimal import Decimal
+    chars and linked of an element are those of all text below it that doesn't stand apart. A text that one page of the part holds
+    is left to the other parts to repeat: it comes along as well, as they may.
+    """
 
+    def maker():
         memo: dict = {}
-        for rows in slices(batches):
+
+        def make(keys, hosts, texts):
             sums: dict[tuple, list] = {}
-            for key, host, page in zip(rows["key"].tolist(), rows["host"], rows["html"], strict=True):
+            for key, host, page in zip(keys, hosts, texts, strict=True):
                 counts, about, blocks = parse(page or "", memo)
                 h1, h2 = key & 0x7FFFFFFF, (key >> 31) & 0x7FFFFFFF
                 seen = {(p, False): [n, *about[p], 0, 0] for p, n in counts.items()}
-                seen[(0, False)] = [1, 0, False, False, 0, 0]  # the page itself
-                in_main = holds_main(blocks)
+                seen[(1, False)] = [1, 0, False, False, False, 0, 0]  # the page itself
+                texts_of = []
                 for path, apart, main, text, linked in blocks:
-                    if apart:
-                        continue
-                    slot = seen.get((path, False))
-                    if slot and not main:
-                        slot[4] += len(text)
-                        slot[5] += linked
-                    t = seen.setdefault((_text_token(path, text), True), [0, path, apart, main, 0, 0])
-                    t[0] += 1
-                for (token, is_text), (n, parent, apart, main, chars, linked) in seen.items():
-                    s = sums.setdefault((host, in_main, token, is_text), [parent, apart, main, 0, 0, 0, 0, 0, 0])
-                    s[3] += 1
-                    s[4] += n
-                    s[5] += n * h1
-                    s[6] += n * h2
-                    s[7] += chars
-                    s[8] += linked
-            yield pd.DataFrame(
-                [(h, i, t, s[0], x, s[1], s[2], s[3], s[4], Decimal(s[5]), Decimal(s[6]), s[7], s[8]) for (h, i, t, x), s in sums.items()],
-                columns=[c.split()[0] for c in _TOKENS.split(", ")],
-            )
-
-    return pages.mapInPandas(work, _TOKENS)
-
-
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_members: int = MIN_MEMBERS, main_pages: int = MAIN_PAGES) -> DataFrame:
-    """One row a host with a template: t_host, and for its layouts menus (slot paths; null without a template) and furniture (text tokens).
-
-    menus and furniture are those of the pages without a main container, main_furniture that of those with one. Only
-    tokens on ``min_share`` of a layout's pages are kept, so a host has at most 2 / min_share times the tokens of
-    a page, whatever the number of its pages.
-    """
+                    if not apart:
+                        slot = seen[(path, False)]
+                        slot[5] += len(text)
+                        slot[6] += linked
+                        texts_of.append(((_text_token(path, text), True), [0, path, apart, main, False, 0, 0]))
+                for path in reversed(about):  # a path comes after its parent
+                    up, below = seen[(about[path][0], False)], seen[(path, False)]
+                    up[5] += below[5]
+                    up[6] += below[6]
+                for token, new in texts_of:
+                    seen.setdefault(token, new)[0] += 1
+                layout = (host, holds_main(blocks))
+                for (token, is_text), (n, parent, apart, main, named, chars, linked) in seen.items():
+                    s = sums.setdefault((*layout, token, is_text), [parent, apart, main, named, 0, 0, 0, 0, 0, 0])
+                    for k, v in enumerate((1, n, n * h1, n * h2, chars, linked), 4):
+                        s[k] += v
+            rows = [
+                {"host": h, "in_main": i, "token": t, "parent": s[0], "is_text": x, "apart": s[1], "main": s[2], "named": s[3],
+                 "pages": s[4], "total": s[5], "sum1": Decimal(s[6]), "sum2": Decimal(s[7]), "chars": s[8], "linked": s[9]}
+                for (h, i, t, x), s in sums.items()
+            ]
+            return [[rows] + [[]] * (len(keys) - 1)]
+
+        return make
+
+    return row_pass(pages, ["key", "host", "html"], f"tokens array<struct<{_TOKEN}>>", maker, []).select(F.inline("tokens"))
+
+
+def template_tokens(pages: DataFrame, min_share: float = MIN_SHARE, min_members: int = MIN_MEMBERS) -> DataFrame:
+    """The frequent tokens of each host and layout with the number of its pages (``of``) and whether they are of its template (``valid``)."""
     layout = ["host", "in_main"]
     sums = (
         page_tokens(pages).groupBy(*layout, "token", "is_text")
-        .agg(F.first("parent").alias("parent"), F.first("apart").alias("apart"), F.first("main").alias("main"),
-             *(F.sum(c).alias(c) for c in ("pages", "total", "sum1", "sum2", "chars", "linked")))
-        .where("token = 0 or pages >= 2").withColumn("class", F.xxhash64("pages", "total", "sum1", "sum2"))
+        .agg(*(F.first(c).alias(c) for c in ("parent", "apart", "main", "named")), *(F.sum(c).alias(c) for c in ("pages", "total", "sum1", "sum2", "chars", "linked")))
+        .where("not is_text or pages >= 2").withColumn("class", F.xxhash64("pages", "total", "sum1", "sum2"))
     )
     sums = materialise(sums, "tokens")
-    hosts = sums.where("token = 0").select(*layout, F.col("pages").alias("of"), F.col("class").alias("root")).where(F.col("of") >= F.when(F.col("in_main"), main_pages).otherwise(min_pages))
-    often = materialise(sums.where("token <> 0").join(hosts, layout).where(F.col("pages") >= F.col("of") * min_share), "frequent")
+    hosts = sums.where("token = 1 and not is_text").select(*layout, F.col("pages").alias("of"), F.col("class").alias("root"))
+    often = materialise(sums.join(hosts, layout).where(F.col("pages") >= F.col("of") * min_share), "frequent")
     above = often.where("not is_text").select(*layout, F.col("token").alias("parent"), F.col("class").alias("above"))
     classes = (
         often.join(above, [*layout, "parent"], "left").groupBy(*layout, "class", "root")
@@ -273,37 +301,99 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
              F.count_distinct(F.when(~F.col("is_text") & (F.col("above") != F.col("class")), F.col("above"))).alias("parents"))
     )
     nested = (F.col("members") >= min_members) & (F.col("elements") >= 1) & (F.col("parents") <= 1)
-    valid = classes.where(nested | (F.col("class") == F.col("root")))
-    template = often.join(valid.select(*layout, "class"), [*layout, "class"])
-    # an element that many pages hold but whose class is too small still is a slot's place
-    places = often.where("not is_text and not apart")
-    menus = F.collect_set(F.when((F.col("chars") > 0) & (F.col("linked") > LINK_SHARE * F.col("chars")), F.col("token")))
-    slots = places.where("not in_main").groupBy("host").agg(menus.alias("menus"))
-    fixed = template.where(F.col("is_text") & (F.col("pages") >= 0.5 * F.col("of"))).groupBy("host").agg(
-        F.collect_set(F.when(~F.col("in_main"), F.col("token"))).alias("furniture"), F.collect_set(F.when(F.col("in_main"), F.col("token"))).alias("main_furniture")
+    valid = classes.where(nested | (F.col("class") == F.col("root"))).select(*layout, "class", F.lit(True).alias("valid"))
+    return often.join(valid, [*layout, "class"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+
+
+def judged(elements: list[dict]) -> tuple[list[int], list[int]]:
+    """(taken, left): the elements of a layout whose slot, and all below up to the next judged element, is the article's or isn't.
+
+    elements: token, parent, apart, main, named, valid, chars, linked of the layout's frequent elements; those that aren't of the template only
+    hand down what is above them.
+    """
+    of = {e["token"]: e for e in elements}
+    depth: dict[int, int] = {1: 0}
+    for e in elements:
+        way, t = [], e["token"]
+        while t not in depth and t in of:
+            way.append(t)
+            t = of[t]["parent"]
+        for t in reversed(way):
+            depth[t] = depth.get(of[t]["parent"], 0) + 1
+    order = sorted(of, key=lambda t: (depth[t], t))  # parents first
+    whole = max((e["chars"] for e in elements), default=0)
+    apart: dict[int, bool] = {}
+    good = {t: of[t]["chars"] for t in order}
+    for t in order:
+        e = of[t]
+        named = e["named"] and (e["valid"] or not e["main"]) and e["chars"] < MOST * whole
+        apart[t] = apart.get(e["parent"], False) or e["apart"] or named
+    less = dict.fromkeys(of, 0)
+    for t in reversed(order):  # text that stands apart is none of those above
+        up = of[t]["parent"]
+        if up in of:
+            less[up] += of[t]["chars"] if apart[t] and not apart[up] else less[t]
+    good = {t: good[t] - less[t] for t in order}
+    mains = [t for t in order if of[t]["main"] and not apart[t] and not of.get(of[t]["parent"], {"main": False})["main"]]
+    inside = sum(good[t] for t in mains) >= MAIN_SHARE * max(1, good.get(1, 0)) and any(good[t] for t in mains)
+    taken, left, state = [], [], {}
+    for t in order:
+        e = of[t]
+        menu = e["linked"] > LINK_SHARE * e["chars"] and not e["main"]
+        state[t] = not apart[t] and not menu and (e["main"] if inside else True)
+        # an element that is not of the template is no slot of its own, but one that stands apart or is a menu is left wherever it is
+        if t == 1 or e["valid"] or not state[t]:
+            (taken if state[t] else left).append(t)
+    return taken, left
+
+
+def templates(pages: DataFrame, min_share: float = MIN_SHARE, min_members: int = MIN_MEMBERS, min_pages: int = MIN_PAGES, main_pages: int = MAIN_PAGES) -> DataFrame:
+    """t_host and for both layouts of each host (plain and main) the struct taken, left (elements) and furniture (text tokens).
+
+    Only tokens on ``min_share`` of a layout's pages are kept, so a layout has at most 1 / min_share times the tokens of
+    a page, whatever the number of its pages: its elements are judged together in one row.
+    """
+    tokens = materialise(template_tokens(pages, min_share, min_members), "template-tokens")
+    about = F.struct(*(F.col(c) for c in ("token", "parent", "apart", "main", "named", "valid", "chars", "linked")))
+    enough = F.col("pages") >= F.greatest(F.lit(2), F.when(F.col("in_main"), main_pages).otherwise(min_pages), 0.5 * F.col("of"))
+    rows = tokens.groupBy("host", "in_main").agg(
+        F.collect_list(F.when(~F.col("is_text"), about)).alias("elements"), F.collect_set(F.when(F.col("is_text") & F.col("valid") & enough, F.col("token"))).alias("furniture")
     )
-    return (
-        hosts.groupBy("host").agg(F.bool_or(~F.col("in_main")).alias("plain")).join(slots, "host", "left").join(fixed, "host", "left")
-        .select(F.col("host").alias("t_host"), F.when(F.col("plain"), F.coalesce("menus", F.array().cast("array<long>"))).alias("menus"), "furniture", "main_furniture")
-    )
+
+    def maker():
+        def make(elements):
+            found = [judged(e) for e in elements]
+            return [f[0] for f in found], [f[1] for f in found]
+
+        return make
+
+    slots = row_pass(rows, ["elements"], "taken array<long>, left array<long>", maker, ["host", "in_main", "furniture"])
+    of = F.struct("taken", "left", "furniture")
+    return slots.groupBy("host").agg(F.max(F.when(~F.col("in_main"), of)).alias("plain"), F.max(F.when(F.col("in_main"), of)).alias("main")).withColumnRenamed("host", "t_host")
 
 
-def extract(blocks: list[tuple[int, bool, bool, str, int]], menus: set[int] | None, furniture: set[int], main_furniture: set[int]) -> str:
-    """Text of a page's data slots."""
-    data = [b for b in blocks if not b[1]]
-    if holds_main(data):
-        inside = [b for b in data if b[2]]
-        slots = [b for b in inside if _text_token(b[0], b[3]) not in main_furniture]
-        return " ".join(b[3] for b in slots or inside)
-    if menus is None:
-        chars: dict[int, list[int]] = {}
-        for b in data:
-            c = chars.setdefault(b[0], [0, 0])
-            c[0] += len(b[3])
-            c[1] += b[4]
-        menus = {p for p, (n, linked) in chars.items() if linked > LINK_SHARE * n}
-    fixed = furniture | main_furniture  # what stands outside the container of one layout may stand in the other
-    return " ".join(b[3] for b in data if b[0] not in menus and _text_token(b[0], b[3]) not in fixed)
+def extract(about: dict[int, tuple[int, bool, bool, bool]], blocks: list[tuple[int, bool, bool, str, int]], plain: dict | None, main: dict | None) -> str:
+    """Text of a page's article slots. about, blocks: from ``parse``."""
+    layout = main if holds_main(blocks) else plain
+    if layout is None:
+        return ""
+    known, furniture = layout["known"], layout["fixed"]
+    taken = {1: known.get(1, False)}
+    for path, (up, *_) in about.items():  # a path comes after its parent
+        taken[path] = known.get(path, taken[up])
+    data = [(path, text) for path, apart, _, text, _ in blocks if not apart and taken[path]]
+    kept = [text for path, text in data if _text_token(path, text) not in furniture]
+    if not kept and main is layout:
+        kept = [text for _, text in data]  # copies of one page are no template of it
+    return " ".join(kept)
+
+
+def _known(layout: dict | None, other: dict | None) -> dict | None:
+    if layout is None:
+        return None
+    known = dict.fromkeys(layout["left"], False) | dict.fromkeys(layout["taken"], True)
+    # what stands outside the container of one layout may stand in the other
+    return {"known": known, "fixed": frozenset(layout["furniture"]) | frozenset(other["furniture"] if other else ())}
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -311,23 +401,27 @@ def main_text(pages: DataFrame) -> DataFrame:
     base = need(pages, page_id=T.LongType(), url=T.StringType(), html=T.StringType())
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     base = base.withColumn("host", host)
-    key = F.xxhash64("url", F.length("html"), F.substring("html", 1, 2000), F.substring(F.col("html"), -200, 200)).bitwiseAND(F.lit((1 << 62) - 1))
-    found = materialise(templates(base.select(F.xxhash64("page_id", key).bitwiseAND(F.lit((1 << 62) - 1)).alias("key"), "host", "html")), "templates")
-    schema = "page_id long, url string, text string, n_chars long"
+    low = F.lit((1 << 62) - 1)
+    key = F.xxhash64("page_id", "url", F.length("html"), F.substring("html", 1, 2000), F.substring(F.col("html"), -200, 200)).bitwiseAND(low)
+    found = materialise(templates(base.select(key.alias("key"), "host", "html")), "templates")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def maker():
         memo: dict = {}
-        for rows in slices(batches):
-            texts = []
-            for page, menus, *fixed in zip(*(rows[c] for c in ("html", "menus", "furniture", "main_furniture")), strict=True):
-                if not page:
-                    texts.append("")
-                    continue
-                _, _, blocks = parse(page, memo)
-                texts.append(extract(blocks, set(menus) if menus is not None else None, *(set(f) if f is not None else set() for f in fixed)))
-            yield pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    return base.join(found, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "menus", "furniture", "main_furniture").mapInPandas(work, schema)
+        last: list = [None, None, None, None]
+
+        def one(page, plain, main):
+            if last[:2] != [plain, main]:  # pages of one host often follow each other
+                last[:] = [plain, main, _known(plain, main), _known(main, plain)]
+            return extract(*parse(page, memo)[1:], *last[2:]) if page else ""
+
+        def make(htmls, plains, mains):
+            texts = [one(*x) for x in zip(htmls, plains, mains, strict=True)]
+            return texts, [len(t) for t in texts]
+
+        return make
+
+    joined = base.join(found, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "plain", "main")
+    return row_pass(joined, ["html", "plain", "main"], "text string, n_chars long", maker, ["page_id", "url"])
 
 
 def op1_template_text(spark, sf_dir: str) -> DataFrame:
