@@ -1,16 +1,18 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-A CGK walk reads a sequence of words with random bits: at step j it emits the word under its pointer and moves on
-if bit j of that word is set. Sequences at a small edit distance walk in step, so their outputs differ in few
-places: edit distance becomes Hamming distance. Each of ``R`` repetitions has its own bits, samples the same few
-output places, and starts the walk of each item at an anchor of its own in the item, so edits that spoil one
-repetition miss others. All windows of all documents walk in step as arrays; a window is dropped as soon as
-the places sampled so far match no item, which loses nothing, since its whole key could not match either.
-Windows whose key is an item's are aligned: the word edit distance between the item and the document around the
-window, by bit-parallel dynamic programming, decides. ``R`` follows from the recall asked for at the largest edit
-share; no two repetitions share an anchor while an item has others. Items of fewer than ``SHORT`` words have too few
-anchors for that and are found by their parts: of ``edits + 1`` disjoint parts one at least is unedited and
-occurs exactly, so none is missed. Documents are never shuffled; the benchmark goes to the tasks in blocks of ``BLOCK`` items.
+A CGK walk reads a sequence of words with random bits: at each step it emits the word under its pointer, and moves on if the
+step's bit of that word is set. Sequences at a small edit distance walk in step but near their edits, so edit
+distance becomes Hamming distance between the emitted sequences. Each of ``REPETITIONS`` walks has its own bits and its own sample of ``PLACES`` of every
+``PERIOD`` steps; the sampled words of each period along the item's walk, from its first word to its last, are the item's keys under
+that walk. The bits repeat with the period, so a document is walked for one period from every word, which covers all item-sized windows
+at once: wherever a window's walk is at the start of a period, its key is among these. A walk stops as soon as the places sampled so far are
+no item's (a table of all items' keys and their beginnings, of at most ``FILTER_SLOTS`` bytes, goes to the tasks).
+Keys whose places lie on fewer than ``SPREAD`` words say little and are no item's, but in items of fewer than ``SHORT`` words, where one word less is enough.
+
+The corpus is scanned once for its keys, whatever the number of items. Keys meet the items' in a join; a text and an item with
+at least one match for every ``MATCH_WORDS`` words of the item, and one in any case, are a candidate. Candidates meet the
+documents, and the word edit distance between the item and the text around the matches decides, exactly, by bit-parallel dynamic programming.
+The repetitions are chosen so that recall at the full share of edits is at least ``RECALL`` at every length; tests measure it.
 
 Words are lower-cased runs of letters, digits and underscores. An item matches a stretch of a document if at most
 ``EDITS`` of its words have to be inserted, removed or replaced, rounded down; so items of fewer than five
@@ -23,123 +25,171 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import WordMemo, documents, mix64, need, read, slices, word_hash
+from skein.llm.common import WordMemo, documents, free_name, materialise, mix64, need, read, row_pass, word_hash
 
 #: Share of an item's words that may be edited, and the recall aimed at there.
 EDITS = 0.2
 RECALL = 0.99
-#: Output places of a walk that make a key; the first is the anchor itself.
-PLACES = (0, 2, 5, 8, 11)
-#: Items of fewer words are found by their unedited parts.
-SHORT = 48
-#: Items that go to the tasks at once.
-BLOCK = 20_000
+#: Walks, the steps after which their bits repeat, and the steps of them whose words make a key.
+REPETITIONS = 6
+PERIOD = 6
+PLACES = 4
+#: A candidate has a match for every so many words of the item.
+MATCH_WORDS = 16
+#: Words that the places of a key lie on at least, and the words of an item below which one less is enough.
+SPREAD = 3
+SHORT = 8
+#: Most slots of the filter that goes to the tasks, a byte each: 16 MB.
+FILTER_SLOTS = 1 << 24
 
 _WORD = re.compile(r"\w+")
 
 
-def repetitions(edits: float = EDITS, recall: float = RECALL) -> int:
-    """Repetitions until one of them reads no edited word with probability ``recall``: a walk reads one word in two steps."""
-    clean = (1 - edits) ** (PLACES[-1] / 2 + 1)
-    return math.ceil(math.log(1 - recall) / math.log(1 - clean))
+def places(repetition: int) -> list[int]:
+    """The sampled steps of a walk's period: its first and some others, drawn by the number of the walk."""
+    rng = np.random.default_rng([20, repetition])
+    return [0, *sorted((1 + rng.permutation(PERIOD - 1)[: PLACES - 1]).tolist())]
 
 
-def _step(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    return mix64(keys * np.uint64(0x9E3779B97F4A7C15) + symbols)
+def _bits(words: np.ndarray, repetition: int) -> np.ndarray:
+    """The random bits of each word under a walk, one for each step of the period."""
+    return mix64(words ^ mix64(np.array([repetition + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0])
 
 
-class _Bits:
-    """A set of 64-bit keys behind a bitmap of their low bits."""
+def _key(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix64(keys * np.uint64(0x9E3779B97F4A7C15) + words)
 
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = np.unique(keys)
-        self.low = np.uint64((1 << max(12, min(24, int(len(self.keys) * 16 + 1).bit_length()))) - 1)
-        self.map = np.zeros(int(self.low) + 1, bool)
-        self.map[(self.keys & self.low).astype(np.int64)] = True
 
-    def some(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each key is in the set."""
-        hit = self.map[(keys & self.low).astype(np.int64)]
-        at = np.flatnonzero(hit)
-        if len(at) and len(self.keys):
-            k = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-            hit[at] = self.keys[k] == keys[at]
-        return hit
+def _mixed(x: int) -> int:
+    """``mix64`` of one number."""
+    x &= (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+    return x ^ x >> 31
+
+
+def item_keys(words: np.ndarray) -> list[tuple[int, list[int]]]:
+    """(place in the item, keys) of every period of every walk over an item's hashed words; keys: of the first 1, 2, ... sampled places, the last one is looked up.
+
+    A period that ends beyond the item has no key, unless the walk has no other: then the places that lie in the item make the first one's.
+    """
+    out, of = [], [int(w) for w in words]
+    for r in range(REPETITIONS):
+        bits, at, sampled, whole, cut = _bits(words, r).tolist(), 0, places(r), [], []
+        while at < len(of):
+            begin, key, keys, on = at, r + 1, [], set()
+            for j in range(PERIOD):
+                if at >= len(of):
+                    break
+                if j in sampled:
+                    key = _mixed(key * 0x9E3779B97F4A7C15 + of[at])
+                    keys.append(key - (1 << 64) if key >> 63 else key)
+                    on.add(at)
+                at += bits[at] >> j & 1
+            if len(keys) == PLACES and len(on) >= SPREAD - (len(of) < SHORT):
+                whole.append((begin, keys))
+            elif begin == 0 and len(keys) < PLACES:
+                cut.append((begin, keys))
+            at += at == begin
+        out += whole or cut
+    return out
 
 
-class Index:
-    """The items' keys of all repetitions, and their words for the verification."""
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """item_key, words (hashed), n of the distinct items with words. benchmark: item_key, text."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL) -> None:
-        self.edits, self.ids, self.words = edits, [], []
+    def maker():
         memo = WordMemo()
-        for item_id, text in items:
-            words = _WORD.findall((text or "").lower())
-            if words:
-                self.ids.append(item_id)
-                self.words.append(word_hash(memo, words))
-        rng = np.random.default_rng(20)
-        self.reps = []
-        self.parts: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        lengths = [np.array([len(w) for w in _WORD.findall((t or "").lower())]) for _, t in items if _WORD.search((t or "").lower())]
-        self.sets = [frozenset(w.tolist()) for w in self.words]
-        anchors: dict[int, np.ndarray] = {}
-        for k, words in enumerate(self.words):
-            n = len(words)
-            if n < SHORT:
-                count = min(n, self.edits_of(k) + 1)
-                ends = [n * i // count for i in range(count + 1)]
-                for a, b in zip(ends, ends[1:]):
-                    self.parts.setdefault(b - a, {}).setdefault(int(list(_grams(words[a:b], b - a))[-1][0]), []).append((k, a))
-            else:
-                # long words are rarer, so anchors are drawn from the longer half
-                last = n - PLACES[-1] // 2 - 1
-                anchors[k] = rng.permutation(np.argsort(-lengths[k][:last], kind="stable")[: max(1, last // 2)])
-        self.part_keys = {n: _Bits(np.array(list(keys), np.uint64)) for n, keys in self.parts.items()}
-        for r in range(repetitions(edits, recall)):
-            seed = rng.integers(1, 1 << 63, dtype=np.uint64)
-            found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            levels: list[list[int]] = [[] for _ in PLACES]
-            for k, words in enumerate(self.words):
-                if k not in anchors:
-                    continue
-                anchor = int(anchors[k][r % len(anchors[k])])
-                at, key = anchor, np.zeros(1, np.uint64)
-                for j in range(PLACES[-1] + 1):
-                    if at >= len(words):
-                        break
-                    if j in PLACES:
-                        key = _step(key, words[at : at + 1])
-                        levels[PLACES.index(j)].append(int(key[0]))
-                        if j == PLACES[-1]:
-                            found[int(key[0])].append((k, anchor))
-                    at += int((mix64(words[at : at + 1] ^ seed) >> np.uint64(j))[0] & np.uint64(1))
-            self.reps.append((seed, [_Bits(np.array(x, np.uint64)) for x in levels], dict(found)))
-        # the anchors of all repetitions in one table, each with the repetitions that have it
-        self.anchors = _Bits(np.concatenate([np.zeros(0, np.uint64), *(levels[0].keys for _, levels, _ in self.reps)]))
-        self.anchor_of = np.array([np.isin(self.anchors.keys, levels[0].keys) for _, levels, _ in self.reps], bool)
-
-    def edits_of(self, k: int) -> int:
-        return int(self.edits * len(self.words[k]) + 1e-9)
-
-
-def _grams(words: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """The keys of every run of 1, 2 and up to ``most`` words."""
-    key = np.zeros(len(words) + 1, np.uint64)
-    for j in range(min(most, len(words))):
-        key = _step(key[:-1], words[j:])
-        yield key
+        return lambda texts: [[word_hash(memo, _WORD.findall((t or "").lower())).view(np.int64) for t in texts]]
+
+    one = benchmark.groupBy("item_key").agg(F.min("text").alias("text"))
+    return row_pass(one, ["text"], "words array<long>", maker, ["item_key"]).withColumn("n", F.size("words")).where("n > 0")
+
+
+def index_keys(items: DataFrame) -> DataFrame:
+    """item_key, n and keys: struct(key, place, final: with fewer than PLACES places, first: its beginnings) of every item."""
+
+    def maker():
+        of = lambda words: [{"key": k[-1], "place": at, "final": len(k) < PLACES, "first": k} for at, k in item_keys(np.array(words, np.int64).view(np.uint64))]
+        return lambda texts: [[of(w) for w in texts]]
+
+    return row_pass(items, ["words"], "keys array<struct<key:bigint,place:int,final:boolean,first:array<bigint>>>", maker, ["item_key", "n"])
+
+
+class Filter:
+    """A table of key slots: a key that was put in is always found."""
+
+    def __init__(self, n: int) -> None:
+        self.slots = np.zeros(1 << max(12, min(FILTER_SLOTS.bit_length() - 1, int(16 * n + 1).bit_length())), bool)
+        self.low = np.uint64(len(self.slots) - 1)
+
+    def put(self, keys: np.ndarray) -> None:
+        self.slots[(keys.view(np.uint64) & self.low).view(np.int64)] = True
+
+    def some(self, keys: np.ndarray) -> np.ndarray:
+        return self.slots[(keys & self.low).view(np.int64)]
+
+
+def key_filter(keys: DataFrame, n: int) -> tuple[Filter, bool]:
+    """The filter of the items' keys and beginnings, and whether some keys have fewer than PLACES places.
+
+    Spark reduces the keys to the distinct slots that they fill, in rows of at most 8,192, and only these reach the driver: FILTER_SLOTS in all at most.
+    """
+    made = Filter(n)
+    rows = keys.select(F.explode(F.flatten("keys.first")).alias("key")).select(F.col("key").bitwiseAND(F.lit(len(made.slots) - 1)).alias("slot"))
+    rows = rows.groupBy(F.shiftright("slot", 13).alias("part")).agg(F.collect_set("slot").alias("set"))
+    for row in rows.toLocalIterator():
+        made.put(np.array(row["set"], np.int64))
+    return made, bool(keys.where(F.exists("keys", lambda k: k["final"])).limit(1).count())
+
+
+def found_keys(made: Filter, short: bool, texts: list[str | None], memo: WordMemo) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, places) of each text: those that the filter has, of every walk from every word."""
+    gap = PERIOD + 1
+    parts, begins, at = [], [], 0
+    for t in texts:
+        words = word_hash(memo, _WORD.findall(t.lower())) if t else np.zeros(0, np.uint64)
+        begins.append(at)
+        parts += [words, np.zeros(gap, np.uint64)]  # a walk can't cross the gap
+        at += len(words) + gap
+    stream = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    body = np.flatnonzero(stream)
+    keys, spots = [], []
+    for r in range(REPETITIONS):
+        sampled, bits = places(r), _bits(stream, r)
+        start = cur = body
+        key = _key(np.full(len(body), r + 1, np.uint64), stream[body])
+        for j in range(PERIOD):
+            if j:
+                cur = cur + ((bits[cur] >> np.uint64(j - 1)) & np.uint64(1)).astype(np.int64)
+                if j in sampled:
+                    key = _key(key, stream[cur])
+            if j in sampled:
+                ok = made.some(key)
+                start, cur, key = start[ok], cur[ok], key[ok]
+                if not len(start):
+                    break
+                if short or j == sampled[-1]:
+                    keys.append(key.view(np.int64))
+                    spots.append(start)
+            if j == sampled[-1]:
+                break
+    if not keys:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(texts)
+    key, spot = np.concatenate(keys), np.concatenate(spots)
+    order = np.argsort(spot, kind="stable")
+    key, spot = key[order], spot[order]
+    ends = np.searchsorted(spot, [*begins[1:], at])
+    cuts = [0, *ends.tolist()]
+    return [(key[a:b], (spot[a:b] - begin).astype(np.int32)) for a, b, begin in zip(cuts, cuts[1:], begins)]
 
 
 def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -172,116 +222,111 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def search(index: Index, texts: list[str | None], memo: WordMemo) -> list[list[tuple[int, int, int, int, int]]]:
-    """For each text its hits: (number of the item, distance, first word, end word, words of the item)."""
-    gap = PLACES[-1] + 2
-    parts, begins, at = [], [], 0
-    for t in texts:
-        words = word_hash(memo, _WORD.findall(t.lower())) if t else np.zeros(0, np.uint64)
-        begins.append(at)
-        parts += [words, np.zeros(gap, np.uint64)]  # a walk can't cross the gap
-        at += len(words) + gap
-    stream = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    begin = np.array(begins, np.int64)
-    near: dict[tuple[int, int], set[int]] = defaultdict(set)
-    body = np.flatnonzero(stream)
-    first = mix64(stream[body])
-    some = index.anchors.some(first)
-    body, first = body[some], first[some]
-    number = np.searchsorted(index.anchors.keys, first)
-    for (seed, levels, found), have in zip(index.reps, index.anchor_of, strict=True):
-        ok = have[number]
-        start = cur = body[ok]
-        key = first[ok]
-        for j in range(PLACES[-1]):
-            if not len(cur):
-                break
-            cur = cur + ((mix64(stream[cur] ^ seed) >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-            if j + 1 in PLACES:
-                key = _step(key, stream[cur])
-                ok = levels[PLACES.index(j + 1)].some(key)
-                start, cur, key = start[ok], cur[ok], key[ok]
-        for p, k in zip(start.tolist(), key.tolist(), strict=True):
-            doc = int(np.searchsorted(begin, p, "right")) - 1
-            for item, anchor in found.get(k, ()):
-                near[doc, item].add(p - begins[doc] - anchor)
-    for n, grams in enumerate(_grams(stream, max(index.parts, default=0)), 1):
-        if n not in index.parts:
+def edits_of(n: int, edits: float) -> int:
+    """Words of an item of n words that may be edited."""
+    return int(edits * n + 1e-9)
+
+
+def best_place(words: np.ndarray, text: np.ndarray, begins: list[int], most: int) -> tuple[int, int, int] | None:
+    """(distance, first word, end word) of the best stretch of the text near one of the places where the item may begin, if close enough."""
+    n, done, best, own = len(words), -1, None, frozenset(words.tolist())
+    for place in sorted(set(begins)):
+        lo, hi = max(0, place - most), min(len(text), place + n + most)
+        if hi <= done:
             continue
-        for p in np.flatnonzero(index.part_keys[n].some(grams)).tolist():
-            doc = int(np.searchsorted(begin, p, "right")) - 1
-            for item, offset in index.parts[n][int(grams[p])]:
-                near[doc, item].add(p - begins[doc] - offset)
-    out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in texts]
-    for (doc, item), places in sorted(near.items()):
-        words, most = index.words[item], index.edits_of(item)
-        n, text, done, best = len(words), parts[2 * doc], -1, None
-        for place in sorted(places):
-            lo, hi = max(0, place - most), min(len(text), place + n + most)
-            if hi <= done:
-                continue
-            if sum(map(index.sets[item].__contains__, text[lo:hi].tolist())) < n - most:
-                continue  # every word that isn't edited is there
-            distance, end = nearest(words, text[lo:hi])
-            done = hi if distance <= most else done
-            if distance <= most and (best is None or distance < best[0]):
-                back, length = nearest(words[::-1], text[lo : lo + end][::-1])
-                best = (distance, lo + end - (length if back == distance else n), lo + end)
-        if best:
-            out[doc].append((item, best[0], max(0, best[1]), best[2], n))
-    return out
+        if sum(map(own.__contains__, text[lo:hi].tolist())) < n - most:
+            continue  # every word that isn't edited is there
+        distance, end = nearest(words, text[lo:hi])
+        done = hi if distance <= most else done
+        if distance <= most and (best is None or distance < best[0]):
+            back, length = nearest(words[::-1], text[lo : lo + end][::-1])
+            best = (distance, max(0, lo + end - (length if back == distance else n)), lo + end)
+    return best
 
 
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most about ``block`` of them at a time."""
-    items = need(benchmark, item_id=T.LongType(), text=T.StringType())
-    n = items.count()
-    count = max(1, -(-n // block))
-    for k in range(count):
-        part = items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield [(r.item_id, r.text) for r in part.collect()]
+def text_key(text: Column) -> Column:
+    """What tells texts apart in joins."""
+    return F.unhex(F.md5(text))
 
 
-def _schema(extra: str) -> str:
-    return f"doc_id long, {extra}"
+def candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """text_key, of: struct(item_key, words, begins) of the items to verify in each text. texts: text_key, text; items: from ``distinct_items``."""
+    keys = materialise(index_keys(items), "item-keys")
+    n = keys.agg(F.coalesce(F.sum(F.aggregate("keys", F.lit(0), lambda t, k: t + F.size(k["first"]))), F.lit(0))).first()[0]
+    made, short = key_filter(keys, n)
+    shipped = texts.sparkSession.sparkContext.broadcast((made, short))
 
+    def maker():
+        memo = WordMemo()
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, distance, n_item_words, first_char, end_char: the best place of each item in each row of ``docs``."""
-    base = need(docs, doc_id=T.LongType(), text=T.StringType())
-    out = None
-    for items in _blocks(benchmark, block):
-        shipped = base.sparkSession.sparkContext.broadcast(Index(items, edits, recall))
-
-        def work(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            index, memo = shipped.value, WordMemo()
-            for rows in slices(batches):
-                found = []
-                for doc_id, text, hits in zip(rows["doc_id"], rows["text"], search(index, rows["text"].tolist(), memo), strict=True):
-                    if hits:
-                        spans = [m.span() for m in _WORD.finditer(text.lower())] if len(text.lower()) == len(text) else None
-                        for item, distance, first, end, n in hits:
-                            chars = (spans[first][0], spans[end - 1][1]) if spans and end > first else (None, None)
-                            found.append((doc_id, index.ids[item], distance, n, *chars))
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "n_item_words", "first_char", "end_char"])
-
-        part = base.mapInPandas(work, _schema("item_id long, distance int, n_item_words int, first_char int, end_char int"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        def make(texts):
+            found = found_keys(*shipped.value, texts, memo)
+            return [f[0] for f in found], [f[1] for f in found]
+
+        return make
 
+    found = row_pass(texts, ["text"], "keys array<long>, spots array<int>", maker, ["text_key"]).where(F.size("keys") > 0)
+    found = found.select("text_key", F.inline(F.arrays_zip("keys", "spots"))).select("text_key", F.col("keys").alias("key"), "spots")
+    # copies of a text have the same keys; where they meet in a task they are one row from here on
+    found = materialise(found.groupBy("text_key", "key").agg(F.collect_set("spots").alias("spots")), "text-keys")
+    wanted = materialise(keys.select("item_key", "n", F.inline("keys")).select("item_key", "n", "key", "place").distinct(), "wanted-keys")
+    begins = F.flatten(F.collect_list(F.transform("spots", lambda s: s - F.col("place"))))
+    pairs = found.join(wanted, "key").groupBy("text_key", "item_key").agg(F.first("n").alias("n"), F.count("*").alias("matches"), F.array_distinct(begins).alias("begins"))
+    pairs = pairs.where(F.col("matches") >= F.greatest(F.lit(1), F.floor(F.col("n") / MATCH_WORDS)))
+    near = pairs.join(items.select("item_key", "words"), "item_key")
+    return near.groupBy("text_key").agg(F.collect_list(F.struct("item_key", "words", "begins")).alias("of"))
+
+
+def verified(rows: DataFrame, edits: float, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each row and its hits. rows: text, of (from ``candidates``)."""
+
+    def maker():
+        memo = WordMemo()
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no item: a narrow pass for each block of items."""
-    for items in _blocks(benchmark, block):
-        shipped = docs.sparkSession.sparkContext.broadcast(Index(items, edits, recall))
+        def one(text, of):
+            words, spans, out = word_hash(memo, _WORD.findall(text.lower())), None, []
+            for c in of:
+                item = np.array(c["words"], np.int64).view(np.uint64)
+                hit = best_place(item, words, c["begins"], edits_of(len(item), edits))
+                if hit:
+                    if spans is None:
+                        spans = [m.span() for m in _WORD.finditer(text.lower())] if len(text.lower()) == len(text) else []
+                    at = (spans[hit[1]][0], spans[hit[2] - 1][1]) if spans and hit[2] > hit[1] else (None, None)
+                    out.append({"item_key": c["item_key"], "distance": hit[0], "n_item_words": len(item), "first_char": at[0], "end_char": at[1]})
+            return out
 
-        def work(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            index, memo = shipped.value, WordMemo()
-            for rows in slices(batches):
-                yield rows[[not hits for hits in search(index, rows["text"].tolist(), memo)]]
+        return lambda texts, of: [[one(t, c) for t, c in zip(texts, of, strict=True)]]
 
-        docs = docs.mapInPandas(work, docs.schema)
-    return docs
+    return row_pass(rows, ["text", "of"], "hits array<struct<item_key:binary,distance:int,n_item_words:int,first_char:int,end_char:int>>", maker, keep)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return need(benchmark, item_id=T.LongType(), text=T.StringType()).withColumn("item_key", text_key(F.col("text")))
+
+
+def _hits(base: DataFrame, named: DataFrame, edits: float, keep: list[str]) -> DataFrame:
+    """base: ``keep``, text, text_key."""
+    items = materialise(distinct_items(named.where("text is not null")), "items")
+    near = materialise(candidates(base.select("text_key", "text").where("text <> ''"), items), "candidates")
+    return verified(base.join(near, "text_key").select(*keep, "text", "of"), edits, keep)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """doc_id, item_id, distance, n_item_words, first_char, end_char: the best place of each item in each row of ``docs``."""
+    base = need(docs, doc_id=T.LongType(), text=T.StringType()).withColumn("text_key", text_key(F.col("text")))
+    named = _items(benchmark)
+    hits = materialise(_hits(base, named, edits, ["doc_id"]).select("doc_id", F.inline("hits")), "hits")
+    found = hits.join(named.select("item_key", "item_id"), "item_key")
+    return found.select("doc_id", "item_id", "distance", "n_item_words", "first_char", "end_char")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no item."""
+    key = free_name(docs, "text_key")
+    base = docs.select(text_key(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    hits = _hits(base, _items(benchmark), edits, ["text_key"]).where(F.size("hits") > 0)
+    dirty = materialise(hits.select(F.col("text_key").alias(key)).distinct(), "dirty")
+    return docs.withColumn(key, text_key(F.col("text").cast("string"))).join(dirty, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_cgk_decontaminate(spark, sf_dir: str) -> DataFrame:
