@@ -1,39 +1,37 @@
 """Personal data, and terms that give protected values away, by information-theoretic sanitisation.
 
 Base kinds are matched by their patterns over whole texts. Each matched value is a protected entity. The
-corpus then tells how much other terms reveal it: with contexts as events (the ``WINDOW`` words on either
-side of a mention, equal contexts counted once, so copies of a text add nothing),
+corpus then tells how much a term near a value (one of the ``WINDOW`` words on either side) reveals it, with
+documents as events:
 
-    PMI(entity, term) = log(contexts with both * documents / (contexts of entity * documents with term))
+    PMI(entity, term) = log(documents with the term near the entity * documents / (documents with the entity * documents with the term))
 
-and a term that occurs in at least ``SUPPORT`` distinct contexts of the entity and whose PMI is at least
-``DISCLOSURE`` of the entity's own information, ``log(documents / contexts of entity)``, discloses it: its
-occurrences near the entity are spans too. ``sanitised`` removes values and generalises disclosing terms
-to their shape.
+A term whose PMI is at least ``DISCLOSURE`` of the entity's own information, ``log(documents / documents with the entity)``,
+discloses it: its occurrences near the entity are spans too. A value that one document holds is protected like
+any other: there a term discloses it if at most documents ** (1 - DISCLOSURE) documents hold the term. ``SUPPORT`` asks for more documents with both.
+``sanitised`` removes values and generalises disclosing terms to their shape.
 
-Cases. Null text: no spans. Null doc_id and repeated rows: each row has its own result. Overlaps: kinds are
+Cases. Null text: no spans. Null doc_id and repeated rows: each row has its own result and counts as a document. Overlaps: kinds are
 independent, so spans of two kinds may overlap; a disclosing term inside a base span is none. Ties at a
-threshold disclose. An empty table gives an empty result. Further columns are ignored.
+threshold disclose. One document alone: no entity has information, so no terms. Very long texts are read whole. An empty table gives an empty
+result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skein.llm.common import ROW, documents, materialise, numbered, slices, split_words
+from skein.llm.common import ROW, documents, free_name, materialise, numbered, row_pass, split_words
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a mention that make its context.
+#: Words on either side of a mention whose disclosure is estimated.
 WINDOW = 10
-#: Distinct contexts in which a term must accompany an entity before the estimate counts.
-SUPPORT = 3
+#: Documents in which a term must accompany an entity before the estimate counts.
+SUPPORT = 1
 #: Share of the entity's information that a term may disclose.
 DISCLOSURE = 0.5
 
@@ -97,105 +95,86 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:" + (value.lower() if kind == "email" else re.sub("[^0-9.+]" if kind != "card" else "[^0-9]", "", value))
 
 
-def _contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple]:
-    """(entity, context hash, term, start, end) of the words around each mention that no base span touches."""
+def neighbours(text: str, spans: list[tuple[str, int, int]], window: int) -> list[dict]:
+    """entity, word, start, end of the words around each mention that no base span touches: linear in the text and its spans."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    free, reach, k = [True] * len(words), 0, 0
+    order = sorted((a, b) for _, a, b in spans)
+    for i, (a, b) in enumerate(words):
+        while k < len(order) and order[k][0] < b:  # the furthest end of the spans that begin before the word's end
+            reach = max(reach, order[k][1])
+            k += 1
+        free[i] = reach <= a
     out = []
     for kind, a, b in spans:
-        # words outward from the mention, found in slices that grow until they hold enough
-        left, right = _side(text, a, -1, window), _side(text, b, 1, window)
-        near = [m for m in left + right if not any(s < m[1] and m[0] < e for _, s, e in spans)]
-        words = [(text[s:e].lower().strip(".,;:!?\"'()[]"), s, e) for s, e in near]
-        words = [w for w in words if len(w[0]) > 1]
-        shape = hashlib.blake2b(" ".join(w for w, _, _ in words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        context = int.from_bytes(shape, "big", signed=True)
-        out += [(_entity(kind, text[a:b]), context, w, s, e) for w, s, e in words]
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        entity = _entity(kind, text[a:b])
+        out += [{"entity": entity, "word": text[starts[i] : ends[i]], "start": starts[i], "end": ends[i]} for i in (*range(max(0, before - window), before), *range(after, min(after + window, len(words)))) if free[i]]
     return out
 
 
-def _side(text: str, at: int, way: int, window: int) -> list[tuple[int, int]]:
-    """Up to ``window`` whole words before or after a position."""
-    reach = 16 * window
-    while True:
-        lo, hi = (max(0, at - reach), at) if way < 0 else (at, min(len(text), at + reach))
-        found = [(m.start(), m.end()) for m in _WORD.finditer(text, lo, hi)]
-        cut = (lo > 0) if way < 0 else (hi < len(text))
-        whole = found if not cut else (found[1:] if way < 0 else found[:-1])
-        if len(whole) >= window or not cut:
-            return whole[-window:] if way < 0 else whole[:window]
-        reach *= 4
+def find_base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Base spans and the words near them of every row. docs: uid, doc_id, text."""
 
+    def maker():
+        def make(texts):
+            found = [base_spans(t) if t else [] for t in texts]
+            near = [neighbours(t, s, window) if s else [] for t, s in zip(texts, found, strict=True)]
+            return [[k for k, _, _ in s] for s in found], [[a for _, a, _ in s] for s in found], [[b for _, _, b in s] for s in found], near
 
-_FOUND = T.StructType([
-    T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()),
-    T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())),
-    T.StructField("near", T.ArrayType(T.StructType([
-        T.StructField("entity", T.StringType()), T.StructField("context", T.LongType()), T.StructField("term", T.StringType()),
-        T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-    ]))),
-])
+        return make
 
+    fields = "kinds array<string>, starts array<int>, ends array<int>, near array<struct<entity:string,word:string,start:int,end:int>>"
+    return row_pass(docs, ["text"], fields, maker, ["uid", "doc_id"])
 
-def find_base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Base spans and contexts of every row. docs: uid, doc_id, text."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in slices(batches):
-            found = [base_spans(t) if t else [] for t in rows["text"]]
-            near = [
-                [dict(zip(("entity", "context", "term", "start", "end"), x, strict=True)) for x in _contexts(t, s, window)] if s else []
-                for t, s in zip(rows["text"], found, strict=True)
-            ]
-            yield pd.DataFrame({
-                "uid": rows["uid"], "doc_id": rows["doc_id"],
-                "kinds": [[k for k, _, _ in s] for s in found], "starts": [[a for _, a, _ in s] for s in found], "ends": [[b for _, _, b in s] for s in found],
-                "near": near,
-            })
+def as_term(word: Column) -> Column:
+    """A word in lower case without the marks around it."""
+    return F.regexp_replace(F.lower(word), r"^[.,;:!?\"'()\[\]]+|[.,;:!?\"'()\[\]]+$", "")
+
 
-    return docs.mapInPandas(work, _FOUND)
+def near_terms(found: DataFrame) -> DataFrame:
+    """uid, entity, term, start, end of the words of two characters or more near each mention. found: from ``find_base``."""
+    return found.select("uid", F.inline("near")).select("uid", "entity", as_term(F.col("word")).alias("term"), "start", "end").where(F.length("term") > 1)
 
 
-def disclosing_terms(found: DataFrame, words: DataFrame, n_docs: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def document_terms(docs: DataFrame) -> DataFrame:
+    """One row (term) for each document and distinct term."""
+    return docs.select(F.explode(F.array_distinct(F.transform(split_words(F.col("text")), as_term))).alias("term"))
+
+
+def disclosing_terms(found: DataFrame, terms: DataFrame, n_docs: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term, pmi, information of the terms over the threshold.
 
-    found: from ``find_base``. words: one row (term) for each document and distinct word of it; read only
-    where some term has the support.
+    found: from ``find_base``. terms: one row (term) for each document and distinct term of it, counted in each task before
+    it meets the candidates, so the join sees a row a term; read only where there are candidates. Candidates are
+    at most 2 * WINDOW a mention.
     """
-    near = found.select(F.inline("near"))
-    once = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
-    entities = near.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = once.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    # the contexts that hold a term are a lower bound of the documents that do, and so bound its PMI from above
-    seen = near.groupBy("term", "context").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_seen"))
+    pairs = near_terms(found).select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    entities = found.select("uid", F.inline("near")).select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     n = F.lit(float(n_docs))
     information = F.log(n / F.col("n_entity"))
-    pmi = lambda held: F.log(F.col("n_both") * n / (F.col("n_entity") * F.col(held)))
-    both = both.join(entities, "entity").join(seen, "term").where((information > 0) & (pmi("n_seen") >= disclosure * information))
-    both = materialise(both.drop("n_seen"), "accompanying")
+    both = materialise(pairs.join(entities, "entity").where(information > 0), "accompanying")
     if not both.limit(1).count():
-        return found.sparkSession.createDataFrame([], "entity string, term string, pmi double, information double")
-    terms = materialise(both.select("term").distinct(), "terms")
-    # counted before the join, in each task first, so the join sees a row a term and not one a document
-    held = materialise(words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term"), "term-documents")
+        return both.select("entity", "term", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("information")).limit(0)
+    wanted = materialise(both.select("term").distinct(), "terms")
+    held = materialise(terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term"), "term-documents")
+    pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     return (
-        both.join(held, "term").select("entity", "term", pmi("n_term").alias("pmi"), information.alias("information"))
+        both.join(held, "term").select("entity", "term", pmi.alias("pmi"), information.alias("information"))
         .where(F.col("pmi") >= disclosure * F.col("information"))
     )
 
 
-def document_terms(docs: DataFrame) -> DataFrame:
-    """One row (term) for each document and distinct word, in the form of the contexts' terms."""
-    word = F.explode(F.array_distinct(split_words(F.lower("text"))))
-    return docs.select(word.alias("w")).select(F.regexp_replace("w", r"^[.,;:!?\"'()\[\]]+|[.,;:!?\"'()\[\]]+$", "").alias("term"))
-
-
 def personal_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """uid, doc_id and the base and term spans of each row of ``docs`` (doc_id, text)."""
     uid = F.col(ROW).alias("uid") if ROW in docs.columns else F.monotonically_increasing_id().alias("uid")
     base = docs.select(uid, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialise(find_base(base), "personal")
-    terms = disclosing_terms(found, document_terms(base), found.count(), support, disclosure)
+    terms = materialise(disclosing_terms(found, document_terms(base), found.count(), support, disclosure), "disclosing")
     extra = (
-        found.select("uid", F.inline("near")).join(terms.select("entity", "term"), ["entity", "term"], "left_semi")
+        near_terms(found).join(terms.select("entity", "term"), ["entity", "term"], "left_semi")
         .groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     )
     return found.drop("near").join(extra, "uid", "left")
@@ -220,26 +199,23 @@ def op4_information_sanitise(spark, sf_dir: str) -> DataFrame:
 def sanitised(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with values replaced by their kind and disclosing terms by their shape (``[Name]``, ``[number]``, ``[word]``)."""
     rows = numbered(docs)
-    spans = personal_spans(rows, support, disclosure).select(F.col("uid").alias(ROW), "kinds", "starts", "ends", "terms")
-    schema = docs.schema
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in slices(batches):
-            texts = []
-            for t, kinds, starts, ends, terms in zip(*(rows[c] for c in ("text", "kinds", "starts", "ends", "terms")), strict=True):
-                if t is None:
-                    texts.append(None)
-                    continue
-                cuts = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in zip(kinds, starts, ends, strict=True)]
-                for s in terms if terms is not None else []:
-                    word = t[s["start"] : s["end"]]
-                    cuts.append((s["start"], s["end"], "[Name]" if word[:1].isupper() else "[number]" if word[:1].isdigit() else "[word]"))
-                out, pos = [], 0
-                for a, b, mark in sorted(cuts):
-                    if a >= pos:
-                        out += [t[pos:a], mark]
-                    pos = max(pos, b)
-                texts.append("".join(out) + t[pos:])
-            yield rows.assign(text=texts)[schema.names]
-
-    return rows.join(spans, ROW).mapInPandas(work, schema)
+    held, clean = free_name(docs, "held"), free_name(docs, "clean")
+    spans = personal_spans(rows, support, disclosure).select(F.col("uid").alias(ROW), F.struct("kinds", "starts", "ends", "terms").alias(held))
+
+    def maker():
+        def one(t, of):
+            cuts = [(a, b, f"[{k.upper()}]") for k, a, b in zip(of["kinds"], of["starts"], of["ends"], strict=True)]
+            for s in of["terms"] or []:
+                word = t[s["start"] : s["end"]]
+                cuts.append((s["start"], s["end"], "[Name]" if word[:1].isupper() else "[number]" if word[:1].isdigit() else "[word]"))
+            out, pos = [], 0
+            for a, b, mark in sorted(cuts):
+                if a >= pos:
+                    out += [t[pos:a], mark]
+                pos = max(pos, b)
+            return "".join(out) + t[pos:]
+
+        return lambda texts, spans: [[None if t is None else one(t, s) for t, s in zip(texts, spans, strict=True)]]
+
+    found = row_pass(rows.join(spans, ROW), ["text", held], f"{clean} string", maker, [c for c in docs.columns if c != "text"])
+    return found.select(*(F.col(f"`{clean}`").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
