@@ -4,33 +4,29 @@ Every document starts with the rate 1. Among all rates whose words meet each sou
 nearest to 1 in relative entropy are exponentially tilted, ``rate = exp(sum of the multipliers of the
 document's constraints)``. The multipliers minimise the convex dual
 ``sum(words * exp(multiplier)) - sum(multiplier * target)``; damped Newton steps find them as Spark jobs over
-the words of each combination of constraints. Rates then become whole copies: their integer part, and the
-fractions by error feedback inside small hash buckets, largest documents first, so a bucket ends within about
-half a small document of its share.
+the words of each combination of constraints. Rates then become whole copies: their integer part, and for
+the fraction every so many-th document of a source, in order of size, one more. What a source then lacks of its target or
+has beyond it, less than its largest document, its smallest documents make up for, so it ends within about the size of one of them.
+Both steps are sums over the sizes that occur in a source and ranks inside one size; no source is gathered.
 
 Targets: the sources by code point, null last, weigh 1, 2, 3, 1, 2, 3, ... and share all words; a target
 stops at ``most`` times its source's words and the excess is shared again by weight until none is above.
 
 Cases. Null text: no words, nothing taken. Null source: a source of its own, last. Repeated rows: rows of
-their own. Documents of equal size and hash are alike, so which of them is taken makes no difference to a
-row's content. A source without words has the target 0. An empty table gives an empty result. Further
+their own; which of them is taken follows from their place in the input. A null doc_id is a value. A source without words has the target 0. An empty table gives an empty result. Further
 columns are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import ROW, documents, materialise, need, numbered, split_words
+from skein.llm.common import ROW, documents, free_name, materialise, need, numbered, ranked, split_words
 
 #: No document is taken more often, and no source beyond so many times its words.
 MOST = 3.0
-#: Documents of a bucket in which fractions are rounded.
-BUCKET_ROWS = 20_000
 #: Newton ends when every constraint is met so closely, or after so many steps.
 TOLERANCE = 1e-9
 STEPS = 40
@@ -93,18 +89,36 @@ def entropy_multipliers(cells: DataFrame, targets: dict[str, DataFrame], steps:
     return {c: s.select("value", "multiplier") for c, s in found.items()}
 
 
-def _feed_back(rows: pd.DataFrame) -> pd.DataFrame:
-    """Copies of one bucket: whole parts, then fractions with the error carried to the next smaller document."""
-    rows = rows.sort_values(["words", "tie", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    whole = np.floor(rows["rate"].to_numpy() + 1e-9)
-    part = np.maximum(rows["rate"].to_numpy() - whole, 0.0)
-    copies, owed = np.where(rows["words"] > 0, whole, 0).astype(np.int64), 0.0
-    for k, (w, p) in enumerate(zip(rows["words"].tolist(), part.tolist(), strict=True)):
-        owed += w * p
-        if p > 0 and w > 0 and owed >= w / 2:
-            copies[k] += 1
-            owed -= w
-    return rows.assign(copies=copies)[["uid", "copies"]]
+def _upto(rank: Column) -> Column:
+    """How many of a source's first ``rank`` documents get one more copy."""
+    return F.floor(rank * F.col("part") + 0.5).cast("long")
+
+
+def whole_copies(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """uid, copies of each row. sized: uid, doc_id, source, words; rates: of (a source), target, rate."""
+    at = F.col("source").eqNullSafe(F.col("of"))
+    part = F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + 1e-9))
+    split = rates.select("of", "target", F.floor(F.col("rate") + 1e-9).cast("long").alias("whole"), F.when(part > 1e-9, part).otherwise(0.0).alias("part"))
+    # the sizes of a source, largest first: documents of each, those before it, and how many of them the steps take
+    sizes = sized.where("words > 0").groupBy("source", "words").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("of").orderBy(F.desc("words")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.join(split, at).withColumn("before", F.coalesce(F.sum("n").over(first), F.lit(0)))
+    sizes = sizes.withColumn("more", _upto(F.col("before") + F.col("n")) - _upto(F.col("before")))
+    gap = F.floor(F.max("target").over(Window.partitionBy("of")) + 0.5 - F.sum(F.col("words") * (F.col("whole") * F.col("n") + F.col("more"))).over(Window.partitionBy("of")))
+    # smallest first, the documents that can make up for the gap: those without one more copy where words lack, else those with one
+    sizes = sizes.withColumn("gap", gap).withColumn("able", F.when(F.col("part") == 0, 0).when(F.col("gap") >= 0, F.col("n") - F.col("more")).otherwise(F.col("more")))
+    least = Window.partitionBy("of").orderBy("words").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.abs("gap") - F.coalesce(F.sum(F.col("able") * F.col("words")).over(least), F.lit(0))
+    turned = F.greatest(F.lit(0), F.least(F.col("able"), F.floor(left / F.col("words"))))
+    sizes = materialise(sizes.select("of", F.col("words").alias("size"), "whole", "part", "before", "gap", turned.cast("long").alias("turned")), "size-steps")
+    placed = ranked(sized.where("words > 0"), ["source", "words"], F.xxhash64("doc_id", F.lit(17)), "uid")
+    placed = placed.join(sizes, at & (F.col("words") == F.col("size")))
+    picked_before = _upto(F.col("before") + F.col("rank")) - _upto(F.col("before"))
+    picked = _upto(F.col("before") + F.col("rank") + 1) - _upto(F.col("before") + F.col("rank"))
+    own = F.when(F.col("gap") >= 0, F.when((picked == 0) & (F.col("rank") - picked_before < F.col("turned")), 1).otherwise(picked)).otherwise(
+        F.when((picked == 1) & (picked_before < F.col("turned")), 0).otherwise(picked)
+    )
+    return placed.select("uid", (F.col("whole") + own).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights_by: str = "source", most: float = MOST) -> DataFrame:
@@ -122,26 +136,17 @@ def mix(docs: DataFrame, weights_by: str = "source", most: float = MOST) -> Data
 def mix_sizes(sized: DataFrame, most: float = MOST) -> DataFrame:
     """As ``mix``, from rows of uid, doc_id, source, words."""
     targets = materialise(source_targets(sized.select("source", "words"), most), "source-targets")
-    cells = materialise(sized.groupBy("source").agg(F.sum("words").cast("double").alias("words"), F.count("*").alias("docs")), "cells")
+    cells = materialise(sized.groupBy("source").agg(F.sum("words").cast("double").alias("words")), "cells")
     multiplier = entropy_multipliers(cells, {"source": targets.select(F.col("source").alias("value"), "target")})["source"]
     rates = materialise(
-        targets.join(multiplier, F.col("source").eqNullSafe(F.col("value")))
-        .join(cells.select(F.col("source").alias("cell"), "docs"), F.col("source").eqNullSafe(F.col("cell")))
-        .select(
-            F.col("source").alias("of"), "source_size", "target",
-            F.least(F.lit(most), F.when(F.col("target") > 0, F.exp("multiplier")).otherwise(0.0)).alias("rate"),
-            F.ceil(F.col("docs") / BUCKET_ROWS).cast("int").alias("buckets"),
+        targets.join(multiplier, F.col("source").eqNullSafe(F.col("value"))).select(
+            F.col("source").alias("of"), "source_size", "target", F.least(F.lit(most), F.when(F.col("target") > 0, F.exp("multiplier")).otherwise(0.0)).alias("rate"),
         ),
         "rates",
     )
+    copies = whole_copies(sized, rates)
     rated = sized.join(rates, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    tie = F.xxhash64("doc_id", F.lit(17))
-    bucketed = rated.select(
-        "uid", "doc_id", "words", "rate", tie.alias("tie"),
-        F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("buckets"))).alias("bucket"),
-    )
-    copies = bucketed.groupBy("bucket").applyInPandas(_feed_back, "uid long, copies long")
-    return rated.drop("buckets").join(copies, "uid")
+    return rated.join(copies, "uid", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("long"))
 
 
 def op2_entropy_mix(spark, sf_dir: str) -> DataFrame:
@@ -160,6 +165,7 @@ def mixed_documents(docs: DataFrame, most: float = MOST) -> DataFrame:
         rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "source", F.size(split_words(F.col("text"))).cast("long").alias("words"))
         .withColumnRenamed(ROW, "uid"), "sizes",
     )
-    copies = mix_sizes(sized, most).where(F.col("copies") > 0).select(F.col("uid").alias(ROW), F.col("copies").cast("int").alias("_copies"))
+    again, which = free_name(docs, "copies"), free_name(docs, "copy")
+    copies = mix_sizes(sized, most).where(F.col("copies") > 0).select(F.col("uid").alias(ROW), F.col("copies").cast("int").alias(again))
     taken = rows.join(copies, ROW)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return taken.withColumn(which, F.explode(F.sequence(F.lit(1), F.col(again)))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,8 +9,11 @@ Law ``rows``: shard sizes differ by one row at most.
 State is one row for each (group, shard), so a group of any size is a few rows and all moves of a round
 are joins and sums over them; groups of one document never enter. Per-shard tables have one row a shard.
 
+Documents are dealt and numbered by their doc_id and text, so a table gives one layout however it is split; only rows
+equal in both may change places.
+
 Cases. Null text: an empty text. Null doc_id: as any other value. Repeated rows: rows of their own, linked by
-their text. Ties: the lower hash, then the lower shard. Fewer rows than shards: some shards are empty. An
+their text. Columns named ``shard`` or ``slot``: ``sharded`` puts its own in their place. Ties: the lower hash, then the lower shard. Fewer rows than shards: some shards are empty. An
 empty table gives an empty result. Further columns are ignored.
 """
 
@@ -18,14 +21,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skein.llm.common import ROW, documents, materialise, need, numbered
+from skein.llm.common import ROW, documents, free_name, materialise, numbered, ranked
 
 SHARDS = 40
 ROUNDS = 6
-#: Rows that one task orders when rows beyond a quota are numbered.
-BUCKET_ROWS = 50_000
 
 
 def _share(key: Column, *salt: Column) -> Column:
@@ -83,23 +83,13 @@ def propagate(cells: DataFrame, outside: DataFrame, n: int, shards: int, rounds:
     return state
 
 
-def _number(rows: DataFrame, within: list[str], bucket: Column, order: list[Column]) -> DataFrame:
-    """``rows`` with ``rank``, 0, 1, ... within the columns: window ranks inside small buckets plus the buckets' offsets."""
-    rows = rows.withColumn("_b", bucket)
-    sizes = rows.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_n")
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*within, "_b").orderBy(*order)) - 1)
-    return ranked.join(before, [*within, "_b"]).withColumn("rank", F.col("_r") + F.col("_off")).drop("_r", "_off", "_b")
-
-
 def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """uid, shard, slot of each row. rows: uid, doc_id, key (equal for linked documents), materialised."""
     n = rows.count()
-    buckets = max(1, -(-n // (shards * BUCKET_ROWS)))
+    order = F.xxhash64("doc_id", "key", F.lit(3))
     first = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.lit(shards)).cast("int"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # written before it is joined back, so that adaptive execution can split the rows of a very large group
+    sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "members")
     linked = materialise(first.join(sizes, "key", "left"), "linked")
     cells = linked.where("members > 1").groupBy("key", "shard").agg(F.count("*").alias("n"))
     outside = materialise(linked.where("members is null").groupBy("shard").agg(F.count("*").alias("n")), "outside")
@@ -107,28 +97,29 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
 
     # the k-th document of (key, origin) goes where the running total of that cell's parts says
     pieces = moved.groupBy("key", F.col("origin").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("parts"))
-    single = linked.where("members is null").select("uid", "shard", F.lit(1).alias("loose"))
+    pieces = materialise(pieces, "pieces")
+    single = linked.where("members is null").select("uid", "doc_id", "key", "shard", F.lit(1).alias("loose"))
     whole = pieces.where(F.size("parts") == 1)
     grouped = linked.where("members > 1").select("uid", "doc_id", "key", "shard")
-    simple = grouped.join(whole, ["key", "shard"]).select("uid", F.col("parts")[0]["shard"].alias("shard"), F.lit(0).alias("loose"))
+    simple = grouped.join(whole, ["key", "shard"]).select("uid", "doc_id", "key", F.col("parts")[0]["shard"].alias("shard"), F.lit(0).alias("loose"))
     split = grouped.join(pieces.where(F.size("parts") > 1), ["key", "shard"])
-    spread_over = F.pmod(F.xxhash64("uid"), F.lit(max(1, -(-n // BUCKET_ROWS))))
-    split = _number(split, ["key", "shard"], spread_over, [F.col("doc_id"), F.col("uid")])
+    split = ranked(split, ["key", "shard"], order, "uid")
     ends = F.transform("parts", lambda p, k: F.struct(p["shard"].alias("shard"), F.aggregate(F.slice("parts", 1, k + 1), F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("end")))
-    split = split.select("uid", F.filter(ends, lambda p: F.col("rank") < p["end"])[0]["shard"].alias("shard"), F.lit(0).alias("loose"))
+    split = split.select("uid", "doc_id", "key", F.filter(ends, lambda p: F.col("rank") < p["end"])[0]["shard"].alias("shard"), F.lit(0).alias("loose"))
     wanted = materialise(single.unionByName(simple).unionByName(split), "wanted")
 
     # exact quotas: unlinked rows have the last numbers of a shard, and those beyond its quota fill the other shards
-    b = F.col("loose") * buckets + F.pmod(F.xxhash64("uid", F.lit(3)), F.lit(buckets))
-    ranked = materialise(_number(wanted, ["shard"], b, [F.col("uid")]), "ranked")
+    bound = wanted.groupBy("shard").agg(F.count_if(F.col("loose") == 0).alias("bound"))  # one row a shard
+    placed = ranked(wanted, ["shard", "loose"], order, "uid").join(F.broadcast(bound), "shard")
+    placed = materialise(placed.select("uid", "shard", F.when(F.col("loose") == 1, F.col("rank") + F.col("bound")).otherwise(F.col("rank")).alias("rank")), "ranked")
     every = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    loads = every.join(ranked.groupBy("shard").agg(F.count("*").alias("load")), "shard", "left").select("shard", F.coalesce("load", F.lit(0)).alias("load"), _quotas(n, shards).alias("quota"))
+    loads = every.join(placed.groupBy("shard").agg(F.count("*").alias("load")), "shard", "left").select("shard", F.coalesce("load", F.lit(0)).alias("load"), _quotas(n, shards).alias("quota"))
     up_to = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     loads = loads.withColumn("over", F.greatest(F.lit(0), F.col("load") - F.col("quota"))).withColumn("short", F.greatest(F.lit(0), F.col("quota") - F.col("load")))
     loads = materialise(
         loads.withColumn("over_from", F.sum("over").over(up_to) - F.col("over")).withColumn("short_from", F.sum("short").over(up_to) - F.col("short")).coalesce(1), "loads"
     )  # one row a shard
-    stay = ranked.join(F.broadcast(loads.select("shard", "quota", "over_from")), "shard")
+    stay = placed.join(F.broadcast(loads.select("shard", "quota", "over_from")), "shard")
     kept = stay.where("rank < quota").select("uid", "shard", F.col("rank").alias("slot"))
     leaving = stay.where("rank >= quota").select("uid", (F.col("over_from") + F.col("rank") - F.col("quota")).alias("place"))
     holes = F.broadcast(loads.where("short > 0").select("shard", "load", "short_from", "short"))
@@ -165,5 +156,7 @@ def op6_label_propagation(spark, sf_dir: str) -> DataFrame:
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with its own columns and shard, slot."""
     rows = numbered(docs)
-    found = shard_documents(rows, shards).select(F.col("uid").alias(ROW), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    return rows.join(found, ROW).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_shard").cast("int").alias("shard"), F.col("_slot").cast("long").alias("slot"))
+    place = free_name(docs, "place")
+    found = shard_documents(rows, shards).select(F.col("uid").alias(ROW), F.struct("shard", "slot").alias(place))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return rows.join(found, ROW).select(*own, F.col(f"`{place}`.shard").cast("int").alias("shard"), F.col(f"`{place}`.slot").cast("long").alias("slot"))
