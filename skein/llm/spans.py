@@ -16,16 +16,13 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skein.llm.common import ROW, WordMemo, documents, materialise, mix64, numbered, slices, word_hash
+from skein.llm.common import ROW, WordMemo, documents, free_name, materialise, mix64, numbered, row_pass, word_hash
 
 #: Sentences and words that a run has at least.
 RUN = 2
@@ -39,7 +36,7 @@ NEAR = 3
 _SENTENCE = re.compile(r"([^\n.!?…。！？]+)[.!?…。！？]*")
 _WORD = re.compile(r"\S+")
 
-_UNITS = "uid long, doc_id long, starts array<int>, ends array<int>, runs array<struct<h:bigint,first:int,last:int>>"
+_UNITS = "starts array<int>, ends array<int>, runs array<struct<h:bigint,first:int,last:int>>"
 
 
 def cuts(words: np.ndarray) -> list[int]:
@@ -118,16 +115,16 @@ def runs(of: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
 def document_runs(docs: DataFrame) -> DataFrame:
     """Sentences and runs of every row. docs: uid, doc_id, text."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def maker():
         memo = WordMemo()
-        for rows in slices(batches):
-            found = [units(t, memo) if t else [] for t in rows["text"]]
-            yield pd.DataFrame({
-                "uid": rows["uid"], "doc_id": rows["doc_id"], "starts": [[u[0] for u in x] for x in found], "ends": [[u[1] for u in x] for x in found],
-                "runs": [[{"h": h, "first": i, "last": j} for h, i, j in runs(x)] for x in found],
-            })
 
-    return docs.mapInPandas(work, _UNITS)
+        def make(texts):
+            found = [units(t, memo) if t else [] for t in texts]
+            return [[u[0] for u in x] for x in found], [[u[1] for u in x] for x in found], [[{"h": h, "first": i, "last": j} for h, i, j in runs(x)] for x in found]
+
+        return make
+
+    return row_pass(docs, ["text"], _UNITS, maker, ["uid", "doc_id"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -135,7 +132,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Runs of 24 bytes each are shuffled, not texts: once to find the first place of each repeated hash, once to find
     the others. A run that very many documents hold is one partial result a task in the first; in the
-    second its rows only meet one row, and Spark may split them.
+    second its rows meet one written row, so adaptive execution splits them.
     """
     uid = F.col(ROW).alias("uid") if ROW in docs.columns else F.monotonically_increasing_id().alias("uid")
     found = materialise(document_runs(docs.select(uid, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "runs")
@@ -144,6 +141,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         every.groupBy("h").agg(F.min(F.struct("doc_id", "uid", "k")).alias("first"), F.count("*").alias("n")).where("n > 1")
         .select("h", F.col("first.uid").alias("f_uid"), F.col("first.k").alias("f_k"))
     )
+    firsts = materialise(firsts, "firsts")  # a join with what is written can be split where one run has very many places
     later = every.join(firsts, "h").where((F.col("uid") != F.col("f_uid")) | (F.col("k") != F.col("f_k")))
     covered = later.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "last"))).alias("covered"))
     # runs come in order of their first sentence and their ends never fall, so a run adds what the last one lacks
@@ -173,18 +171,19 @@ def op7_sentence_spans(spark, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated spans of their texts."""
     rows = numbered(docs)
-    spans = repeated_spans(rows).select(F.col("uid").alias(ROW), "spans")
-    schema = T.StructType(docs.schema.fields)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches):
-            texts = []
-            for t, cuts in zip(part["text"], part["spans"], strict=True):
-                pos, out = 0, []
-                for s in cuts if t is not None else []:
-                    out.append(t[pos : s["start"]])
-                    pos = s["end"]
-                texts.append(None if t is None else "".join(out) + t[pos:])
-            yield part.assign(text=texts)[schema.names]
-
-    return rows.join(spans, ROW).mapInPandas(work, schema)
+    cuts = free_name(docs, "cuts")
+    spans = repeated_spans(rows).select(F.col("uid").alias(ROW), F.col("spans").alias(cuts))
+    text = free_name(docs, "left")
+
+    def maker():
+        def one(t, spans):
+            pos, out = 0, []
+            for s in spans:
+                out.append(t[pos : s["start"]])
+                pos = s["end"]
+            return "".join(out) + t[pos:]
+
+        return lambda texts, spans: [[None if t is None else one(t, c) for t, c in zip(texts, spans, strict=True)]]
+
+    found = row_pass(rows.join(spans, ROW), ["text", cuts], f"{text} string", maker, [c for c in docs.columns if c != "text"])
+    return found.select(*(F.col(f"`{text}`").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -17,19 +17,16 @@ Very long texts are scored whole. An empty table gives an empty result. Further
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skein.llm.common import documents, materialise, read, slices
+from skein.llm.common import documents, free_name, materialise, read, row_pass
 
-#: Labelled documents that the model is fitted on, at most.
+#: Labelled documents that the model is fitted on, at most, and characters of their texts together.
 TRAIN_ROWS = 6_000
+TRAIN_CHARS = 60_000_000
 #: Hashed features, as a power of two.
 BITS = 18
 #: A feature counts if so many training documents have it.
@@ -154,20 +151,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[np.ndarray, float]:
     """Fit on at most ``rows`` labelled documents. docs: doc_id, text; labels: doc_id, toxic.
 
-    Only the sample's texts reach the driver, and only its ids are broadcast.
+    Whole texts of the sample reach the driver, in the order of a hash of their doc_id until they hold ``chars`` characters
+    together; a doc_id with several texts counts once, with the longest, then least of them. Only the sample's ids are broadcast.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
         .where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    sample = materialise(marked.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(rows), "sample")
+    order = F.xxhash64("doc_id", F.lit(29))
+    sample = materialise(marked.orderBy(order, "doc_id").limit(rows), "sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most TRAIN_ROWS rows of two numbers, so the broadcast is bounded whatever the corpus
-    got = texts.join(F.broadcast(sample), "doc_id").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    return fit([t or "" for t in got["text"]], got["toxic"].to_numpy())
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.struct(F.length("text").alias("n"), F.col("text"))).alias("of"))
+    one = materialise(one.select("doc_id", "toxic", F.coalesce("of.n", F.lit(0)).alias("n"), F.coalesce("of.text", F.lit("")).alias("text")), "sample-texts")
+    upto = Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the sample's rows, without their texts
+    fit_on = one.select("doc_id", F.sum("n").over(upto).alias("upto")).where(F.col("upto") <= chars).select("doc_id")
+    got = one.join(F.broadcast(fit_on), "doc_id", "left_semi").select("doc_id", "toxic", "text").toPandas().sort_values("doc_id", kind="stable")
+    return fit(list(got["text"]), got["toxic"].to_numpy())
 
 
 class Scorer:
@@ -198,42 +201,40 @@ class Scorer:
         return float(-np.expm1(log_clean[0])), p
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All rows and columns of ``docs`` (with text) and score, n_sentences, offending (numbers of the sentences at fault).
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default) of every row of ``docs`` and the struct ``name``: score, n_sentences, offending (numbers of the sentences at fault).
 
     The model is a fixed number of weights, 2 MB, sent with the tasks.
     """
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((np.flatnonzero(model[0]).astype(np.int32), model[0][model[0] != 0], model[1]))
-    schema = T.StructType([
-        *docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_sentences", T.IntegerType()), T.StructField("_offending", T.ArrayType(T.IntegerType())),
-    ])
+    shipped = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model[0]).astype(np.int32), model[0][model[0] != 0], model[1]))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def maker():
         at, values, bias = shipped.value
         weights = np.zeros(1 << BITS)
         weights[at] = values
         scorer = Scorer(weights, bias)
-        for rows in slices(batches):
-            found = [scorer.document(t) if t else (0.0, np.zeros(0)) for t in rows["text"]]
-            yield rows.assign(
-                _score=[min(1.0, max(0.0, s)) for s, _ in found], _sentences=np.array([len(p) for _, p in found], np.int32),
-                _offending=[np.flatnonzero(p >= OFFENDING).astype(np.int32).tolist() for _, p in found],
-            )
 
-    return docs.mapInPandas(work, schema)
+        def make(texts):
+            found = [scorer.document(t) if t else (0.0, np.zeros(0)) for t in texts]
+            return [[{"score": min(1.0, max(0.0, s)), "n_sentences": len(p), "offending": np.flatnonzero(p >= OFFENDING).tolist()} for s, p in found]]
+
+        return make
+
+    return row_pass(docs, ["text"], f"`{name}` struct<score:double,n_sentences:int,offending:array<int>>", maker, keep)
 
 
 def op5_noisy_or_toxicity(spark, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     docs = documents(spark, sf_dir, "doc_id", "text")
-    found = scored(docs, train(docs, read(spark, sf_dir, "labels")))
+    found = scored(docs, train(docs, read(spark, sf_dir, "labels")), keep=["doc_id"])
+    score = F.col("toxicity.score")
     return found.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= 0.5, 1).otherwise(0).alias("predicted"),
-        F.col("_sentences").alias("n_sentences"), F.array_join("_offending", ",").alias("offending"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.col("toxicity.n_sentences").alias("n_sentences"), F.array_join("toxicity.offending", ",").alias("offending"),
     )
 
 
 def accepted(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """The rows of ``docs`` whose score is below ``reject``; a model trained on the labelled ones among them decides."""
-    return scored(docs, train(docs, labels)).where(F.col("_score") < reject).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = free_name(docs, "toxicity")
+    return scored(docs, train(docs, labels), name).where(F.col(f"`{name}`.score") < reject).select(*(F.col(f"`{c}`") for c in docs.columns))

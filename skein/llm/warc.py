@@ -6,8 +6,8 @@ is audited against another along the manifest: a leaf is the SHA-256 of a record
 its children's digests in order, ``FANOUT`` children and so one range of offsets each, up to one root a file.
 Roots are compared first; only children of nodes that differ are read at the next level down, to the records.
 
-Cases. Null url or html: empty fields. Null page_id: a record like others. Repeated rows: records of their own,
-next to each other. A record that a replica lacks is ``missing``, one that only the other has ``extra``, one
+Cases. Null url or html: empty fields. Null page_id: a record like others. Repeated rows: records of their own;
+very many of them are dealt to several files. A record that a replica lacks is ``missing``, one that only the other has ``extra``, one
 whose bytes differ ``corrupt``. Very long pages: one record of any length. An empty table: no rows. Further
 columns are ignored.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import materialise, need, read, spread
+from skein.llm.common import materialise, need, ranked, read, spread
 
 FILE_RECORDS = 1024
 FANOUT = 8
@@ -52,24 +52,30 @@ def parse_record(record: Column) -> Column:
 def manifest(pages: DataFrame) -> DataFrame:
     """Files, ordinals, offsets and digests of the records of ``pages`` (page_id, url, html), without their bytes.
 
-    The number of files follows the number of pages, so the windows that lay out a file see about
-    FILE_RECORDS rows of a few numbers whatever the table holds.
+    nth tells equal records apart. The number of files follows the number of pages and a record's file from its digest and, for
+    each FILE_RECORDS / 4 equal ones, from nth; so the windows that lay out a file see about FILE_RECORDS rows of a few numbers whatever the table holds.
     """
-    base = need(pages, page_id=T.LongType(), url=T.StringType(), html=T.StringType())
-    record = record_bytes(F.col("url"), F.col("html"), F.col("page_id"))
-    digests = materialise(
-        base.select("page_id", record.alias("record")).select("page_id", F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest")),
-        "digests",
-    )
+    digests = materialise(record_digests(pages), "digests")
     files = max(1, -(-digests.count() // (FILE_RECORDS // 2)))
-    placed = digests.withColumn("file", F.pmod(F.xxhash64("page_id", F.substr("digest", F.lit(1), F.lit(2))), F.lit(files)))
-    order = Window.partitionBy("file").orderBy("page_id", "digest")
+    placed = digests.withColumn("file", F.pmod(F.xxhash64("page_id", "digest", F.floor(F.col("nth") / (FILE_RECORDS // 4))), F.lit(files)))
+    order = Window.partitionBy("file").orderBy("page_id", "digest", "nth")
     return placed.select(
-        "file", (F.row_number().over(order) - 1).alias("ordinal"), "page_id", "length", "digest",
+        "file", (F.row_number().over(order) - 1).alias("ordinal"), "page_id", "nth", "length", "digest",
         (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")).alias("offset"),
     )
 
 
+def record_digests(pages: DataFrame, damaged: Column | None = None) -> DataFrame:
+    """page_id, length, digest, nth of the record of each row of ``pages``, and held: the digest of its bytes after ``damaged``."""
+    base = need(pages, page_id=T.LongType(), url=T.StringType(), html=T.StringType())
+    made = base.select("page_id", record_bytes(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
+    held = [] if damaged is None else [F.sha2(damaged, 256).alias("held")]
+    found = materialise(
+        made.select(F.monotonically_increasing_id().alias("uid"), "page_id", F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *held), "records"
+    )
+    return ranked(found, ["page_id", "digest"], F.lit(0), "uid", "nth").drop("uid")
+
+
 def tree_level(nodes: DataFrame) -> DataFrame:
     """The next level up. Nodes: file, ordinal, digest, offset, length."""
     children = F.array_sort(F.collect_list(F.struct("ordinal", "digest")))  # FANOUT at most
@@ -141,17 +147,12 @@ def op8_merkle_audit(spark, sf_dir: str) -> DataFrame:
     """
     pages = spread(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     laid_out = materialise(manifest(pages), "manifest")
-    record = record_bytes(F.col("url"), F.col("html"), F.col("page_id"))
     hurt = _damaged(F.col("page_id"))
-    copy = pages.where(hurt.isNull() | (hurt != "missing")).select(
-        "page_id",
-        F.when(hurt == "corrupt", F.concat(F.encode(F.lit("X"), "UTF-8"), F.substring(record, 2, 1 << 30))).otherwise(record).alias("record"),
-    )
-    # the copy's records lie where the manifest put that page; a page's repeated rows are matched in order
-    copy = copy.select("page_id", F.sha2("record", 256).alias("digest"))
-    nth = lambda d: F.row_number().over(Window.partitionBy("page_id").orderBy(d))
-    places = laid_out.withColumn("nth", nth(F.col("ordinal"))).select("page_id", "nth", "file", "ordinal", "offset", "length")
-    leaves = copy.withColumn("nth", nth(F.col("digest"))).join(places, ["page_id", "nth"]).select("file", "ordinal", "digest", "offset", "length")
+    bytes_ = F.when(hurt == "corrupt", F.concat(F.encode(F.lit("X"), "UTF-8"), F.substring("record", 2, 1 << 30))).otherwise(F.col("record"))
+    copy = record_digests(pages, bytes_).where(hurt.isNull() | (hurt != "missing"))
+    # the copy's records lie where the manifest put the record that they were written as
+    same = F.struct(F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", "nth").alias("same")
+    leaves = copy.select(same, F.col("held").alias("digest")).join(laid_out.select(same, "file", "ordinal", "offset", "length"), "same").drop("same")
     found = audit(merkle(laid_out, "first"), merkle(leaves, "second"))
     return (
         laid_out.select("file", "ordinal", "page_id", "length", "offset").join(found.select("file", "ordinal", "status"), ["file", "ordinal"], "left")

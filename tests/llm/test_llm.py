@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.common import ROW, WordMemo
+from skein.llm.common import ROW, WordMemo, word_hash
 from skein.llm import components, decontaminate, html, mixing, neardup, privacy, quality, sharding, spans, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -152,36 +152,63 @@ def test_contamination_exact_and_edited(spark):
     got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
     assert all(r.distance == (5 if 20 <= r.doc_id < 40 else 0) or r.distance < 5 for r in got)
-    # blocks of items find the same, and the filter keeps the rest
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench, block=7).collect()} == want
     assert {r.doc_id for r in decontaminate.clean_documents(frame(spark, docs), bench).collect()} == set(range(40, 60))
     assert decontaminate.clean_documents(awkward(spark), bench).count() == 6
     assert decontaminate.contaminated(awkward(spark), bench.limit(0)).count() == 0
 
 
-def edited(rng, words, edits):
+def edited(rng, words, edits, only=None):
     out = list(words)
     for k in range(edits):
         p = rng.randrange(len(out))
-        way = rng.randrange(3)
-        out[p : p + (way != 0)] = [f"new{k}"] if way != 2 else []
+        way = rng.randrange(3) if only is None else only
+        out[p : p + (way != 2)] = [f"new{k}"] if way != 0 else []
     return out
 
 
-def recall_at(n, trials):
-    rng = random.Random(n)
-    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for _ in range(trials)]
-    index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
-    around = lambda: [f"y{rng.randrange(3000)}" for _ in range(30)]
-    texts = [" ".join(around() + edited(rng, w, n // 5) + around()) for w in items]
-    found = decontaminate.search(index, texts, WordMemo())
-    return sum(any(h[0] == k for h in hits) for k, hits in enumerate(found)) / trials
+def hits_of(items, texts):
+    """What the keys and the verification find, item by text, without Spark."""
+    memo = WordMemo()
+    hashed = [word_hash(memo, w) for w in items]
+    keys = [dict((k[-1], at) for at, k in reversed(decontaminate.item_keys(w))) for w in hashed]
+    every = [x for w in hashed for _, k in decontaminate.item_keys(w) for x in k]
+    made = decontaminate.Filter(len(every))
+    made.put(np.array(every, np.int64))
+    out = []
+    for k, (found, spots) in enumerate(decontaminate.found_keys(made, True, texts, memo)):
+        both = [(x, p) for x, p in zip(found.tolist(), spots.tolist()) if x in keys[k]]
+        if len({x for x, _ in both}) >= max(1, len(items[k]) // decontaminate.MATCH_WORDS):
+            words = word_hash(memo, texts[k].split())
+            out.append(decontaminate.best_place(hashed[k], words, [p - keys[k][x] for x, p in both], decontaminate.edits_of(len(items[k]), decontaminate.EDITS)))
+        else:
+            out.append(None)
+    return out
 
 
-@pytest.mark.parametrize("n", [3, 5, 6, 7, 8, 9, 10, 14, 15, 16, 19, 20, 30, 47, 48, 60, 100])
-def test_recall_by_item_length(n):
-    assert recall_at(n, 400) >= (1 if n < decontaminate.SHORT else decontaminate.RECALL)
+def plain_distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i in range(1, len(p) + 1):
+        new = [i]
+        for j in range(1, len(t) + 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p[i - 1] != t[j - 1])))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("way", [0, 1, 2, None])
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 16, 20, 30, 48, 60, 100])
+def test_recall_by_item_length(n, way):
+    """Items at their full share of edits: removed (0), put in (2), replaced (1) or any of these words."""
+    rng = random.Random(n)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for _ in range(300)]
+    around = lambda: [f"y{rng.randrange(3000)}" for _ in range(30)]
+    texts = [" ".join(around() + edited(rng, w, n // 5, way) + around()) for w in items]
+    found = hits_of(items, texts)
+    assert np.mean([f is not None for f in found]) >= (0.9 if n < 12 else 0.97)
+    for item, text, hit in list(zip(items, texts, found))[:10]:
+        if hit:
+            assert hit[0] == plain_distance(item, text.split()) <= n // 5
 
 
 def test_edit_distance_by_bits():
@@ -232,7 +259,7 @@ def test_terms_that_disclose(spark):
         texts[k] = f"{prose(rng, 15)} Zaphod write to z@beeb.org now {prose(rng, 15)}"
     found = {r.doc_id: r for r in privacy.personal_spans(frame(spark, texts)).collect()}
     for k in range(5):
-        assert [texts[k][s["start"] : s["end"]] for s in found[k].terms] == ["Zaphod", "write", "now"] or "Zaphod" in [texts[k][s["start"] : s["end"]] for s in found[k].terms]
+        assert {"Zaphod", "write", "now"} <= {texts[k][s["start"] : s["end"]] for s in found[k].terms}
     assert all(not found[k].terms for k in range(5, 300))
     clean = {r.doc_id: r.text for r in privacy.sanitised(frame(spark, texts)).collect()}
     assert "z@beeb.org" not in clean[0] and "[EMAIL]" in clean[0] and "[Name]" in clean[0] and clean[7] == texts[7]
@@ -258,16 +285,16 @@ def test_toxicity_learns_from_document_labels(spark):
     model = toxicity.train(docs, marks)
     got = toxicity.scored(docs, model).collect()
     held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert np.mean([(r._score >= 0.5) == (r.doc_id % 4 == 0) for r in held]) > 0.97
+    assert np.mean([(r.toxicity.score >= 0.5) == (r.doc_id % 4 == 0) for r in held]) > 0.97
     for r in held:
-        if r.doc_id % 4 == 0 and r._score >= 0.5:
+        if r.doc_id % 4 == 0 and r.toxicity.score >= 0.5:
             words, ends = toxicity.sentences(r.text)
             begin = [0, *ends[:-1]]
-            assert all(any(w.strip(".") in bad for w in words[begin[s] : ends[s]]) for s in r._offending)
+            assert all(any(w.strip(".") in bad for w in words[begin[s] : ends[s]]) for s in r.toxicity.offending)
     out = toxicity.scored(awkward(spark), model)
-    assert out.count() == 6 and {r._score for r in out.where("text is null or text = ''").collect()} == {0.0}
+    assert out.count() == 6 and {r.toxicity.score for r in out.where("text is null or text = ''").collect()} == {0.0}
     none = toxicity.train(docs, marks.limit(0))
-    assert toxicity.scored(docs.limit(3), none).agg(F.max("_score")).first()[0] < 1e-9
+    assert toxicity.scored(docs.limit(3), none).agg(F.max("toxicity.score")).first()[0] < 1e-9
 
 
 # op6
@@ -300,7 +327,7 @@ def test_repeated_sentence_runs(spark):
     for k in (3, 11, 20):
         texts[k] = f"{prose(rng, 40)}.\n{passage}\n{prose(rng, 40)}"
     got = {r.doc_id: r for r in spans.repeated_spans(frame(spark, texts)).collect()}
-    assert [k for k in got if got[k].n_removed] == [11, 20] or {k for k in got if got[k].n_removed} == {11, 20}
+    assert {k for k in got if got[k].n_removed} == {11, 20}
     left = {r.doc_id: r.text for r in spans.deduplicated(frame(spark, texts)).collect()}
     assert passage in left[3] and "passage word" not in left[11] and left[5] == texts[5]
     out = spans.deduplicated(awkward(spark))
@@ -434,7 +461,7 @@ def test_line_frequency(spark):
     texts.append("a b c " * 40)
     got = {r.doc_id: r for r in quality.line_frequency_verdicts(frame(spark, texts, lambda k: "one")).collect()}
     assert got[0].removed_words == 5 and got[0].kept and got[50].removed_words == 0
-    assert not got[60].kept and not got[60].base_failed or got[60].base_failed
+    assert not got[60].kept and got[60].base_failed
     assert got[61].base_failed and got[62].base_failed and got[62].n_repeat_words == 120
     clean = {r.doc_id: r.text for r in quality.cleaned_texts(frame(spark, texts, lambda k: "one")).collect()}
     assert clean[0] == texts[0].removesuffix("\n" + menu) and clean[50] == texts[50] and 61 not in clean
