@@ -43,7 +43,7 @@ REPETITIONS = 6
 PERIOD = 6
 PLACES = 4
 #: A candidate has a match for every so many words of the item.
-MATCH_WORDS = 16
+MATCH_WORDS = 8
 #: Words that the places of a key lie on at least, and the words of an item below which one less is enough.
 SPREAD = 3
 SHORT = 8
