@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -34,6 +36,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cached(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` of the shared folder; if there is none, what ``build`` gives is written there first.
+
+    A write that fails leaves no table: a small one beside it, written last, says that it is whole.
+    """
+    path = f"{shared_dir(spark)}/skein-cache-{name}"
+    try:
+        spark.read.parquet(f"{path}-whole")
+    except AnalysisException:
+        build().write.mode("overwrite").parquet(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}-whole")
+    return spark.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a tiny input over all cores; an input with as many splits as cores stays where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sizes of the groups that make links.
+from skein.functions.scratch import materialise
+
+#: Sizes of the groups that make links in the thresholded network.
 MIN_GROUP, MAX_GROUP = 2, 300
 
 
@@ -23,13 +29,15 @@ def graph_nodes(el: DataFrame, a: str = "a", b: str = "b", by: tuple[str, ...] =
     return el.select(*by, F.col(a).alias("node")).union(el.select(*by, F.col(b).alias("node"))).where("node is not null").distinct()
 
 
-def co_membership(members: DataFrame, least: int = MIN_GROUP, most: int = MAX_GROUP) -> DataFrame:
+def co_membership(members: DataFrame, least: int = MIN_GROUP, most: int | None = None) -> DataFrame:
     """layer, a, b, n: pairs that share a group, with the number of shared groups. members: layer, grp, node, distinct.
 
-    Groups outside the sizes are dropped before the self-join, which bounds the pairs of a group.
+    Groups outside the sizes asked for are dropped before the self-join. Without ``most`` every group counts.
     """
-    size = F.count("*").over(Window.partitionBy("layer", "grp"))
-    fit = members.withColumn("size", size).where(F.col("size").between(least, most)).drop("size")
+    fit = members
+    if most is not None or least > 2:
+        size = F.count("*").over(Window.partitionBy("layer", "grp"))
+        fit = members.withColumn("size", size).where(F.col("size") >= least).where(F.lit(True) if most is None else F.col("size") <= most).drop("size")
     x, y = fit.alias("x"), fit.alias("y")
     pairs = x.join(y, (F.col("x.layer") == F.col("y.layer")) & (F.col("x.grp") == F.col("y.grp")) & (F.col("x.node") < F.col("y.node")))
     return pairs.groupBy(F.col("x.layer").alias("layer"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n"))
@@ -57,6 +65,29 @@ def multiplicity(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.count("*").alias("layers"))
 
 
+def cosine_pairs(vectors: DataFrame, block: int = 512) -> DataFrame:
+    """i, j, w: the positive cosine similarities of all ordered pairs of unlike nodes. vectors: node (long), embedding.
+
+    Vectors are gathered to blocks of about ``block``; each pair of blocks is one matrix product in a task, so what moves is the vectors
+    once for each block they meet, and only pairs above zero leave the task.
+    """
+    n = vectors.count()
+    count = max(1, -(-n // block))
+    blocks = materialise(vectors.groupBy(F.pmod(F.xxhash64("node"), F.lit(count)).alias("block")).agg(F.collect_list("node").alias("nodes"), F.collect_list(F.transform("embedding", lambda x: x.cast("double"))).alias("rows")), "blocks")
+    x, y = blocks.select(F.col("nodes").alias("i"), F.col("rows").alias("x")), blocks.select(F.col("nodes").alias("j"), F.col("rows").alias("y"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = lambda rows: (m := np.array(rows, float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        for batch in batches:
+            for i, left, j, right in zip(*(batch.column(c).to_pylist() for c in ("i", "x", "j", "y")), strict=True):
+                w = unit(left) @ unit(right).T
+                a, b = np.nonzero((w > 0) & (np.array(i)[:, None] != np.array(j)[None, :]))
+                yield pa.RecordBatch.from_pydict({"i": np.array(i)[a], "j": np.array(j)[b], "w": w[a, b]})
+
+    spread = x.crossJoin(y).repartition(min(count * count, 4 * vectors.sparkSession.sparkContext.defaultParallelism))  # blocks, not vectors
+    return spread.mapInArrow(work, "i long, j long, w double")
+
+
 def drop_weakest(weights: DataFrame, times: int = 1) -> DataFrame:
     """i, j, w without the diagonal and without what is at most the least weight rounded up to hundredths, ``times`` over."""
     left = weights.where("i <> j")

@@ -43,3 +43,14 @@ def set_overlaps(members: DataFrame) -> DataFrame:
     shared = x.join(y, "node").where("name1 < name2").groupBy("name1", "name2").agg(F.count("*").alias("shared"))
     found = shared.join(size.select(F.col("name").alias("name1"), F.col("size").alias("n1")), "name1").join(size.select(F.col("name").alias("name2"), F.col("size").alias("n2")), "name2")
     return found.select("name1", "name2", "shared", (F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("n1", "n2")).alias("overlap"))
+
+
+def set_similarity(tables: DataFrame, members: DataFrame) -> DataFrame:
+    """name1, name2, layer, similarity: the mean score of the rows of a table between two sets, members in either order, and the mean of all rows as ``random``.
+
+    tables: layer (the table's name), a, b, n (the score); members: name, node. A row that fits in both orders counts twice.
+    """
+    x, y = members.select(F.col("name").alias("x"), F.col("node").alias("a")), members.select(F.col("name").alias("y"), F.col("node").alias("b"))
+    hit = tables.join(x, "a").join(y, "b").where("x <> y")
+    pairs = hit.groupBy(F.least("x", "y").alias("name1"), F.greatest("x", "y").alias("name2"), "layer").agg(F.avg("n").alias("similarity"))
+    return pairs.unionByName(tables.groupBy("layer").agg(F.avg("n").alias("similarity")).select(F.lit("random").alias("name1"), F.lit("random").alias("name2"), "layer", "similarity"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import stats
 from skein.functions.scratch import materialise
-from skein.operators import build
+from skein.operators import build, ontology, topology
 from skein.plans.base import query
 from skein.sources import tables
 from skein.sources.tables import EDGES_SQL
@@ -94,18 +95,19 @@ def ot07(spark, d):
 
 @query(
     "ot10_pair_overlap",
-    "WITH m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS g FROM lineitem), n AS (SELECT g, count(*) AS n FROM m GROUP BY ALL), e AS (SELECT DISTINCT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey <> y.l_partkey WHERE x.l_returnflag = 'A' AND y.l_returnflag = 'A')"
-    ", i AS (SELECT a, b, count(*) AS both_n FROM e JOIN m x ON x.g = a JOIN m y ON y.g = b AND y.s = x.s GROUP BY ALL) SELECT a, b, coalesce(both_n, 0) AS shared, p.n - coalesce(both_n, 0) AS only1, q.n - coalesce(both_n, 0) AS only2 FROM e JOIN n p ON p.g = a JOIN n q ON q.g = b LEFT JOIN i USING (a, b)",
+    "WITH m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS g FROM lineitem), n AS (SELECT g, count(*) AS n FROM m GROUP BY ALL), e AS (SELECT DISTINCT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey <> y.l_partkey AND x.l_returnflag = y.l_returnflag)"
+    ", i AS (SELECT a, b, count(*) AS both_n FROM e JOIN m x ON x.g = a JOIN m y ON y.g = b AND y.s = x.s GROUP BY ALL) SELECT a, b, coalesce(both_n, 0) AS shared, p.n - coalesce(both_n, 0) AS only1, q.n - coalesce(both_n, 0) AS only2, round(coalesce(both_n, 0) / (p.n + q.n - coalesce(both_n, 0)), 9) AS fraction FROM e JOIN n p ON p.g = a JOIN n q ON q.g = b LEFT JOIN i USING (a, b)",
 )
 def ot10(spark, d):
-    """Terms that both ends of an edge share, and that one has alone, along one layer's edges."""
+    """Terms that both ends of an edge share, and that one has alone, along the edges of all layers."""
     m = materialise(T(spark, d, "lineitem", F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("g")).distinct(), "terms")
     n = m.groupBy("g").agg(F.count("*").alias("n"))
-    e = materialise(tables.edges(spark, d).where("layer = 'A'").select("a", "b"), "edges-a")
+    e = materialise(tables.edges(spark, d).select("a", "b").distinct(), "pairs")
     x, y = m.select(F.col("g").alias("a"), "s"), m.select(F.col("g").alias("b"), "s")
     shared = e.join(x, "a").join(y, ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("i"))
     full = e.join(n.select(F.col("g").alias("a"), F.col("n").alias("p")), "a").join(n.select(F.col("g").alias("b"), F.col("n").alias("q")), "b").join(shared, ["a", "b"], "left").fillna(0, ["i"])
-    return full.select("a", "b", F.col("i").alias("shared"), (F.col("p") - F.col("i")).alias("only1"), (F.col("q") - F.col("i")).alias("only2"))
+    fraction = F.round(F.col("i") / (F.col("p") + F.col("q") - F.col("i")), 9).alias("fraction")
+    return full.select("a", "b", F.col("i").alias("shared"), (F.col("p") - F.col("i")).alias("only1"), (F.col("q") - F.col("i")).alias("only2"), fraction)
 
 
 @query(
@@ -122,6 +124,44 @@ def ot13(spark, d):
     return k.select("layers", "n", "hits", F.round(F.col("n") * F.sum("hits").over(every) / F.sum("n").over(every), 6).alias("expected"))
 
 
+@query(
+    "ot13_enrichment_tails",
+    WITH + ", mu AS (SELECT a, b, count(*) AS layers FROM edges GROUP BY ALL), k AS (SELECT layers, (x.p_size <= 10 AND y.p_size <= 10) AS hit FROM mu JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b),"
+    " c AS (SELECT layers, count(*) AS n, count(CASE WHEN hit THEN 1 END) AS x, (SELECT count(*) FROM k) AS total, (SELECT count(*) FROM k WHERE hit) AS hits FROM k GROUP BY layers)"
+    " SELECT layers, n, x AS hits, round(list_sum(list_transform(range(x, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(hits / total) + (n - i) * ln(1 - hits / total)))), 6) AS p_binomial,"
+    " round(coalesce(list_sum(list_transform(range(greatest(x + 1, n - (total - hits)), least(n, hits) + 1), lambda i: exp(lgamma(hits + 1) - lgamma(i + 1) - lgamma(hits - i + 1) + lgamma(total - hits + 1) - lgamma(n - i + 1) - lgamma(total - hits - n + i + 1)"
+    " - lgamma(total + 1) + lgamma(n + 1) + lgamma(total - n + 1)))), 0), 6) AS p_hypergeometric FROM c",
+)
+def ot13_tails(spark, d):
+    """Whether edges of each multiplicity are essential more often than all edges: binomial P(X >= hits) and hypergeometric P(X > hits)."""
+    small = T(spark, d, "part", F.col("p_partkey").alias("node"), (F.col("p_size") <= 10).alias("s"))
+    mu = build.multiplicity(tables.edges(spark, d))
+    k = mu.join(small.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(small.withColumnsRenamed({"node": "b", "s": "y"}), "b").groupBy("layers").agg(F.count("*").alias("n"), F.count_if(F.col("x") & F.col("y")).alias("hits"))
+    every = Window.partitionBy()  # one row a multiplicity
+    k = k.select("layers", "n", "hits", F.sum("n").over(every).alias("total"), F.sum("hits").over(every).alias("all_hits"))
+
+    @F.pandas_udf("double")
+    def binomial(x: pd.Series, n: pd.Series, m: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([topology.binomial_tail(a, b, c / t) for a, b, c, t in zip(x, n, m, total, strict=True)])
+
+    @F.pandas_udf("double")
+    def hypergeometric(x: pd.Series, n: pd.Series, m: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([topology.hypergeometric_tail(a, c, t, b) for a, b, c, t in zip(x, n, m, total, strict=True)])
+
+    of = ("hits", "n", "all_hits", "total")
+    return k.select("layers", "n", "hits", F.round(binomial(*of), 6).alias("p_binomial"), F.round(hypergeometric(*of), 6).alias("p_hypergeometric"))
+
+
+@query(
+    "ot09_set_similarity",
+    WITH + ", s AS (SELECT e.layer, least(x.name, y.name) AS name1, greatest(x.name, y.name) AS name2, e.n FROM edges e JOIN sets x ON x.node = e.a JOIN sets y ON y.node = e.b WHERE x.name <> y.name)"
+    " SELECT name1, name2, layer, round(avg(n), 6) AS similarity FROM s GROUP BY ALL UNION ALL SELECT 'random', 'random', layer, round(avg(n), 6) FROM edges GROUP BY layer",
+)
+def ot09(spark, d):
+    """Mean similarity of the members of two sets in each of several tables, whichever of them is first in a row, and of all rows of the table."""
+    return ontology.set_similarity(materialise(tables.edges(spark, d), "edges").select("layer", "a", "b", "n"), tables.sets(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("ot15_stage_counts", WITH + "SELECT layer, count(*) AS edges, count(CASE WHEN n > 1 THEN 1 END) AS over_one, count(CASE WHEN a < 1000 AND b < 1000 THEN 1 END) AS low FROM edges GROUP BY ALL")
 def ot15(spark, d):
     """Edges of every layer after each filter."""
@@ -141,10 +181,13 @@ def ot16(spark, d):
 
 @query("gr34_principal_plane")
 def gr34(spark, d):
-    """First two principal components of the node vectors; axes are determined up to their sign."""
+    """First two principal components of the node vectors, each with the sign that makes its largest loading positive."""
     v = T(spark, d, "embeddings", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).select("vec_id", array_to_vector("e").alias("v"))
-    xy = PCA(k=2, inputCol="v", outputCol="xy").fit(v).transform(v).select("vec_id", vector_to_array("xy").alias("xy"))
-    return xy.select("vec_id", F.abs(F.col("xy")[0]).alias("x"), F.abs(F.col("xy")[1]).alias("y"))
+    model = PCA(k=2, inputCol="v", outputCol="xy").fit(v)
+    axes = model.pc.toArray()  # as many rows as a vector has entries
+    signs = [1.0 if axes[abs(axes[:, k]).argmax(), k] >= 0 else -1.0 for k in range(2)]
+    xy = model.transform(v).select("vec_id", vector_to_array("xy").alias("xy"))
+    return xy.select("vec_id", *((F.col("xy")[k] * signs[k]).alias("xy"[k]) for k in range(2)))
 
 
 @query("st01_event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions.scratch import materialise
-from skein.operators import build, ontology
+from skein.operators import build, ontology, paths
 from skein.plans.base import query
-from skein.plans.network import DIST_SQL, RECURSIVE, _inside
-from skein.plans.relational import ISA_SQL, _genes, _isa
+from skein.plans.network import NEAR_SQL, _layers
+from skein.plans.relational import ISA_SQL, _genes, _isa, _supplied
 from skein.sources import tables
 from skein.sources.tables import EDGES_SQL
 
@@ -114,7 +114,7 @@ def w07(spark, d):
 
 
 OVERLAP_SQL = (
-    "WITH m AS (SELECT DISTINCT o_custkey AS name, l_suppkey AS node FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%' AND l_quantity > 45), z AS (SELECT name, count(*) AS n FROM m GROUP BY ALL),"
+    "WITH m AS (SELECT DISTINCT p_brand AS name, l_suppkey AS node FROM part JOIN lineitem ON l_partkey = p_partkey), z AS (SELECT name, count(*) AS n FROM m GROUP BY ALL),"
     " s AS (SELECT x.name AS name1, y.name AS name2, count(*) AS shared FROM m x JOIN m y ON x.node = y.node AND x.name < y.name GROUP BY ALL)"
 )
 
@@ -122,10 +122,7 @@ OVERLAP_SQL = (
 @query("a10_pair_means", OVERLAP_SQL + " SELECT name1, round(avg(shared / (a.n + b.n - shared)), 6) AS jaccard, round(avg(shared / least(a.n, b.n)), 6) AS overlap FROM s JOIN z a ON a.name = name1 JOIN z b ON b.name = name2 GROUP BY name1")
 def a10(spark, d):
     """Mean similarity of every set to the later sets that share a member with it."""
-    o = T(spark, d, "orders", "o_orderkey", F.col("o_custkey").alias("name"), "o_orderpriority").where("o_orderpriority LIKE '1%'")
-    li = T(spark, d, "lineitem", "l_orderkey", F.col("l_suppkey").alias("node"), "l_quantity").where("l_quantity > 45")
-    members = materialise(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("name", "node").distinct(), "members")
-    return ontology.set_overlaps(members).groupBy("name1").agg(F.round(F.avg("jaccard"), 6).alias("jaccard"), F.round(F.avg("overlap"), 6).alias("overlap"))
+    return ontology.set_overlaps(_supplied(spark, d)).groupBy("name1").agg(F.round(F.avg("jaccard"), 6).alias("jaccard"), F.round(F.avg("overlap"), 6).alias("overlap"))
 
 
 @query(
@@ -198,12 +195,11 @@ def ot03(spark, d):
     return genes.unionByName(up).distinct()
 
 
-@query("gr31_closest", RECURSIVE + DIST_SQL + "SELECT name, layer, src AS node, near FROM near")
+@query("gr31_closest", WITH + NEAR_SQL + "SELECT name, layer, node, near FROM near")
 def gr31(spark, d):
-    """Steps from every member of three sets to the nearest other member."""
-    inside, found = _inside(spark, d)
-    pairs = found.where("src <> node").join(inside.withColumnRenamed("node", "src"), ["layer", "src"]).join(inside, ["layer", "name", "node"])
-    return pairs.groupBy("name", "layer", F.col("src").alias("node")).agg(F.min("d").alias("near"))
+    """Steps from every member of every set to the nearest other member."""
+    edges, inside = _layers(spark, d)
+    return paths.to_own_set(paths.nearest_members(edges, inside), inside)
 
 
 @query("ui01_module", WITH + "SELECT e.a, e.b FROM edges e JOIN sets s ON s.node = e.a JOIN sets t ON t.node = e.b AND t.name = s.name WHERE e.layer = 'N' AND s.name = 'Brand#11'")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import stats
 from skein.functions.scratch import materialise
-from skein.operators import build, components, topology
+from skein.operators import build, components, evaluate, topology
 from skein.plans.base import query
 from skein.sources import tables
 from skein.sources.tables import EDGES_SQL
@@ -62,9 +62,9 @@ def gr04(spark, d):
 TRIALS = 8
 
 
-def _significance(spark, d, trials=TRIALS):
+def _significance(spark, d, trials=TRIALS, sets=None):
     edges = materialise(tables.edges(spark, d), "edges")
-    return components.significance(edges, layer_nodes(edges), tables.sets(spark, d), trials)
+    return components.significance(edges, layer_nodes(edges), tables.sets(spark, d) if sets is None else sets, trials)
 
 
 NULL_SQL = """,
@@ -132,11 +132,67 @@ def gr09(spark, d):
     return classified(_significance(spark, d)).select("name", "layer", "lcc", "signif", F.round("adjusted", 8).alias("adjusted"), F.round("minus_log", 4).alias("minus_log"))
 
 
+@query(
+    "ui02_significant_layers",
+    RECURSIVE + LCC_SQL + NULL_SQL + BH_SQL
+    + "SELECT name, layer, n_in_graph, lcc, signif, round(z, 6) AS z, row_number() OVER (PARTITION BY name ORDER BY round(z, 6) DESC, layer) AS place FROM cls WHERE signif <> 'none'",
+)
+def ui02(spark, d):
+    """The layers in which a set is significant, those of the largest z first."""
+    found = classified(_significance(spark, d)).where("signif <> 'none'").withColumn("z", F.round("z", 6))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("z"), "layer")).cast("long")  # a row a layer
+    return found.select("name", "layer", "n_in_graph", "lcc", "signif", "z", place.alias("place"))
+
+
+@query(
+    "rw13_significant_scenarios",
+    RECURSIVE + LCC_SQL + NULL_SQL + BH_SQL
+    + ", s AS (SELECT name, layer, z FROM cls WHERE signif <> 'none') SELECT 'weighted' AS scenario, name, layer, round(z, 6) AS w FROM s UNION ALL SELECT 'unweighted', name, layer, 1.0 FROM s"
+    " UNION ALL SELECT 'best', name, max_by(layer, round(z, 6)), 1.0 FROM s GROUP BY name",
+)
+def rw13_significant(spark, d):
+    """Layers and weights of the scenarios that follow from significance: all significant layers by z, unweighted, and the best one alone."""
+    s = materialise(classified(_significance(spark, d)).where("signif <> 'none'").select("name", "layer", F.round("z", 6).alias("w")), "significant")
+    one = s.groupBy("name").agg(F.max_by("layer", "w").alias("layer"))
+    pick = lambda frame, scenario, w: frame.select(F.lit(scenario).alias("scenario"), "name", "layer", w.alias("w"))
+    return pick(s, "weighted", F.col("w")).unionByName(pick(s, "unweighted", F.lit(1.0))).unionByName(pick(one, "best", F.lit(1.0)))
+
+
+FOLDS = 3
+SEEDS_OF_FOLDS = f"""fsh AS (SELECT p_brand AS name, p_partkey AS node, row_number() OVER (PARTITION BY p_brand ORDER BY md5('fold|' || p_brand || '|' || p_partkey), p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+ffl AS (SELECT name, node, CAST(CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ((i - 1) * {FOLDS} + n - 2) // (n - 1)) END AS INTEGER) AS fold FROM fsh),
+sets AS (SELECT name || '/' || t.fold AS name, node FROM ffl, range(1, {FOLDS + 1}) t(fold) WHERE ffl.fold <> t.fold)"""
+
+
+def fold_seeds(spark, d):
+    """name (set/fold), node: the members of every set that are not in the fold."""
+    found = materialise(evaluate.folds(tables.sets(spark, d), FOLDS), "folds")
+    runs = spark.range(1, FOLDS + 1).select(F.col("id").cast("int").alias("run"))
+    return found.join(F.broadcast(runs), F.col("fold") != F.col("run")).select(F.concat_ws("/", "name", F.col("run").cast("string")).alias("name"), "node")
+
+
+@query(
+    "rw12_fold_layers",
+    RECURSIVE.replace("sets AS (SELECT p_brand AS name, p_partkey AS node FROM part)", SEEDS_OF_FOLDS) + LCC_SQL + NULL_SQL + f""",
+pv AS (SELECT *, split_part(name, '/', 2) AS fold, {stats.upper_tail_sql("z")} AS p0 FROM scored WHERE z IS NOT NULL UNION ALL SELECT *, split_part(name, '/', 2), NULL FROM scored WHERE z IS NULL),
+rn AS (SELECT *, count(p0) OVER (PARTITION BY fold) AS cnt, row_number() OVER (PARTITION BY fold ORDER BY p0 NULLS LAST) AS rn FROM pv),
+bh AS (SELECT *, CASE WHEN p0 IS NOT NULL THEN least(1.0, min(p0 * cnt / rn) OVER (PARTITION BY fold ORDER BY rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS adj FROM rn)
+SELECT split_part(name, '/', 1) AS name, CAST(fold AS INTEGER) AS fold, layer, lcc, round(z, 6) AS z, round(adj, 8) AS adjusted, adj < 0.05 AS significant FROM bh""",
+)
+def rw12(spark, d):
+    """Significance of every layer for every set from the seeds of each fold alone, p adjusted within the fold."""
+    found = _significance(spark, d, sets=materialise(fold_seeds(spark, d), "fold-seeds"))
+    part = F.split("name", "/")
+    found = found.withColumn("fold", part[1].cast("int")).withColumn("name", part[0]).withColumn("p", stats.upper_tail(F.col("z")))
+    found = stats.adjusted(found, "p", by=["fold"])  # a row a set and layer
+    return found.select("name", "fold", "layer", "lcc", F.round("z", 6).alias("z"), F.round("adjusted", 8).alias("adjusted"), (F.col("adjusted") < 0.05).alias("significant"))
+
+
 @query("gr07_reference_curve")
 def gr07(spark, d):
-    """Mean and deviation of the largest component of random sets by size, smoothed; 20 draws a size, sizes up to 200."""
+    """Mean and deviation of the largest component of random sets at the 116 sizes, smoothed; three draws a size, the library's default is 1000."""
     edges = materialise(tables.edges(spark, d), "edges")
-    return topology.reference_curve(edges, layer_nodes(edges), draws=3, sizes=topology.curve_sizes()[:40:5])
+    return topology.reference_curve(edges, layer_nodes(edges), draws=3)
 
 
 @query(
@@ -153,9 +209,9 @@ def gr08(spark, d):
 
 @query("gr06_rewired_null")
 def gr06(spark, d):
-    """Observed largest components against degree-preserving rewirings, three a layer."""
+    """Observed largest components against degree-preserving rewirings, three a layer, ten rounds of swaps; the library's defaults are 1000 and 20."""
     edges = materialise(tables.edges(spark, d), "edges")
-    return topology.rewired_significance(edges, tables.sets(spark, d), trials=3)
+    return topology.rewired_significance(edges, tables.sets(spark, d), trials=3, rounds=10)
 
 
 @query(
@@ -173,7 +229,10 @@ def gr10(spark, d):
 
 @query("gr10_connectivity_tail")
 def gr10_tail(spark, d):
-    return topology.connectivity(gr10(spark, d))
+    """The tails of all parts in every layer; a part that a layer lacks has 0, 0, 1."""
+    layers = tables.table(spark, d, "lineitem", F.col("l_returnflag").alias("layer")).distinct()
+    every = tables.table(spark, d, "part", F.col("p_partkey").alias("node")).crossJoin(F.broadcast(layers))  # few layers
+    return topology.connectivity(gr10(spark, d), every)
 
 
 @query("gr11_degree", WITH + "SELECT layer, node, k FROM deg")
@@ -293,7 +352,9 @@ def gr20(spark, d):
     return found.select("v1", "v2", "shared", F.round("jaccard", 9).alias("jaccard"), F.round("overlap", 9).alias("overlap"))
 
 
-PERMS = 3
+PERMS = 10
+SIM_CLASSES = ("****", "***", "**", "*", "ns")
+SIM_BREAKS = (0.0, 1e-5, 1e-4, 1e-3, 0.05, 1.0)
 
 
 @query(
@@ -306,21 +367,31 @@ pe AS (SELECT e.layer, x.perm, least(x.to_node, y.to_node) AS a, greatest(x.to_n
 pi AS (SELECT x.layer AS v1, y.layer AS v2, x.perm AS p1, y.perm AS p2, count(*) AS n FROM pe x JOIN pe y ON x.a = y.a AND x.b = y.b AND x.layer < y.layer GROUP BY ALL),
 po AS (SELECT s.v1, s.v2, p1, p2, coalesce(n, 0) / least(ex.e, ey.e) AS o FROM sim s CROSS JOIN range(1, {PERMS + 1}) t(p1) CROSS JOIN range(1, {PERMS + 1}) u(p2) JOIN ec ex ON ex.layer = s.v1 JOIN ec ey ON ey.layer = s.v2
   LEFT JOIN pi USING (v1, v2, p1, p2)),
-st AS (SELECT v1, v2, avg(o) AS mean, stddev_samp(o) AS sd FROM po GROUP BY ALL)
-SELECT v1, v2, round(overlap, 9) AS overlap, round(mean, 9) AS mean, round(sd, 9) AS sd, round((overlap - mean) / nullif(sd, 0), 4) AS z FROM sim JOIN st USING (v1, v2)""",
+st AS (SELECT v1, v2, avg(o) AS mean, stddev_samp(o) AS sd FROM po GROUP BY ALL),
+zs AS (SELECT v1, v2, round(overlap, 9) AS overlap, round(mean, 9) AS mean, round(sd, 9) AS sd, round((overlap - mean) / nullif(sd, 0), 4) AS z FROM sim JOIN st USING (v1, v2)),
+zp AS (SELECT *, {stats.upper_tail_sql("z")} AS p0 FROM zs WHERE z IS NOT NULL UNION ALL SELECT *, NULL FROM zs WHERE z IS NULL),
+zr AS (SELECT *, count(p0) OVER () AS cnt, row_number() OVER (ORDER BY p0 NULLS LAST) AS rn FROM zp),
+zb AS (SELECT *, CASE WHEN p0 IS NOT NULL THEN least(1.0, min(p0 * cnt / rn) OVER (ORDER BY rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS adj FROM zr)
+SELECT v1, v2, overlap, mean, sd, z, round(p0, 8) AS p, round(adj, 8) AS adjusted, round(log2(overlap / nullif(mean, 0)), 4) AS log_ratio,
+  CASE WHEN adj >= 0 AND adj <= 1e-5 THEN '****' WHEN adj > 1e-5 AND adj <= 1e-4 THEN '***' WHEN adj > 1e-4 AND adj <= 1e-3 THEN '**' WHEN adj > 1e-3 AND adj <= 0.05 THEN '*' WHEN adj > 0.05 THEN 'ns' END AS signif FROM zb""",
 )
 def gr21(spark, d):
     edges = materialise(tables.edges(spark, d), "edges")
-    return topology.overlap_significance(edges, layer_nodes(edges), PERMS)
+    found = topology.overlap_significance(edges, layer_nodes(edges), PERMS)
+    found = stats.adjusted(found.withColumn("p", stats.upper_tail(F.col("z"))), "p")  # one row a pair of layers
+    signif = stats.cut_right(F.col("adjusted"), SIM_BREAKS, SIM_CLASSES, lowest=True)
+    ratio = F.round(F.log2(F.col("overlap") / F.nullif("mean", F.lit(0.0))), 4)
+    return found.withColumn("signif", signif).select("v1", "v2", "overlap", "mean", "sd", "z", F.round("p", 8).alias("p"), F.round("adjusted", 8).alias("adjusted"), ratio.alias("log_ratio"), "signif")
 
 
 @query(
     "gr26_co_membership_threshold",
-    WITH + "SELECT t.threshold, e.layer, count(*) AS edges FROM edges e, range(0, 4) t(threshold) WHERE e.n > t.threshold GROUP BY ALL",
+    WITH.replace("m AS (SELECT", "m0 AS (SELECT", 1).replace("edges AS (", "m AS (SELECT layer, grp, node FROM (SELECT *, count(*) OVER (PARTITION BY layer, grp) AS size FROM m0) WHERE size BETWEEN 2 AND 300),\nedges AS (", 1)
+    + "SELECT t.threshold, e.layer, count(*) AS edges FROM edges e, range(0, 4) t(threshold) WHERE e.n > t.threshold GROUP BY ALL",
 )
 def gr26(spark, d):
-    """Edges left by layer as the threshold on shared groups rises."""
-    edges = tables.edges(spark, d)
+    """Edges left by layer as the threshold on shared groups rises, of groups of 2 to 300 members."""
+    edges = tables.edges(spark, d, build.MAX_GROUP)
     kept = edges.select("layer", F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.col("n").cast("int") - 1))).alias("threshold"))
     return kept.groupBy(F.col("threshold").cast("long").alias("threshold"), "layer").agg(F.count("*").alias("edges"))
 
@@ -344,9 +415,10 @@ def gr28(spark, d):
     return edges.select("layer", "a", "b", (F.count("*").over(Window.partitionBy("a", "b")) > 1).alias("core"))
 
 
-@query("gr29_edge_key", WITH + "SELECT layer, a || '-' || b AS key FROM edges WHERE length(CAST(a AS VARCHAR)) = length(CAST(b AS VARCHAR))")
+@query("gr29_edge_key", WITH + "SELECT layer, least(a::VARCHAR, b::VARCHAR) || '-' || greatest(a::VARCHAR, b::VARCHAR) AS key FROM edges")
 def gr29(spark, d):
-    return tables.edges(spark, d).where(F.length(F.col("a").cast("string")) == F.length(F.col("b").cast("string"))).select("layer", build.edge_key(F.col("a"), F.col("b")).alias("key"))
+    """Ends in the order of their strings."""
+    return tables.edges(spark, d).select("layer", build.edge_key(F.col("a"), F.col("b")).alias("key"))
 
 
 @query(

@@ -334,6 +334,22 @@ def io05(spark, d):
     return files.read_gmt(spark, at).select("name", F.explode("genes").alias("gene"))
 
 
+@query("io03_typed_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def io03(spark, d):
+    """A table written as text and read with its types."""
+    at = files.fresh(spark, "typed")
+    files.write_table(T(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), at)
+    return files.read_table(spark, at, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+
+
+@query("io06_line_lists", "SELECT p_brand AS category, p_name AS label FROM part WHERE trim(p_name) <> ''")
+def io06(spark, d):
+    """Lists of one label a line, a folder of files for each category."""
+    at = files.fresh(spark, "lines")
+    T(spark, d, "part", F.col("p_brand").alias("category"), F.trim("p_name").alias("value")).write.partitionBy("category").text(at)
+    return files.read_lines(spark, at)
+
+
 # --- ontology: regions, nations and their customers as terms
 
 ISA_SQL = """
@@ -381,12 +397,16 @@ def ot08(spark, d):
     return found.select("term", (F.round("ic", 6) + 0.0).alias("ic"))
 
 
-@query("ot12_set_overlap", "WITH m AS (SELECT DISTINCT o_custkey AS name, l_suppkey AS node FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%' AND l_quantity > 45), z AS (SELECT name, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT x.name AS name1, y.name AS name2, count(*) AS shared FROM m x JOIN m y ON x.node = y.node AND x.name < y.name GROUP BY ALL) SELECT name1, name2, shared, round(shared / (a.n + b.n - shared), 9) AS jaccard, round(shared / least(a.n, b.n), 9) AS overlap FROM s JOIN z a ON a.name = name1 JOIN z b ON b.name = name2")
+@query("ot12_set_overlap", "WITH m AS (SELECT DISTINCT p_brand AS name, l_suppkey AS node FROM part JOIN lineitem ON l_partkey = p_partkey), z AS (SELECT name, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT x.name AS name1, y.name AS name2, count(*) AS shared FROM m x JOIN m y ON x.node = y.node AND x.name < y.name GROUP BY ALL) SELECT name1, name2, shared, round(shared / (a.n + b.n - shared), 9) AS jaccard, round(shared / least(a.n, b.n), 9) AS overlap FROM s JOIN z a ON a.name = name1 JOIN z b ON b.name = name2")
 def ot12(spark, d):
-    o = T(spark, d, "orders", "o_orderkey", F.col("o_custkey").alias("name"), "o_orderpriority").where("o_orderpriority LIKE '1%'")
-    li = T(spark, d, "lineitem", "l_orderkey", F.col("l_suppkey").alias("node"), "l_quantity").where("l_quantity > 45")
-    members = materialise(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("name", "node").distinct(), "members")
-    return ontology.set_overlaps(members).select("name1", "name2", "shared", F.round("jaccard", 9).alias("jaccard"), F.round("overlap", 9).alias("overlap"))
+    """Overlap of the suppliers of all pairs of brands; a node is in few sets, so the self-join makes at most their square a node."""
+    return ontology.set_overlaps(_supplied(spark, d)).select("name1", "name2", "shared", F.round("jaccard", 9).alias("jaccard"), F.round("overlap", 9).alias("overlap"))
+
+
+def _supplied(spark, d):
+    """name, node: the suppliers of each brand."""
+    part = T(spark, d, "part", F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("name"))
+    return materialise(T(spark, d, "lineitem", "l_partkey", F.col("l_suppkey").alias("node")).join(part, "l_partkey").select("name", "node").distinct(), "supplied")
 
 
 @query("ot14_first_mapping", "SELECT l_orderkey, min_by(l_partkey, l_linenumber) AS mapped FROM lineitem GROUP BY ALL")

@@ -65,8 +65,13 @@ def read_gct(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """category, label: one label a line, the file's stem as category."""
-    return spark.read.text(path).where("trim(value) <> ''").select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1).alias("category"), F.trim("value").alias("label"))
+    """category, label: one label a line; the category is the file's stem, or the folder ``category=...`` that holds it."""
+    plain = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))  # names come as parts of a URL
+    name = F.input_file_name()
+    folder = plain(plain(F.regexp_extract(name, r"category=([^/]+)/[^/]+$", 1)))  # and a folder's name is escaped itself
+    stem = plain(F.regexp_extract(name, r"([^/]+?)(?:\.[^./]+)?$", 1))
+    lines = spark.read.text(path, recursiveFileLookup=True).where("trim(value) <> ''")
+    return lines.select(F.when(folder != "", folder).otherwise(stem).alias("category"), F.trim("value").alias("label"))
 
 
 def read_jdbc(spark: SparkSession, table: str, **options: str) -> DataFrame:

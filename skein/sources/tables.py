@@ -24,9 +24,9 @@ def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_returnflag").alias("layer"), F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("node")).distinct()
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """layer, a, b, n with a < b."""
-    return co_membership(memberships(spark, sf_dir))
+def edges(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """layer, a, b, n with a < b, of groups of up to ``most`` members."""
+    return co_membership(memberships(spark, sf_dir), most=most)
 
 
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
