@@ -190,9 +190,9 @@ def rw12(spark, d):
 
 @query("gr07_reference_curve")
 def gr07(spark, d):
-    """Mean and deviation of the largest component of random sets at the 116 sizes, smoothed; three draws a size, the library's default is 1000."""
+    """Mean and deviation of the largest component of random sets at the 116 sizes, smoothed; two draws a size, the library's default is 1000."""
     edges = materialise(tables.edges(spark, d), "edges")
-    return topology.reference_curve(edges, layer_nodes(edges), draws=3)
+    return topology.reference_curve(edges, layer_nodes(edges), draws=2)
 
 
 @query(
