@@ -443,6 +443,18 @@ def test_unique_documents_without_unique_ids(spark):
     assert sorted(got, key=repr) == sorted([(None, a), (None, b), (7, c), (5, d), (5, e), (None, ""), (None, None)], key=repr)
 
 
+def test_op9_with_repeated_rows(spark, tmp_path):
+    rng = random.Random(26)
+    a, b = prose(rng, 60), prose(rng, 60)
+    near = a.rsplit(" ", 1)[0]
+    rows = [(None, a)] * 40 + [(7, a)] * 30 + [(5, near)] * 30 + [(3, b), (3, b), (None, None), (2, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, neardup.op9_signature_join(spark, str(tmp_path)).collect()), key=repr)
+    n, m, k = (len(t.split()) - 3 for t in (a, near, b))
+    want = [(None, n, 5, False)] * 40 + [(7, n, 5, False)] * 30 + [(5, m, 5, True)] * 30 + [(3, k, 3, True)] * 2 + [(None, 0, None, True), (2, 0, 2, True)]
+    assert got == sorted(want, key=repr)
+
+
 def test_components_of_chains(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 200), (200, 150)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
