@@ -37,12 +37,12 @@ def string_array(offsets: np.ndarray, data: np.ndarray, valid: np.ndarray | None
     return pa.StringArray.from_buffers(len(offsets) - 1, at, pa.py_buffer(data), mask, -1 if mask is not None else 0)
 
 
-def parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose texts have ``PART_BYTES`` together, or one text that is longer."""
+def parts(batch: pa.RecordBatch, column: str, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts have ``size`` bytes together, or one text that is longer."""
     at, _ = text_bytes(batch.column(column))
     k = 0
     while k < batch.num_rows:
-        end = max(k + 1, int(np.searchsorted(at, at[k] + PART_BYTES, "right")) - 1)
+        end = max(k + 1, int(np.searchsorted(at, at[k] + size, "right")) - 1)
         yield batch.slice(k, end - k)
         k = end
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import decontaminate, html, infill, mixing, neardup, privacy, quality, sharding, spans, toxicity, warc
+from skein.llm import decontaminate, filters, html, infill, mixing, neardup, privacy, quality, sharding, spans, toxicity, warc
 
 QUERIES = {
     "op1_template_text": html.op1_template_text,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_signature_join": neardup.op9_signature_join,
     "op10_line_frequency": quality.op10_line_frequency,
     "op11_displacement_infill": infill.op11_displacement_infill,
+    "op12_filter_interactions": filters.op12_filter_interactions,
 }
 
 ORACLES = {
     "op8_merkle_audit": warc.OP8_SQL,
     "op10_line_frequency": quality.OP10_SQL,
     "op11_displacement_infill": infill.OP11_SQL,
+    "op12_filter_interactions": filters.OP12_SQL,
 }
