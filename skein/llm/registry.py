@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import decontaminate, filters, html, infill, mixing, neardup, privacy, quality, sharding, spans, toxicity, warc
+from skein.llm import decontaminate, filters, html, infill, mixing, neardup, privacy, quality, sharding, spans, suffixtree, toxicity, warc
 
 QUERIES = {
     "op1_template_text": html.op1_template_text,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_frequency": quality.op10_line_frequency,
     "op11_displacement_infill": infill.op11_displacement_infill,
     "op12_filter_interactions": filters.op12_filter_interactions,
+    "op13_suffix_tree_scores": suffixtree.op13_suffix_tree_scores,
 }
 
 ORACLES = {
