@@ -6,7 +6,8 @@ document's constraints)``. The multipliers minimise the convex dual
 ``sum(words * exp(multiplier)) - sum(multiplier * target)``; damped Newton steps find them as Spark jobs over
 the words of each combination of constraints. Rates then become whole copies: their integer part, and for
 the fraction every so many-th document of a source, in order of size, one more. What a source then lacks of its target or
-has beyond it, less than its largest document, its smallest documents make up for, so it ends within about the size of one of them.
+has beyond it, less than its largest document, other documents make up for: as many as fit of the largest size that fits, then of
+the next that fits into what is left, until none does, and one of the smallest left if that ends nearer to the target.
 Both steps are sums over the sizes that occur in a source and ranks inside one size; no source is gathered.
 
 Targets: the sources by code point, null last, weigh 1, 2, 3, 1, 2, 3, ... and share all words; a target
@@ -94,6 +95,33 @@ def _upto(rank: Column) -> Column:
     return F.floor(rank * F.col("part") + 0.5).cast("long")
 
 
+def gap_fillers(sizes: DataFrame) -> DataFrame:
+    """filled, fill, turned: how many documents of which size make up for a source's gap. sizes: of (a source), size, gap, able.
+
+    A round takes one size of every source: the largest below the last one that fits into what is left, as often as it fits. State is
+    one row a source; as sizes lie close together, what is left shrinks by more than half in most rounds.
+    """
+    state = materialise(sizes.where("able > 0").groupBy("of").agg(F.abs(F.first("gap")).alias("left"), (F.max("size") + 1).alias("last")), "gaps")
+    taken = None
+    while True:
+        fits = sizes.where("able > 0").join(state.withColumnRenamed("of", "at"), F.col("of").eqNullSafe(F.col("at"))).where((F.col("size") <= F.col("left")) & (F.col("size") < F.col("last")))
+        best = fits.groupBy("of").agg(F.max(F.struct("size", "able")).alias("top"), F.first("left").alias("left"))
+        turned = F.least(F.col("top.able"), F.floor(F.col("left") / F.col("top.size"))).cast("long")
+        step = materialise(best.select(F.col("of").alias("filled"), F.col("top.size").alias("fill"), turned.alias("turned"), (F.col("left") - turned * F.col("top.size")).alias("left")), "filled")
+        taken = step if taken is None else taken.unionByName(step)
+        if not step.limit(1).count():
+            break
+        state = step.select(F.col("filled").alias("of"), "left", F.col("fill").alias("last"))
+    # one of the smallest size that is left goes beyond the target, if that ends nearer to it
+    used = taken.select("filled", "fill", "turned")
+    unused = sizes.join(used, F.col("of").eqNullSafe(F.col("filled")) & (F.col("size") == F.col("fill")), "left").where(F.col("able") > F.coalesce("turned", F.lit(0)))
+    beyond = unused.groupBy("of").agg(F.min("size").alias("least"), F.abs(F.first("gap")).alias("gap"))
+    done = taken.groupBy(F.col("filled").alias("at")).agg(F.sum(F.col("turned") * F.col("fill")).alias("sum"))
+    left = F.col("gap") - F.coalesce("sum", F.lit(0))
+    one = beyond.join(done, F.col("of").eqNullSafe(F.col("at")), "left").where((F.col("least") > left) & (F.col("least") < 2 * left))
+    return used.unionByName(one.select(F.col("of").alias("filled"), F.col("least").alias("fill"), F.lit(1).cast("long").alias("turned"))).groupBy("filled", "fill").agg(F.sum("turned").alias("turned"))
+
+
 def whole_copies(sized: DataFrame, rates: DataFrame) -> DataFrame:
     """uid, copies of each row. sized: uid, doc_id, source, words; rates: of (a source), target, rate."""
     at = F.col("source").eqNullSafe(F.col("of"))
@@ -105,12 +133,11 @@ def whole_copies(sized: DataFrame, rates: DataFrame) -> DataFrame:
     sizes = sizes.join(split, at).withColumn("before", F.coalesce(F.sum("n").over(first), F.lit(0)))
     sizes = sizes.withColumn("more", _upto(F.col("before") + F.col("n")) - _upto(F.col("before")))
     gap = F.floor(F.max("target").over(Window.partitionBy("of")) + 0.5 - F.sum(F.col("words") * (F.col("whole") * F.col("n") + F.col("more"))).over(Window.partitionBy("of")))
-    # smallest first, the documents that can make up for the gap: those without one more copy where words lack, else those with one
+    # the documents that can make up for the gap: those without one more copy where words lack, else those with one
     sizes = sizes.withColumn("gap", gap).withColumn("able", F.when(F.col("part") == 0, 0).when(F.col("gap") >= 0, F.col("n") - F.col("more")).otherwise(F.col("more")))
-    least = Window.partitionBy("of").orderBy("words").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.abs("gap") - F.coalesce(F.sum(F.col("able") * F.col("words")).over(least), F.lit(0))
-    turned = F.greatest(F.lit(0), F.least(F.col("able"), F.floor(left / F.col("words"))))
-    sizes = materialise(sizes.select("of", F.col("words").alias("size"), "whole", "part", "before", "gap", turned.cast("long").alias("turned")), "size-steps")
+    sizes = materialise(sizes.select("of", F.col("words").alias("size"), "whole", "part", "before", "gap", "able"), "size-steps")
+    sizes = sizes.join(gap_fillers(sizes), F.col("of").eqNullSafe(F.col("filled")) & (F.col("size") == F.col("fill")), "left").withColumn("turned", F.coalesce("turned", F.lit(0)))
+    sizes = materialise(sizes.select("of", "size", "whole", "part", "before", "gap", "turned"), "size-turns")
     placed = ranked(sized.where("words > 0"), ["source", "words"], F.xxhash64("doc_id", F.lit(17)), "uid")
     placed = placed.join(sizes, at & (F.col("words") == F.col("size")))
     picked_before = _upto(F.col("before") + F.col("rank")) - _upto(F.col("before"))
