@@ -2,7 +2,7 @@
 
 Tokens of a page are its elements, told apart by their path of tags and classes, and its text blocks. The pages of a host
 with a main container and those without one are two layouts. Over the pages of one layout a token has an occurrence
-vector: how often each page holds it. Tokens
+vector: how often each page holds it, where pages with the same html are one. Tokens
 with one vector form an equivalence class. The vectors are never gathered: a token's vector is known by its
 sums of count * hash(page) under two hashes, which one aggregation makes for all hosts. Classes with enough
 members and pages whose elements hang below one other class at most are valid and nest into the layout's template, whose
@@ -15,11 +15,11 @@ asides by their tag are no article. Names of classes are a weaker sign: they cou
 an ``article`` itself, and not on an element that holds the larger part of the layout's text. Slots with most of
 their text inside links are menus, unless they lie in the main container. The main container is what is named so, if it
 holds a good part of the text, and else the whole page. A block of a page is taken if the slot that it falls into is the article's and its text is
-no furniture; without a template nothing would be. A page whose main text is furniture throughout is one of copies, and keeps it.
+no furniture; without a template nothing would be. A page whose main text is furniture throughout is one of several that say the same, and keeps it.
 
 Cases. Null html: empty text. Null or odd url: such pages form a host of their own. Hosts of one or few pages have a template as well; only that
 text is furniture needs ``MIN_PAGES`` pages (``MAIN_PAGES`` inside a main container). Broken markup: open elements
-end where HTML ends them, unclosed comments and scripts at the end of the page. Repeated rows: rows of their own.
+end where HTML ends them, unclosed comments and scripts at the end of the page. Repeated rows: rows of their own, with one page's weight in the template.
 Very long pages are read whole, in time linear in their length. An empty table gives an empty result. Further columns are ignored.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from skein.llm.common import materialise, need, read, row_pass, spread
 
-#: Pages of a layout that must hold a text before it is furniture, and the same inside a main container, whose name speaks for its text.
+#: Pages of a layout, copies counted once, that must hold a text before it is furniture, and the same inside a main container, whose name speaks for its text.
 MIN_PAGES = 3
 MAIN_PAGES = 10
 #: Share of a layout's pages that a token must be on to be of its template.
@@ -57,6 +57,8 @@ _TAG = re.compile(
     r"|</?[a-z][^<>]*>|<[!?][^<>]*>",
     re.S | re.I,
 )
+#: The end of a tag that closes itself: a slash that isn't the last character of a value without quotes.
+_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 _NAME = re.compile(r"""(?:\s|/|^)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:\s|^)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
@@ -211,7 +213,7 @@ def parse(page: str, memo: dict) -> tuple[dict[int, int], dict[int, tuple[int, b
             counts[here.path] = 0
             about[here.path] = (top.path, here.apart, here.main, here.named)
         counts[here.path] += 1
-        if tag not in _VOID and not m["attrs"].endswith("/"):
+        if tag not in _VOID and not _CLOSED.search(m["attrs"]):
             if here.apart != top.apart:
                 flush()
             stack.push(here)
@@ -231,13 +233,15 @@ def _text_token(path: int, text: str) -> int:
 
 
 _TOKEN = (
-    "host:string,in_main:boolean,token:bigint,parent:bigint,is_text:boolean,apart:boolean,main:boolean,named:boolean,"
+    "host:string,in_main:boolean,token:bigint,page:bigint,parent:bigint,is_text:boolean,apart:boolean,main:boolean,named:boolean,"
     "pages:bigint,total:bigint,sum1:decimal(38,0),sum2:decimal(38,0),chars:bigint,linked:bigint"
 )
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """Partial sums of the tokens of each host and layout, one row for each part of a batch and token. pages: key, host, html.
+    """Partial sums of the tokens of each host and layout, one row for each part of a batch and token. pages: key, host, html, copied.
+
+    page is null but for pages that have copies, whose tokens have rows of their own, so that copies can be told from pages of their own.
 
     chars and linked of an element are those of all text below it that doesn't stand apart. A text that one page of the part holds
     is left to the other parts to repeat: it comes along as well, as they may.
@@ -246,9 +250,14 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     def maker():
         memo: dict = {}
 
-        def make(keys, hosts, texts):
+        def make(keys, hosts, texts, copied):
             sums: dict[tuple, list] = {}
-            for key, host, page in zip(keys, hosts, texts, strict=True):
+            done = set()
+            for key, host, page, again in zip(keys, hosts, texts, copied, strict=True):
+                own = key if again else None
+                if again and (host, key) in done:
+                    continue
+                done.add((host, key))
                 counts, about, blocks = parse(page or "", memo)
                 h1, h2 = key & 0x7FFFFFFF, (key >> 31) & 0x7FFFFFFF
                 seen = {(p, False): [n, *about[p], 0, 0] for p, n in counts.items()}
@@ -268,27 +277,31 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     seen.setdefault(token, new)[0] += 1
                 layout = (host, holds_main(blocks))
                 for (token, is_text), (n, parent, apart, main, named, chars, linked) in seen.items():
-                    s = sums.setdefault((*layout, token, is_text), [parent, apart, main, named, 0, 0, 0, 0, 0, 0])
+                    s = sums.setdefault((*layout, token, is_text, own), [parent, apart, main, named, 0, 0, 0, 0, 0, 0])
                     for k, v in enumerate((1, n, n * h1, n * h2, chars, linked), 4):
                         s[k] += v
             rows = [
-                {"host": h, "in_main": i, "token": t, "parent": s[0], "is_text": x, "apart": s[1], "main": s[2], "named": s[3],
+                {"host": h, "in_main": i, "token": t, "page": g, "parent": s[0], "is_text": x, "apart": s[1], "main": s[2], "named": s[3],
                  "pages": s[4], "total": s[5], "sum1": Decimal(s[6]), "sum2": Decimal(s[7]), "chars": s[8], "linked": s[9]}
-                for (h, i, t, x), s in sums.items()
+                for (h, i, t, x, g), s in sums.items()
             ]
             return [[rows] + [[]] * (len(keys) - 1)]
 
         return make
 
-    return row_pass(pages, ["key", "host", "html"], f"tokens array<struct<{_TOKEN}>>", maker, []).select(F.inline("tokens"))
+    return row_pass(pages, ["key", "host", "html", "copied"], f"tokens array<struct<{_TOKEN}>>", maker, []).select(F.inline("tokens"))
 
 
 def template_tokens(pages: DataFrame, min_share: float = MIN_SHARE, min_members: int = MIN_MEMBERS) -> DataFrame:
     """The frequent tokens of each host and layout with the number of its pages (``of``) and whether they are of its template (``valid``)."""
     layout = ["host", "in_main"]
+    token, about, counted = [*layout, "token", "is_text"], ("parent", "apart", "main", "named"), ("pages", "total", "sum1", "sum2", "chars", "linked")
+    first = [F.first(c).alias(c) for c in about]
+    # one page of copies counts; both groupings share one exchange
     sums = (
-        page_tokens(pages).groupBy(*layout, "token", "is_text")
-        .agg(*(F.first(c).alias(c) for c in ("parent", "apart", "main", "named")), *(F.sum(c).alias(c) for c in ("pages", "total", "sum1", "sum2", "chars", "linked")))
+        page_tokens(pages).repartition(*token)
+        .groupBy(*token, "page").agg(*first, *(F.when(F.col("page").isNull(), F.sum(c)).otherwise(F.max(c)).alias(c) for c in counted))
+        .groupBy(*token).agg(*first, *(F.sum(c).alias(c) for c in counted))
         .where("not is_text or pages >= 2").withColumn("class", F.xxhash64("pages", "total", "sum1", "sum2"))
     )
     sums = materialise(sums, "tokens")
@@ -383,8 +396,8 @@ def extract(about: dict[int, tuple[int, bool, bool, bool]], blocks: list[tuple[i
         taken[path] = known.get(path, taken[up])
     data = [(path, text) for path, apart, _, text, _ in blocks if not apart and taken[path]]
     kept = [text for path, text in data if _text_token(path, text) not in furniture]
-    if not kept and main is layout:
-        kept = [text for _, text in data]  # copies of one page are no template of it
+    if not kept:
+        kept = [text for _, text in data]  # pages that say the same are no template of each other
     return " ".join(kept)
 
 
@@ -401,9 +414,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     base = need(pages, page_id=T.LongType(), url=T.StringType(), html=T.StringType())
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     base = base.withColumn("host", host)
-    low = F.lit((1 << 62) - 1)
-    key = F.xxhash64("page_id", "url", F.length("html"), F.substring("html", 1, 2000), F.substring(F.col("html"), -200, 200)).bitwiseAND(low)
-    found = materialise(templates(base.select(key.alias("key"), "host", "html")), "templates")
+    key = F.xxhash64(F.coalesce("html", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    keyed = base.select(key.alias("key"), "host", "html")
+    copies = materialise(keyed.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1").select("host", "key", F.lit(True).alias("copied")), "copies")
+    found = materialise(templates(keyed.join(copies, ["host", "key"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))), "templates")
 
     def maker():
         memo: dict = {}
