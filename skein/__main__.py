@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.scratch import materialise
-from skein.operators import build, components, paths
+from skein.operators import build, components, paths, search
 from skein.plans.graph import classified
 from skein.sources import files
 
@@ -45,9 +45,9 @@ def main(argv: list[str] | None = None) -> None:
         put(paths.closest_significance(edges, nodes, members, at.trials), "distances")
     if at.pairs:
         inside = materialise(nodes.join(members, "node").select("name", "layer", "node"), "inside")
-        near = paths.nearest_members(edges, inside)
-        own = paths.to_own_set(near, inside).groupBy("name", "layer").agg(F.avg("near").alias("closest"), F.count("*").alias("n")).where("n >= 10")
-        put(paths.separation(materialise(own, "within"), paths.between(near, inside)), "pairs")
+        near, to_sets = search.closest(edges, inside)
+        own = near.groupBy("name", "layer").agg(F.avg("near").alias("closest"), F.count("*").alias("n")).where("n >= 10")
+        put(paths.separation(materialise(own, "within"), paths.between(to_sets, inside)), "pairs")
 
 
 if __name__ == "__main__":

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions.scratch import materialise
-from skein.operators import build, ontology, paths
+from skein.operators import build, ontology, search
 from skein.plans.base import query
 from skein.plans.network import NEAR_SQL, _layers
 from skein.plans.relational import ISA_SQL, _genes, _isa, _supplied
@@ -198,8 +198,7 @@ def ot03(spark, d):
 @query("gr31_closest", WITH + NEAR_SQL + "SELECT name, layer, node, near FROM near")
 def gr31(spark, d):
     """Steps from every member of every set to the nearest other member."""
-    edges, inside = _layers(spark, d)
-    return paths.to_own_set(paths.nearest_members(edges, inside), inside)
+    return search.closest(*_layers(spark, d))[0]
 
 
 @query("ui01_module", WITH + "SELECT e.a, e.b FROM edges e JOIN sets s ON s.node = e.a JOIN sets t ON t.node = e.b AND t.name = s.name WHERE e.layer = 'N' AND s.name = 'Brand#11'")

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.functions import stats
+from skein.functions import draws, stats
 from skein.functions.scratch import materialise
-from skein.operators import build, evaluate, paths, propagate
+from skein.operators import build, evaluate, paths, propagate, search
 from skein.plans.base import query
 from skein.plans.graph import FOLDS, SEEDS_OF_FOLDS, fold_seeds
 from skein.sources import tables
 from skein.sources.tables import EDGES_SQL
 
 WITH = f"WITH {EDGES_SQL}"
-RECURSIVE = f"WITH RECURSIVE {EDGES_SQL}"
 
 SIM_SQL = """
 WITH e AS (SELECT vec_id, embedding FROM embeddings),
@@ -63,16 +62,16 @@ def gr25(spark, d):
     return found.agg(F.floor(F.count("*") / 2).alias("before"), F.floor(F.count_if(keep) / 2).alias("after"))
 
 
-DEPTH = 3
+#: Steps that the SQL of distances goes; the engine goes on until nothing changes, which is before that at the checked scales, as a test says.
 LEVELS = 6
-DIST_SQL = f""",
-inside AS (SELECT s.name, n.layer, n.node FROM nodes n JOIN sets s USING (node) WHERE s.name IN ('Brand#11', 'Brand#12', 'Brand#13')),
-bfs AS (
-  SELECT DISTINCT layer, node AS src, node, 0 AS d FROM inside
-  UNION SELECT b.layer, b.src, l.dst, b.d + 1 FROM bfs b JOIN two_way l ON l.layer = b.layer AND l.src = b.node WHERE b.d < {DEPTH}
-),
-dist AS (SELECT layer, src, node, min(d) AS d FROM bfs GROUP BY ALL)
-"""
+#: The nodes that reach a node in so many steps, as a string of a bit a node.
+REACH_SQL = """,
+num AS (SELECT layer, node, CAST(row_number() OVER (PARTITION BY layer ORDER BY node) - 1 AS INTEGER) AS i, CAST(count(*) OVER (PARTITION BY layer) AS INTEGER) AS c FROM nodes),
+r0 AS MATERIALIZED (SELECT layer, node, set_bit(bitstring('0', c), i, 1) AS b FROM num),
+""" + ",\n".join(
+    f"r{k} AS MATERIALIZED (SELECT layer, node, bit_or(b) AS b FROM (SELECT * FROM r{k - 1} UNION ALL SELECT l.layer, l.dst, r.b FROM r{k - 1} r JOIN two_way l ON l.layer = r.layer AND l.src = r.node) GROUP BY layer, node)"
+    for k in range(1, LEVELS + 1)
+) + ",\nreach AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k}" for k in range(LEVELS + 1)) + ")"
 #: The two nearest members of every set at every node, level by level; the engine goes on until nothing changes, which is before LEVELS at the checked scale.
 NEAR_SQL = """,
 inside AS (SELECT s.name, n.layer, n.node FROM nodes n JOIN sets s USING (node)),
@@ -96,36 +95,117 @@ def _layers(spark, d, sets=None):
     return edges, materialise(build.graph_nodes(edges, by=("layer",)).join(chosen, "node").select("name", "layer", "node"), "inside")
 
 
-@query("gr30_distances", RECURSIVE + DIST_SQL + "SELECT layer, d, count(*) AS n FROM dist GROUP BY ALL")
+HIST_SQL = """,
+upto AS (SELECT layer, k, sum(bit_count(b)) AS n FROM reach GROUP BY ALL),
+hist AS (SELECT layer, k AS d, n - coalesce(lag(n) OVER (PARTITION BY layer ORDER BY k), 0) AS n FROM upto),
+whole AS (SELECT layer, sum(d * n) / sum(n) AS ms, sqrt((sum(d * d * n) / 2.0 - (sum(d * n) / 2.0) * (sum(d * n) / 2.0) / (sum(n) / 2.0)) / (sum(n) / 2.0 - 1)) AS ss FROM hist WHERE d > 0 GROUP BY ALL)
+"""
+
+
+@query("gr30_distances", WITH + REACH_SQL + HIST_SQL + "SELECT layer, CAST(d AS BIGINT) AS d, CAST(n AS BIGINT) AS n FROM hist WHERE n > 0")
 def gr30(spark, d):
-    """How many pairs are at each distance up to three from the members of three sets: distances of single pairs are the sources times the nodes."""
-    edges, inside = _layers(spark, d, tables.sets(spark, d).where(F.col("name").isin("Brand#11", "Brand#12", "Brand#13")))
-    found = paths.distances(edges, inside.select("layer", F.col("node").alias("src")).distinct(), DEPTH)
-    return found.groupBy("layer", "d").agg(F.count("*").alias("n"))
+    """How many ordered pairs of nodes are at each distance, all nodes of all layers, at any distance."""
+    return search.level_counts(search.distance_index(materialise(tables.edges(spark, d), "edges")))
+
+
+@query(
+    "gr30_pair_distances",
+    WITH + REACH_SQL + ", pairs AS (SELECT x.layer, e.a, e.b FROM (SELECT DISTINCT a, b FROM edges) e JOIN nodes x ON x.node = e.a)"
+    " SELECT p.layer, p.a, p.b, CAST(min(r.k) AS BIGINT) AS d FROM pairs p JOIN num n ON n.layer = p.layer AND n.node = p.a JOIN reach r ON r.layer = p.layer AND r.node = p.b WHERE get_bit(r.b, n.i) = 1 GROUP BY ALL",
+)
+def gr30_pairs(spark, d):
+    """The distance in every layer of the ends of every edge of any layer, looked up in the index of all distances."""
+    edges = materialise(tables.edges(spark, d), "edges")
+    pairs = edges.select("a", "b").distinct().join(build.graph_nodes(edges, by=("layer",)).withColumnRenamed("node", "a"), "a").select("layer", "a", "b")
+    return search.pair_distances(search.distance_index(edges), pairs)
 
 
 @query("gr32_within_distance", WITH + NEAR_SQL + "SELECT name, layer, round(closest, 6) AS closest FROM win")
 def gr32(spark, d):
     """Mean steps from the members of every set to their nearest other member, at any distance."""
-    edges, inside = _layers(spark, d)
-    near = paths.to_own_set(paths.nearest_members(edges, inside), inside)
+    near, _ = search.closest(*_layers(spark, d))
     return near.groupBy("name", "layer").agg(F.round(F.avg("near"), 6).alias("closest"))
 
 
-@query("gr32_distance_significance")
+NEAR_TRIALS = 2
+
+
+def _draw_sql(seed: str, side: str) -> str:
+    """The members of random sets of every size of a layer, as groups named by side, size and trial."""
+    return f"""SELECT '{side}|' || w.n || '|' || x.trial AS g, x.layer, x.node FROM (
+  SELECT layer, trial, node, row_number() OVER (PARTITION BY layer, trial ORDER BY md5('{seed}|' || layer || '|' || trial || '|' || node), node) AS r FROM nodes, range(1, {NEAR_TRIALS + 1}) t(trial)) x
+  JOIN (SELECT DISTINCT layer, n FROM sizes) w ON w.layer = x.layer AND x.r <= w.n"""
+
+
+SETS_SQL = """,
+inside2 AS (SELECT DISTINCT s.name, n.layer, n.node FROM nodes n JOIN sets s USING (node)),
+sizes AS (SELECT name, layer, count(*) AS n FROM inside2 GROUP BY ALL),
+"""
+MASK_SQL = """,
+mask AS MATERIALIZED (SELECT g, layer, bit_or(set_bit(bitstring('0', c), i, 1)) AS m FROM grp JOIN num USING (layer, node) GROUP BY ALL)"""
+WITHIN_SQL = SETS_SQL + f"grp AS (SELECT 'own|' || name AS g, layer, node FROM inside2 UNION ALL {_draw_sql('near', 'draw')})" + MASK_SQL + """,
+seen AS (SELECT g, layer, node, k, bit_count(r.b & m.m) AS c FROM grp JOIN mask m USING (g, layer) JOIN reach r USING (layer, node)),
+member AS (SELECT g, layer, node, min(CASE WHEN c > 1 THEN k END) AS near, sum(k * fresh) AS steps, sum(fresh) AS n
+  FROM (SELECT *, CASE WHEN k > 0 THEN c - lag(c) OVER (PARTITION BY g, layer, node ORDER BY k) END AS fresh FROM seen) GROUP BY ALL HAVING max(c) > 1),
+grouped AS (SELECT g, layer, avg(near) AS closest, sum(steps) / sum(n) AS shortest FROM member GROUP BY ALL),
+nullc AS (SELECT layer, CAST(split_part(g, '|', 2) AS BIGINT) AS n, avg(closest) AS mc, stddev_samp(closest) AS sc FROM grouped WHERE g LIKE 'draw|%' GROUP BY ALL),
+scored AS (SELECT s.name, s.layer, s.n, g.closest, g.shortest, mc, sc, CASE WHEN sc > 0 THEN (g.closest - mc) / sc END AS zc, ms, ss, CASE WHEN ss > 0 THEN (g.shortest - ms) / ss END AS zs
+  FROM sizes s JOIN grouped g ON g.g = 'own|' || s.name AND g.layer = s.layer LEFT JOIN nullc n ON n.layer = s.layer AND n.n = s.n JOIN whole w ON w.layer = s.layer)
+"""
+BETWEEN_SQL = SETS_SQL + f"grp AS (SELECT 'own|' || name AS g, layer, node FROM inside2 UNION ALL {_draw_sql('first', 'a')} UNION ALL {_draw_sql('second', 'b')})" + MASK_SQL + """,
+pairs AS (SELECT x.layer, x.name AS name1, y.name AS name2, x.n AS n1, y.n AS n2 FROM sizes x JOIN sizes y ON x.layer = y.layer AND x.name < y.name),
+asked AS (
+  SELECT layer, 'own|' || name1 AS g1, 'own|' || name2 AS g2 FROM pairs UNION ALL SELECT layer, 'own|' || name2, 'own|' || name1 FROM pairs
+  UNION ALL SELECT DISTINCT layer, 'a|' || n1 || '|' || trial, 'b|' || n2 || '|' || trial FROM pairs, range(1, """ + str(NEAR_TRIALS + 1) + """) t(trial)
+),
+seen AS (SELECT a.layer, a.g1, a.g2, x.node, r.k, bit_count(r.b & m.m) AS c FROM asked a JOIN grp x ON x.g = a.g2 AND x.layer = a.layer JOIN mask m ON m.g = a.g1 AND m.layer = a.layer JOIN reach r ON r.layer = a.layer AND r.node = x.node),
+member AS (SELECT layer, g1, g2, node, min(CASE WHEN c > 0 THEN k END) AS near, sum(k * fresh) AS steps, sum(fresh) AS n
+  FROM (SELECT *, c - coalesce(lag(c) OVER (PARTITION BY layer, g1, g2, node ORDER BY k), 0) AS fresh FROM seen) GROUP BY ALL HAVING max(c) > 0),
+turned AS (SELECT layer, g1, g2, near, steps, n FROM member WHERE g1 LIKE 'own|%' AND g1 < g2 UNION ALL SELECT layer, g2, g1, near, 0, 0 FROM member WHERE g1 LIKE 'own|%' AND g1 > g2),
+own AS (SELECT layer, substr(g1, 5) AS name1, substr(g2, 5) AS name2, avg(near) AS closest, sum(steps) / sum(n) AS shortest FROM turned GROUP BY ALL),
+drawn AS (SELECT layer, g1, g2, avg(near) AS m FROM member WHERE g1 LIKE 'a|%' GROUP BY ALL),
+nullc AS (SELECT layer, CAST(split_part(g1, '|', 2) AS BIGINT) AS n1, CAST(split_part(g2, '|', 2) AS BIGINT) AS n2, avg(m) AS mc, stddev_samp(m) AS sc FROM drawn GROUP BY ALL),
+scored AS (SELECT o.*, mc, sc, CASE WHEN sc > 0 THEN (closest - mc) / sc END AS zc, ms, ss, CASE WHEN ss > 0 THEN (shortest - ms) / ss END AS zs
+  FROM own o JOIN pairs p USING (layer, name1, name2) LEFT JOIN nullc n ON n.layer = o.layer AND n.n1 = p.n1 AND n.n2 = p.n2 JOIN whole w ON w.layer = o.layer)
+"""
+_COLUMNS = ("mean_closest", "sd_closest", "z_closest", "fold_closest", "mean_shortest", "sd_shortest", "z_shortest", "fold_shortest")
+_SCORES_SQL = "round(closest, 6) AS closest, round(shortest, 6) AS shortest, " + ", ".join(
+    f"round({m}, 6) AS mean_{c}, round({s}, 6) AS sd_{c}, round({z}, 5) AS z_{c}, round({m} / nullif({c}, 0), 6) AS fold_{c}, CASE WHEN {z} IS NOT NULL THEN round(1 - ({stats.upper_tail_sql(z)}), 5) END AS p_{c}"
+    for c, m, s, z in (("closest", "mc", "sc", "zc"), ("shortest", "ms", "ss", "zs"))
+)
+
+
+def _rounded(found, *keys):
+    digits = {**dict.fromkeys(("closest", "shortest", *_COLUMNS), 6), "z_closest": 5, "z_shortest": 5, "p_closest": 5, "p_shortest": 5}
+    return found.select(*keys, *(F.round(c, n).alias(c) for c, n in digits.items()))
+
+
+@query("gr32_distance_significance", WITH + REACH_SQL + HIST_SQL + WITHIN_SQL + f"SELECT name, layer, n, {_SCORES_SQL} FROM scored")
 def gr32_significance(spark, d):
-    """The same against two random sets of each size, with z, p and fold change; the library's default is 1000 draws. Held against brute force in the tests."""
+    """Both distances inside every set: to the nearest other member, against two random sets of each size, and of all pairs, against all pairs of the layer.
+
+    The library's default is 1000 draws.
+    """
+    edges = materialise(tables.edges(spark, d), "edges")
+    found = search.within_significance(search.distance_index(edges), materialise(build.graph_nodes(edges, by=("layer",)), "nodes"), tables.sets(spark, d), trials=NEAR_TRIALS)
+    return _rounded(found, "name", "layer", "n")
+
+
+@query("gr32_between_significance", WITH + REACH_SQL + HIST_SQL + BETWEEN_SQL + f"SELECT layer, name1, name2, {_SCORES_SQL} FROM scored")
+def gr32_between(spark, d):
+    """Both distances between all pairs of sets, against two pairs of random sets of the two sizes and against all pairs of the layer; the library's default is 1000 draws."""
     edges = materialise(tables.edges(spark, d), "edges")
-    return paths.closest_significance(edges, build.graph_nodes(edges, by=("layer",)), tables.sets(spark, d), trials=2)
+    found = search.between_significance(search.distance_index(edges), materialise(build.graph_nodes(edges, by=("layer",)), "nodes"), tables.sets(spark, d), trials=NEAR_TRIALS)
+    return _rounded(found, "layer", "name1", "name2")
 
 
 @query("gr33_separation", WITH + NEAR_SQL + "SELECT name1, name2, b.layer, round(b.closest - (x.closest + y.closest) / 2, 6) AS s FROM btw b JOIN win x ON x.name = name1 AND x.layer = b.layer JOIN win y ON y.name = name2 AND y.layer = b.layer")
 def gr33(spark, d):
-    """Separation of all pairs of sets in every layer: one search for all sets."""
+    """Separation of all pairs of sets in every layer: one search for all sets, a few bits a set."""
     edges, inside = _layers(spark, d)
-    near = paths.nearest_members(edges, inside)
-    own = materialise(paths.to_own_set(near, inside).groupBy("name", "layer").agg(F.avg("near").alias("closest")), "within")
-    return paths.separation(own, paths.between(near, inside)).select("name1", "name2", "layer", F.round("s", 6).alias("s"))
+    near, to_sets = search.closest(edges, inside)
+    own = materialise(near.groupBy("name", "layer").agg(F.avg("near").alias("closest")), "within")
+    return paths.separation(own, paths.between(to_sets, inside)).select("name1", "name2", "layer", F.round("s", 6).alias("s"))
 
 
 STEPS = 4
@@ -280,8 +360,8 @@ def rw19(spark, d):
     """Three seeded samples of a hundred edges a layer."""
     seeds = spark.range(1, 4).select(F.col("id").alias("seed"))
     keyed = tables.edges(spark, d).select("layer", "a", "b").crossJoin(F.broadcast(seeds))
-    order = Window.partitionBy("seed", "layer").orderBy(stats.shuffled(F.col("seed"), F.col("layer"), F.col("a"), F.col("b")), "a", "b")
-    return keyed.withColumn("r", F.row_number().over(order)).where("r <= 100").drop("r")
+    keyed = keyed.withColumn("key", stats.shuffled(F.col("seed"), F.col("layer"), F.col("a"), F.col("b")))
+    return draws.smallest(keyed, ["seed", "layer"], "key", ["a", "b"], 100).drop("r", "key")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.functions import stats
+from skein.functions import draws, stats
 from skein.functions.scratch import materialise
 from skein.operators import ontology
 from skein.operators.build import canonical
@@ -235,8 +235,8 @@ def s03(spark, d):
 @query("s04_sample", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY md5('7|' || p_partkey), p_partkey) <= 5")
 def s04(spark, d):
     """Five parts a brand by a seeded hash: a sampling operator."""
-    r = F.row_number().over(Window.partitionBy("p_brand").orderBy(stats.shuffled("7", F.col("p_partkey")), "p_partkey"))
-    return T(spark, d, "part", "p_brand", "p_partkey").withColumn("r", r).where("r <= 5").drop("r")
+    keyed = T(spark, d, "part", "p_brand", "p_partkey").withColumn("key", stats.shuffled("7", F.col("p_partkey")))
+    return draws.smallest(keyed, ["p_brand"], "key", ["p_partkey"], 5).drop("r", "key")
 
 
 @query("s05_permutation", "WITH a AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part), b AS (SELECT p_brand, p_partkey AS moved, row_number() OVER (PARTITION BY p_brand ORDER BY md5('p|' || p_partkey), p_partkey) AS r FROM part) SELECT p_partkey, moved FROM a JOIN b USING (p_brand, r)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein import __main__ as cli
 from skein.functions.scratch import cached
-from skein.operators import build, components, paths, propagate, topology
+from skein.operators import build, components, paths, propagate, search, topology
 from skein.plans import registry
 from skein.sources import files
 
@@ -53,7 +53,7 @@ def test_nearest_members_equal_search(spark, graph):
     nodes = build.graph_nodes(edges, by=("layer",))
     inside = nodes.join(members, "node").select("name", "layer", "node").cache()
     held = {(r.name, r.layer, r.node) for r in inside.collect()}
-    near = paths.nearest_members(edges, inside).cache()
+    near, to_sets = search.closest(edges, inside)
     own, first = {}, {}
     for name, layer, node in held:
         far = steps_from(pairs, layer, node)
@@ -61,11 +61,11 @@ def test_nearest_members_equal_search(spark, graph):
             found = [far[m] for n, k, m in held if n == other and k == layer and m in far and (n != name or m != node)]
             if found:
                 (own if other == name else first)[name, other, layer, node] = min(found)
-    assert {(r.name, r.name, r.layer, r.node): r.near for r in paths.to_own_set(near, inside).collect()} == own
+    assert {(r.name, r.name, r.layer, r.node): r.near for r in near.collect()} == own
     want = {}
     for (name, other, layer, _), d in first.items():
         want.setdefault((*sorted((name, other)), layer), []).append(d)
-    got = {(r.name1, r.name2, r.layer): r.closest for r in paths.between(near, inside).collect()}
+    got = {(r.name1, r.name2, r.layer): r.closest for r in paths.between(to_sets, inside).collect()}
     assert got == {k: pytest.approx(np.mean(v)) for k, v in want.items()}
     scored = paths.closest_significance(edges, nodes, members, trials=4).collect()
     mean = {}
