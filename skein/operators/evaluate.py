@@ -24,6 +24,22 @@ def auc(scored: DataFrame, by: list[str], score: str = "score", label: str = "la
     return ranked.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos > 0) & (neg > 0), u / (pos * neg)).alias("auc"))
 
 
+def auc_of_found(scored: DataFrame, totals: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
+    """As ``auc``, where rows without a score above zero aren't listed but counted: they tie behind all others.
+
+    scored: ``by``, score > 0, label; totals: ``by``, n_pos, n_neg of all rows, listed or not. Scores are ranked by the counts of their distinct values.
+    """
+    y = F.coalesce(F.col(label).cast("int"), F.lit(0))
+    at = scored.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(y).alias("_p"), F.sum(1 - y).alias("_q"))
+    above = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("_q").over(above), F.lit(0))  # listed negatives with less
+    per = at.withColumn("_won", F.col("_p") * (below + F.col("_q") / 2.0)).groupBy(*by).agg(F.sum("_won").alias("_won"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    joined = totals.join(per, by, "left").na.fill(0, ["_won", "_p", "_q"])
+    zero = F.col("n_neg") - F.col("_q")  # negatives that aren't listed
+    u = F.col("_won") + F.col("_p") * zero + (F.col("n_pos") - F.col("_p")) * zero / 2.0
+    return joined.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), u / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+
+
 def roc(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """threshold, tpr, fpr of each group at every distinct score. The rate of a class that the group lacks is null."""
     y = F.coalesce(F.col(label).cast("int"), F.lit(0))

@@ -164,10 +164,10 @@ ffl AS (SELECT name, node, CAST(CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ((i - 1
 sets AS (SELECT name || '/' || t.fold AS name, node FROM ffl, range(1, {FOLDS + 1}) t(fold) WHERE ffl.fold <> t.fold)"""
 
 
-def fold_seeds(spark, d):
+def fold_seeds(spark, d, folds=FOLDS):
     """name (set/fold), node: the members of every set that are not in the fold."""
-    found = materialise(evaluate.folds(tables.sets(spark, d), FOLDS), "folds")
-    runs = spark.range(1, FOLDS + 1).select(F.col("id").cast("int").alias("run"))
+    found = materialise(evaluate.folds(tables.sets(spark, d), folds), "folds")
+    runs = spark.range(1, folds + 1).select(F.col("id").cast("int").alias("run"))
     return found.join(F.broadcast(runs), F.col("fold") != F.col("run")).select(F.concat_ws("/", "name", F.col("run").cast("string")).alias("name"), "node")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein import __main__ as cli
 from skein.functions.scratch import cached
 from skein.operators import build, components, paths, propagate, search, topology
-from skein.plans import registry
+from skein.plans import network, registry
 from skein.sources import files
 
 DATA = "/root/testdata/sf0.001"
@@ -92,7 +92,76 @@ def test_walk_comes_to_rest(spark, graph):
     rest, many = of(None), of(30)
     assert all(rest[k] == pytest.approx(many.get(k, 0), abs=1e-6) for k in rest)
     assert sum(v for (run, _, _), v in rest.items() if run == "two") == pytest.approx(1, abs=1e-6)
-    assert propagate._at_rest([0.5, 0.5]) and not propagate._at_rest([0.5, 0.2, 0.19]) and not propagate._at_rest([0.5])
+    judged = spark.createDataFrame([(0.5, 0.5, None), (0.19, 0.2, 0.5), (0.5, None, None), (0.4, 0.5, 0.6001)], "now double, before double, first double")
+    assert [r[0] for r in judged.coalesce(1).select(propagate.at_rest(F.col("now"), F.col("before"), F.col("first"))).collect()] == [True, False, False, True]
+
+
+def test_runs_rest_one_by_one(spark, graph):
+    """Each run stops at its own step, in whatever company it walks."""
+    _, edges = graph
+    nodes = build.graph_nodes(edges)
+    weights = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "layer string, w double")
+    seeds = nodes.where("node < 20").select(F.concat(F.lit("r"), "node").alias("run"), "node", F.lit(1.0).alias("weight")).cache()
+    together = {(r.run, r.layer, r.node): r.p for r in propagate.restart_walk(edges, nodes, weights, seeds, None).collect()}
+    alone = {(r.run, r.layer, r.node): r.p for r in propagate.restart_walk(edges, nodes, weights, seeds.where("run = 'r3'"), None).collect()}
+    assert alone == {k: pytest.approx(v, abs=1e-15) for k, v in together.items() if k[0] == "r3"}
+
+
+@pytest.mark.parametrize("scaling", [None, "both"])
+def test_matrix_walk_equals_numpy(spark, scaling):
+    rng = np.random.default_rng(6)
+    m = rng.random((9, 9)) * (rng.random((9, 9)) < 0.6)
+    np.fill_diagonal(m, 0.1)
+    if scaling is None:
+        m /= 2 * m.sum()
+    w = m.sum(0)
+    scaled = {None: m, "columns": m / w, "both": m / np.sqrt(np.outer(w, w))}[scaling]
+    entries = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(9) for j in range(9) if m[i, j]], "i long, j long, w double")
+    seeds = spark.createDataFrame([("a", 2, 1.0), ("b", 4, 3.0), ("b", 5, 1.0)], "run string, node long, weight double")
+    p0 = {"a": np.eye(9)[2], "b": (3 * np.eye(9)[4] + np.eye(9)[5]) / 4}
+    for r in propagate.matrix_walk(entries, seeds, 3, 0.8, scaling).collect():
+        p = p0[r.run]
+        for _ in range(3):
+            p = 0.2 * scaled @ p + 0.8 * p0[r.run]
+        assert r.p == pytest.approx(p[r.node], abs=1e-12)
+
+
+def test_ten_folds_equal_numpy(spark):
+    """AUC of the library's default walk from dense matrices, for the first layer moves of the queries."""
+    edges = [(r.layer, r.a, r.b) for r in network.tables.edges(spark, DATA).collect()]
+    nodes = sorted({n for _, a, b in edges for n in (a, b)})
+    at, names = {n: k for k, n in enumerate(nodes)}, [k for k, _ in network.WEIGHTS]
+    n, layers = len(nodes), len(names)
+    adjacency = np.zeros((layers, n, n))
+    for layer, a, b in edges:
+        adjacency[names.index(layer), at[a], at[b]] = adjacency[names.index(layer), at[b], at[a]] = 1
+    w = [x for _, x in network.WEIGHTS]
+    move = np.array([[min(1, w[i] / w[j]) / layers for j in range(layers)] for i in range(layers)])
+    np.fill_diagonal(move, 0)
+    own = 1 - move.sum(0)
+    full = np.zeros((layers * n, layers * n))
+    for j in range(layers):
+        k = adjacency[j].sum(0)
+        norm = 1 / ((1 - own[j]) + np.where(k > 0, own[j], 0))
+        for i in range(layers):
+            full[i * n : (i + 1) * n, j * n : (j + 1) * n] = adjacency[j] / np.maximum(k, 1) * own[j] * norm if i == j else np.diag(move[i, j] * norm)
+    folds = {(r.name, r.node): r.fold for r in network.evaluate.folds(network.tables.sets(spark, DATA)).collect()}
+    got = {(r.name, r.fold): (r.n_pos, r.n_neg, r.auc) for r in registry.QUERIES["rw09_ten_folds"](spark, DATA).collect()}
+    assert len(got) > 150
+    for (name, fold), (n_pos, n_neg, auc) in list(got.items())[::7]:
+        seeds = [at[m] for (s, m), f in folds.items() if s == name and f != fold and m in at]
+        held = [at[m] for (s, m), f in folds.items() if s == name and f == fold and m in at]
+        p0 = np.zeros(layers * n)
+        for j in range(layers):
+            p0[[j * n + s for s in seeds]] = 1 / (layers * len(seeds))
+        p = p0
+        for _ in range(20):
+            p = 0.3 * full @ p + 0.7 * p0
+        score = np.round(p.reshape(layers, n).mean(0), 12)
+        other = [score[k] for k in range(n) if k not in seeds and k not in held]
+        won = sum((score[h] > np.array(other)).sum() + (score[h] == np.array(other)).sum() / 2 for h in held)
+        assert (n_pos, n_neg) == (len(held), len(other))
+        assert (auc is None) if not held else auc == pytest.approx(won / len(held) / len(other), abs=2e-3)
 
 
 def test_tails():
