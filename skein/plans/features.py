@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.functions import stats
+from skein.functions import inference, stats
 from skein.functions.scratch import materialise
 from skein.operators import build, ontology, topology
 from skein.plans.base import query
@@ -194,3 +194,85 @@ def gr34(spark, d):
 def st01(spark, d):
     """Daily counts of events by type, as a stream over the table's files."""
     return windowed_counts(spark, d, "events.parquet").withColumn("total", F.round("total", 4))
+
+
+def _t_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation by Student's distribution, as the finite sums of a whole number of degrees of freedom."""
+    v, angle = f"({n} - 2)", f"atan(abs({r}) / sqrt(1 - {r} * {r}))"
+    term = lambda up, half: f"exp(2 * k * ln(cos({angle})) + {up})"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, {v} // 2), lambda k: {term('lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)', 0)}))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce(list_sum(list_transform(range(0, ({v} - 1) // 2), lambda k: {term('lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)', 1)})), 0))"
+    return f"CASE WHEN {v} > 0 THEN CASE WHEN abs({r}) >= 1 THEN 0.0 WHEN {v} % 2 = 0 THEN 1 - {even} ELSE 1 - {odd} END END"
+
+
+@query(
+    "a12_correlation_tests",
+    "WITH r AS (SELECT p_brand, p_size, p_retailprice, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 AS rp FROM part),"
+    " c AS (SELECT p_brand, count(*) AS n, corr(p_size, p_retailprice) AS a, corr(rs, rp) AS b FROM r GROUP BY ALL)"
+    f" SELECT p_brand, n, round(a, 6) AS pearson, round({_t_sql('a', 'n')}, 6) AS p_pearson, round(b, 6) AS spearman, round({_t_sql('b', 'n')}, 6) AS p_spearman FROM c",
+)
+def a12_tests(spark, d):
+    """Correlations of size and price in every brand, with the tests of none."""
+    found = inference.correlation_tests(T(spark, d, "part", "p_brand", "p_size", "p_retailprice"), ["p_brand"], "p_size", "p_retailprice")
+    return found.select("p_brand", "n", *(F.round(c, 6).alias(c) for c in ("pearson", "p_pearson", "spearman", "p_spearman")))
+
+
+def _normal_sql(gap: str, variance: str) -> str:
+    tail = stats.upper_tail_sql(f"(greatest(abs({gap}) - 0.5, 0) / sqrt({variance}))")
+    return f"CASE WHEN {variance} > 0 THEN least(1.0, 2 * ({tail})) END"
+
+
+@query(
+    "rw18_rank_sum_tests",
+    "WITH r AS (SELECT p_brand, p_size > 25 AS large, p_retailprice, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 AS k FROM part),"
+    " t AS (SELECT p_brand, sum(t * t * t - t) AS ties FROM (SELECT p_brand, p_retailprice, count(*) AS t FROM part GROUP BY ALL) GROUP BY ALL),"
+    " s AS (SELECT p_brand, count(*) FILTER (large) AS n1, count(*) FILTER (NOT large) AS n2, sum(k) FILTER (large) AS s FROM r GROUP BY ALL),"
+    " u AS (SELECT p_brand, n1, n2, s - n1 * (n1 + 1) / 2.0 AS u, n1 * n2 / 2.0 AS mean, n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0))) AS v FROM s JOIN t USING (p_brand))"
+    f" SELECT p_brand, n1, n2, round(u, 6) AS u, CASE WHEN n1 > 0 AND n2 > 0 THEN round({_normal_sql('(u - mean)', 'v')}, 6) END AS p FROM u",
+)
+def rw18_rank_sum_tests(spark, d):
+    """The same with p from the normal form, corrected for ties; the library's default takes exact distributions below fifty, which tests hold against enumeration."""
+    rows = T(spark, d, "part", "p_brand", "p_size", "p_retailprice").select("p_brand", (F.col("p_size") > 25).alias("large"), "p_retailprice")
+    found = inference.rank_sum_tests(rows, ["p_brand"], "large", "p_retailprice", exact_below=0)
+    return found.select("p_brand", "n1", "n2", F.round("u", 6).alias("u"), F.round("p", 6).alias("p"))
+
+
+BLOCKS_SQL = (
+    "WITH v AS (SELECT l_suppkey AS s, l_returnflag AS c, round(avg(l_quantity), 4) AS y FROM lineitem GROUP BY ALL), k AS (SELECT count(DISTINCT c) AS k FROM v),"
+    " b AS (SELECT * FROM v, k QUALIFY count(*) OVER (PARTITION BY s) = k),"
+    " r AS (SELECT *, rank() OVER (PARTITION BY s ORDER BY y) + (count(*) OVER (PARTITION BY s, y) - 1) / 2.0 AS r FROM b)"
+)
+
+
+def _blocks(spark, d):
+    """s, c, y: mean quantity of every supplier under every flag."""
+    lines = T(spark, d, "lineitem", F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("c"), "l_quantity")
+    return materialise(lines.groupBy("s", "c").agg(F.round(F.avg("l_quantity"), 4).alias("y")).withColumn("all", F.lit("all")), "blocks")
+
+
+@query(
+    "rw18_friedman",
+    BLOCKS_SQL + ", p AS (SELECT c, sum(r) AS s, sum(r * r) AS q, count(*) AS n, max(k) AS k FROM r GROUP BY ALL), a AS (SELECT max(n) AS n, max(k) AS k, sum(s * s) AS ss, sum(q) AS qq FROM p),"
+    " f AS (SELECT n, k, (k - 1) * (ss - n * n * k * (k + 1) * (k + 1) / 4.0) / (qq - n * k * (k + 1) * (k + 1) / 4.0) AS q FROM a)"
+    " SELECT n, k, round(q, 6) AS q, round(exp(-q / 2), 6) AS p, round(q / (n * (k - 1)), 6) AS w FROM f",
+)
+def rw18_friedman(spark, d):
+    """Repeated measures of suppliers under the three flags; with three conditions the tail is an exponential, which the SQL takes."""
+    found = inference.friedman_tests(_blocks(spark, d), ["all"], "s", "c", "y")
+    return found.select("n", "k", *(F.round(x, 6).alias(x) for x in ("q", "p", "w")))
+
+
+@query(
+    "rw18_paired_comparisons",
+    BLOCKS_SQL + ", d AS (SELECT x.c AS first, z.c AS second, x.y - z.y AS d FROM b x JOIN b z USING (s) WHERE x.c < z.c AND x.y <> z.y),"
+    " g AS (SELECT *, rank() OVER (PARTITION BY first, second ORDER BY abs(d)) + (count(*) OVER (PARTITION BY first, second, abs(d)) - 1) / 2.0 AS r FROM d),"
+    " t AS (SELECT first, second, sum(t * t * t - t) AS ties FROM (SELECT first, second, abs(d), count(*) AS t FROM d GROUP BY ALL) GROUP BY ALL),"
+    " w AS (SELECT first, second, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS v FROM g GROUP BY ALL),"
+    f" p AS (SELECT first, second, n, v, {_normal_sql('(v - n * (n + 1) / 4.0)', '(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)')} AS p FROM w JOIN t USING (first, second)),"
+    " o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p)"
+    " SELECT first, second, n, round(v, 6) AS v, round(p, 6) AS p, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS adjusted FROM o",
+)
+def rw18_paired(spark, d):
+    """Signed ranks of all pairs of flags over the suppliers that have them all, adjusted together."""
+    found = inference.paired_comparisons(_blocks(spark, d), ["all"], "s", "c", "y", exact_below=0)
+    return found.select("first", "second", "n", *(F.round(x, 6).alias(x) for x in ("v", "p", "adjusted")))
