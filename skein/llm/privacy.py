@@ -6,9 +6,11 @@ documents as events:
 
     PMI(entity, term) = log(documents with the term near the entity * documents / (documents with the entity * documents with the term))
 
-A term whose PMI is at least ``DISCLOSURE`` of the entity's own information, ``log(documents / documents with the entity)``,
-discloses it: its occurrences near the entity are spans too. A value that one document holds is protected like
-any other: there a term discloses it if at most documents ** (1 - DISCLOSURE) documents hold the term. ``SUPPORT`` asks for more documents with both.
+Estimates from few documents are too high, so the PMI is discounted by n / (n + 1) for the n documents with both, and by
+m / (m + 1) for the fewer of the entity's and the term's documents, unless the word is formed like a name (a capital inside a sentence, or a
+digit), which is evidence of its own. A term whose discounted PMI is at least ``DISCLOSURE`` of the entity's own information, ``log(documents /
+documents with the entity)``, discloses it: its occurrences near the entity are spans too. So a plain word discloses a value that it accompanies in
+three documents, a name also one that a single document holds, if no other document holds the name. ``SUPPORT`` asks for more documents with both.
 ``sanitised`` removes values and generalises disclosing terms to their shape.
 
 Cases. Null text: no spans. Null doc_id and repeated rows: each row has its own result and counts as a document. Overlaps: kinds are
@@ -96,8 +98,9 @@ def _entity(kind: str, value: str) -> str:
 
 
 def neighbours(text: str, spans: list[tuple[str, int, int]], window: int) -> list[dict]:
-    """entity, word, start, end of the words around each mention that no base span touches: linear in the text and its spans."""
+    """entity, word, start, end, named of the words around each mention that no base span touches: linear in the text and its spans."""
     words = [m.span() for m in _WORD.finditer(text)]
+    formed = lambda i: (text[words[i][0]].isupper() and i > 0 and text[words[i - 1][1] - 1] not in ".!?") or any(c.isdigit() for c in text[slice(*words[i])])
     starts, ends = [w[0] for w in words], [w[1] for w in words]
     free, reach, k = [True] * len(words), 0, 0
     order = sorted((a, b) for _, a, b in spans)
@@ -110,7 +113,7 @@ def neighbours(text: str, spans: list[tuple[str, int, int]], window: int) -> lis
     for kind, a, b in spans:
         before, after = bisect_right(ends, a), bisect_left(starts, b)
         entity = _entity(kind, text[a:b])
-        out += [{"entity": entity, "word": text[starts[i] : ends[i]], "start": starts[i], "end": ends[i]} for i in (*range(max(0, before - window), before), *range(after, min(after + window, len(words)))) if free[i]]
+        out += [{"entity": entity, "word": text[starts[i] : ends[i]], "start": starts[i], "end": ends[i], "named": formed(i)} for i in (*range(max(0, before - window), before), *range(after, min(after + window, len(words)))) if free[i]]
     return out
 
 
@@ -125,7 +128,7 @@ def find_base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return make
 
-    fields = "kinds array<string>, starts array<int>, ends array<int>, near array<struct<entity:string,word:string,start:int,end:int>>"
+    fields = "kinds array<string>, starts array<int>, ends array<int>, near array<struct<entity:string,word:string,start:int,end:int,named:boolean>>"
     return row_pass(docs, ["text"], fields, maker, ["uid", "doc_id"])
 
 
@@ -135,8 +138,8 @@ def as_term(word: Column) -> Column:
 
 
 def near_terms(found: DataFrame) -> DataFrame:
-    """uid, entity, term, start, end of the words of two characters or more near each mention. found: from ``find_base``."""
-    return found.select("uid", F.inline("near")).select("uid", "entity", as_term(F.col("word")).alias("term"), "start", "end").where(F.length("term") > 1)
+    """uid, entity, term, start, end, named of the words of two characters or more near each mention. found: from ``find_base``."""
+    return found.select("uid", F.inline("near")).select("uid", "entity", as_term(F.col("word")).alias("term"), "start", "end", "named").where(F.length("term") > 1)
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
@@ -145,13 +148,14 @@ def document_terms(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(found: DataFrame, terms: DataFrame, n_docs: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, term, pmi, information of the terms over the threshold.
+    """entity, term, pmi (discounted), information of the terms over the threshold.
 
     found: from ``find_base``. terms: one row (term) for each document and distinct term of it, counted in each task before
     it meets the candidates, so the join sees a row a term; read only where there are candidates. Candidates are
     at most 2 * WINDOW a mention.
     """
-    pairs = near_terms(found).select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    once = near_terms(found).groupBy("uid", "entity", "term").agg(F.bool_or("named").alias("named"))
+    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.bool_or("named").alias("named")).where(F.col("n_both") >= support)
     entities = found.select("uid", F.inline("near")).select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     n = F.lit(float(n_docs))
     information = F.log(n / F.col("n_entity"))
@@ -160,7 +164,9 @@ def disclosing_terms(found: DataFrame, terms: DataFrame, n_docs: int, support: i
         return both.select("entity", "term", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("information")).limit(0)
     wanted = materialise(both.select("term").distinct(), "terms")
     held = materialise(terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term"), "term-documents")
-    pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
+    fewer = F.least("n_entity", "n_term")
+    discount = F.col("n_both") / (F.col("n_both") + 1) * F.when(F.col("named"), 1.0).otherwise(fewer / (fewer + 1))
+    pmi = discount * F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     return (
         both.join(held, "term").select("entity", "term", pmi.alias("pmi"), information.alias("information"))
         .where(F.col("pmi") >= disclosure * F.col("information"))
