@@ -14,7 +14,7 @@ at least one match for every ``MATCH_WORDS`` words of the item, and one in any c
 ``COMMON_ITEMS`` items have (a stem that many begin with) joins no pairs by itself: of any ``most + 1`` distinct words of an
 item, ``most`` being the edits it may have, one is left in a text that holds it, so its matches under common keys count in the texts that hold
 one of the ``most + 1`` words of it that fewest items have; those pairs come from a join of these words. Candidates meet the
-documents, at most ``TOGETHER`` of them in a row, and the word edit distance between the item and the text around the matches decides, exactly, by bit-parallel dynamic programming.
+documents, at most ``TOGETHER`` of them in a row, which give the stretches around the matches; these meet the items, and the word edit distance between the item and the text around the matches decides, exactly, by bit-parallel dynamic programming.
 Tests measure the recall at the full share of edits: at least 0.9 for items of every length, 0.97 from 12 words on.
 
 Words are lower-cased runs of letters, digits and underscores. An item matches a stretch of a document if at most
@@ -241,30 +241,45 @@ def edits_of(n: int, edits: float) -> int:
     return int(edits * n + 1e-9)
 
 
-def best_place(words: np.ndarray, text: np.ndarray, begins: list[int], most: int) -> tuple[int, int, int] | None:
-    """(distance, first word, end word) of the best stretch of the text near one of the places where the item may begin, if close enough."""
-    n, done, best, own = len(words), -1, None, frozenset(words.tolist())
+def stretches(begins: list[int], n: int, most: int, size: int) -> list[tuple[int, int]]:
+    """The parts of a text of ``size`` words where an item of n words that begins near one of the places may lie, those that touch as one."""
+    out: list[tuple[int, int]] = []
     for place in sorted(set(begins)):
-        lo, hi = max(0, place - most), min(len(text), place + n + most)
-        if hi <= done:
+        lo, hi = max(0, place - most), min(size, place + n + most)
+        if lo >= hi:
             continue
-        if sum(map(own.__contains__, text[lo:hi].tolist())) < n - most:
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def best_stretch(words: np.ndarray, parts: list[tuple[int, np.ndarray]], most: int) -> tuple[int, int, int] | None:
+    """(distance, first word, end word) of the best place in the parts (first word, words) of a text, the first of equals, if it is close enough."""
+    n, best, own = len(words), None, frozenset(words.tolist())
+    for lo, text in parts:
+        if sum(map(own.__contains__, text.tolist())) < n - most:
             continue  # every word that isn't edited is there
-        distance, end = nearest(words, text[lo:hi])
-        done = hi if distance <= most else done
+        distance, end = nearest(words, text)
         if distance <= most and (best is None or distance < best[0]):
-            back, length = nearest(words[::-1], text[lo : lo + end][::-1])
+            back, length = nearest(words[::-1], text[:end][::-1])
             best = (distance, max(0, lo + end - (length if back == distance else n)), lo + end)
     return best
 
 
+def best_place(words: np.ndarray, text: np.ndarray, begins: list[int], most: int) -> tuple[int, int, int] | None:
+    """``best_stretch`` of a whole text near the places where the item may begin."""
+    return best_stretch(words, [(lo, text[lo:hi]) for lo, hi in stretches(begins, len(words), most, len(text))], most)
+
+
 def text_key(text: Column) -> Column:
     """What tells texts apart in joins."""
     return F.unhex(F.md5(text))
 
 
 def candidates(texts: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
-    """text_key, of: struct(item_key, words, begins) of the items to verify in each text, some rows a text. texts: text_key, text; items: from ``distinct_items``."""
+    """text_key, of: struct(item_key, n, begins) of the items to verify in each text, some rows a text. texts: text_key, text; items: from ``distinct_items``."""
     keys = materialise(index_keys(items), "item-keys")
     flat = keys.select("item_key", "n", F.inline("keys"))
     n, cut = keys.agg(F.coalesce(F.sum(F.aggregate("keys", F.lit(0), lambda t, k: t + F.size(k["first"]))), F.lit(0)), F.coalesce(F.bool_or(F.exists("keys", lambda k: k["final"])), F.lit(False))).first()
@@ -306,35 +321,57 @@ def candidates(texts: DataFrame, items: DataFrame, edits: float = EDITS) -> Data
     shared = held.join(common.select("key").distinct(), "key", "left_semi").join(told, "text_key").join(common.drop("common"), ["item_key", "key"])
     begins = F.flatten(F.collect_list(F.transform("spots", lambda s: s - F.col("place"))))
     pairs = rare.unionByName(shared).groupBy("text_key", "item_key").agg(F.first("n").alias("n"), F.count("*").alias("matches"), F.array_distinct(begins).alias("begins"))
-    pairs = pairs.where(F.col("matches") >= F.greatest(F.lit(1), F.floor(F.col("n") / MATCH_WORDS))).drop("n", "matches")
+    pairs = pairs.where(F.col("matches") >= F.greatest(F.lit(1), F.floor(F.col("n") / MATCH_WORDS))).drop("matches")
     pairs = materialise(pairs, "pairs")
     sizes = materialise(pairs.groupBy("text_key").agg(F.count("*").alias("of")).where(F.col("of") > TOGETHER), "many-pairs")
-    dealt = pairs.join(sizes, "text_key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("item_key"), F.ceil(F.col("of") / TOGETHER)), F.lit(0))).drop("of")
-    near = dealt.join(items.select("item_key", "words"), "item_key")
-    return near.groupBy("text_key", "part").agg(F.collect_list(F.struct("item_key", "words", "begins")).alias("of")).drop("part")
+    near = pairs.join(sizes, "text_key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("item_key"), F.ceil(F.col("of") / TOGETHER)), F.lit(0))).drop("of")
+    return near.groupBy("text_key", "part").agg(F.collect_list(F.struct("item_key", "n", "begins")).alias("of")).drop("part")
 
 
-def verified(rows: DataFrame, edits: float, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each row and its hits. rows: text, of (from ``candidates``)."""
+def cut_out(rows: DataFrame, edits: float, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, item_key and parts: struct(lo, words, starts, ends) of each row and item of it, the stretches where the item may lie. rows: text, of (from ``candidates``)."""
 
     def maker():
         memo = WordMemo()
 
         def one(text, of):
-            words, spans, out = word_hash(memo, _WORD.findall(text.lower())), None, []
+            low, out = text.lower(), []
+            words = word_hash(memo, _WORD.findall(low)).view(np.int64)
+            spans = np.array([m.span() for m in _WORD.finditer(low)], np.int64).reshape(-1, 2) if len(low) == len(text) else None
             for c in of:
-                item = np.array(c["words"], np.int64).view(np.uint64)
-                hit = best_place(item, words, c["begins"], edits_of(len(item), edits))
-                if hit:
-                    if spans is None:
-                        spans = [m.span() for m in _WORD.finditer(text.lower())] if len(text.lower()) == len(text) else []
-                    at = (spans[hit[1]][0], spans[hit[2] - 1][1]) if spans and hit[2] > hit[1] else (None, None)
-                    out.append({"item_key": c["item_key"], "distance": hit[0], "n_item_words": len(item), "first_char": at[0], "end_char": at[1]})
+                parts = []
+                for lo, hi in stretches(c["begins"], c["n"], edits_of(c["n"], edits), len(words)):
+                    at = [spans[lo:hi, k] for k in (0, 1)] if spans is not None else [[], []]
+                    parts.append({"lo": lo, "words": words[lo:hi], "starts": at[0], "ends": at[1]})
+                out.append({"item_key": c["item_key"], "parts": parts})
             return out
 
         return lambda texts, of: [[one(t, c) for t, c in zip(texts, of, strict=True)]]
 
-    return row_pass(rows, ["text", "of"], "hits array<struct<item_key:binary,distance:int,n_item_words:int,first_char:int,end_char:int>>", maker, keep)
+    cuts = "cuts array<struct<item_key:binary,parts:array<struct<lo:int,words:array<bigint>,starts:array<bigint>,ends:array<bigint>>>>>"
+    return row_pass(rows, ["text", "of"], cuts, maker, keep).select(*keep, F.inline("cuts"))
+
+
+def verified(cuts: DataFrame, items: DataFrame, edits: float, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, item_key, distance, n_item_words, first_char, end_char of the items that are close enough. cuts: from ``cut_out``; items: item_key, words."""
+
+    def maker():
+        def one(item, parts):
+            item = np.array(item, np.int64).view(np.uint64)
+            hit = best_stretch(item, [(p["lo"], np.array(p["words"], np.int64).view(np.uint64)) for p in parts], edits_of(len(item), edits))
+            if not hit:
+                return None
+            at = (None, None)
+            for p in parts:
+                if p["starts"] and hit[2] > hit[1] >= p["lo"] and hit[2] <= p["lo"] + len(p["words"]):
+                    at = (p["starts"][hit[1] - p["lo"]], p["ends"][hit[2] - 1 - p["lo"]])
+            return {"distance": hit[0], "n_item_words": len(item), "first_char": at[0], "end_char": at[1]}
+
+        return lambda words, parts: [[one(*x) for x in zip(words, parts, strict=True)]]
+
+    rows = cuts.join(items.select("item_key", "words"), "item_key")
+    found = row_pass(rows, ["words", "parts"], "hit struct<distance:int,n_item_words:int,first_char:int,end_char:int>", maker, [*keep, "item_key"])
+    return found.where("hit is not null").select(*keep, "item_key", "hit.*")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -342,18 +379,18 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _hits(base: DataFrame, named: DataFrame, edits: float, keep: list[str]) -> DataFrame:
-    """base: ``keep``, text, text_key."""
+    """base: ``keep``, text, text_key. Out: from ``verified``, written."""
     items = materialise(distinct_items(named.where("text is not null")), "items")
     near = materialise(candidates(base.select("text_key", "text").where("text <> ''"), items, edits), "candidates")
-    return verified(base.join(near, "text_key").select(*keep, "text", "of"), edits, keep)
+    cuts = materialise(cut_out(base.join(near, "text_key").select(*keep, "text", "of"), edits, keep), "stretches")
+    return materialise(verified(cuts, items, edits, keep), "hits")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """doc_id, item_id, distance, n_item_words, first_char, end_char: the best place of each item in each row of ``docs``."""
     base = need(docs, doc_id=T.LongType(), text=T.StringType()).withColumn("text_key", text_key(F.col("text")))
     named = _items(benchmark)
-    hits = materialise(_hits(base, named, edits, ["doc_id"]).select("doc_id", F.inline("hits")), "hits")
-    found = hits.join(named.select("item_key", "item_id"), "item_key")
+    found = _hits(base, named, edits, ["doc_id"]).join(named.select("item_key", "item_id"), "item_key")
     return found.select("doc_id", "item_id", "distance", "n_item_words", "first_char", "end_char")
 
 
@@ -361,8 +398,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS)
     """The rows of ``docs``, with all columns, that hold no item."""
     key = free_name(docs, "text_key")
     base = docs.select(text_key(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    hits = _hits(base, _items(benchmark), edits, ["text_key"]).where(F.size("hits") > 0)
-    dirty = materialise(hits.select(F.col("text_key").alias(key)).distinct(), "dirty")
+    dirty = materialise(_hits(base, _items(benchmark), edits, ["text_key"]).select(F.col("text_key").alias(key)).distinct(), "dirty")
     return docs.withColumn(key, text_key(F.col("text").cast("string"))).join(dirty, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
