@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -36,18 +38,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cached(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` of the shared folder; if there is none, what ``build`` gives is written there first.
+def content_key(spark: SparkSession, inputs: Sequence[str], parameters: object = None) -> str:
+    """A key of the files below ``inputs`` (their paths, sizes and times, without reading them) and of ``parameters`` by their ``repr``."""
+    digest = hashlib.sha256(repr(parameters).encode())
+    for path in inputs:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+        found = listed.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")))  # one row, whatever the order of the files
+        digest.update(repr((path, *found.first())).encode())
+    return digest.hexdigest()[:16]
 
-    A write that fails leaves no table: a small one beside it, written last, says that it is whole.
+
+def cached(spark: SparkSession, name: str, build: Callable[[], DataFrame], inputs: Sequence[str] = (), parameters: object = None) -> DataFrame:
+    """The table ``name`` of the shared folder that was made from these ``inputs`` and ``parameters``; if there is none, what ``build`` gives is written there first.
+
+    An input that has changed since, or another parameter, is another table. The table is written in a folder of its own, and a row that names this folder is
+    published after it: a write that fails leaves nothing that is found, and of two at a time readers see one or the other whole.
     """
-    path = f"{shared_dir(spark)}/skein-cache-{name}"
+    published = f"{shared_dir(spark)}/skein-cache-{name}-{content_key(spark, inputs, parameters)}"
     try:
-        spark.read.parquet(f"{path}-whole")
+        at = spark.read.parquet(published).first()
     except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        spark.range(1).write.mode("overwrite").parquet(f"{path}-whole")
-    return spark.read.parquet(path)
+        at = None
+    if at is None:
+        path = f"{published}-{uuid.uuid4().hex[:12]}"
+        build().write.parquet(path)
+        spark.createDataFrame([(path,)], "path string").write.mode("ignore").parquet(published)
+        at = spark.read.parquet(published).first()
+    return spark.read.parquet(at["path"])
 
 
 def spread(df: DataFrame) -> DataFrame:

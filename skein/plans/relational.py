@@ -334,6 +334,29 @@ def io05(spark, d):
     return files.read_gmt(spark, at).select("name", F.explode("genes").alias("gene"))
 
 
+@query(
+    "io04_expression_matrices",
+    "WITH c AS (SELECT l_returnflag AS file, CAST(l_suppkey AS VARCHAR) AS gene, CAST(l_linenumber AS VARCHAR) AS sample, sum(l_quantity) AS value FROM lineitem GROUP BY ALL),"
+    " s AS (SELECT DISTINCT file, sample FROM c), g AS (SELECT DISTINCT file, gene FROM c)"
+    " SELECT file, gene, sample, round(CAST(coalesce(value, 0) AS DOUBLE), 2) AS value FROM s JOIN g USING (file) LEFT JOIN c USING (file, gene, sample)",
+)
+def io04(spark, d):
+    """Quantities of every supplier by line number, written as a matrix a flag, each with its own samples, and all read back together."""
+    at = files.fresh(spark, "matrices")
+    li = T(spark, d, "lineitem", F.col("l_returnflag").alias("file"), F.col("l_suppkey").cast("string").alias("gene"), F.col("l_linenumber").cast("string").alias("sample"), "l_quantity")
+    cells = materialise(li.groupBy("file", "gene", "sample").agg(F.sum("l_quantity").alias("v")), "cells")
+    samples = cells.groupBy("file").agg(F.array_sort(F.collect_set("sample")).alias("samples"))  # a matrix has a column a sample
+    held = cells.groupBy("file", "gene").agg(F.map_from_entries(F.collect_list(F.struct("sample", "v"))).alias("held"))
+    value = F.transform("samples", lambda s: F.coalesce(F.col("held")[s], F.lit(0)).cast("string"))
+    rows = held.join(samples, "file").select("file", F.lit(3).alias("i"), F.concat_ws("\t", F.concat(F.lit("E"), "gene"), "gene", value).alias("value"))
+    dims = held.groupBy("file").agg(F.count("*").alias("n")).join(samples, "file")
+    heads = dims.select("file", F.posexplode(F.array(F.lit("#1.2"), F.concat_ws("\t", F.col("n").cast("string"), F.size("samples").cast("string")), F.concat_ws("\t", F.lit("Name"), F.lit("Description"), "samples"))).alias("i", "value"))
+    # one file a matrix, as the format asks for
+    heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "i").select("file", "value").write.partitionBy("file").text(at)
+    found = files.read_gct(spark, at)
+    return found.select(F.regexp_extract("file", r"file=([^/]+)/", 1).alias("file"), "gene", "sample", F.round("value", 2).alias("value"))
+
+
 @query("io03_typed_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def io03(spark, d):
     """A table written as text and read with its types."""

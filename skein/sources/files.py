@@ -54,14 +54,19 @@ def read_gmt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gct(spark: SparkSession, path: str) -> DataFrame:
-    """gene, sample, value of an expression matrix with two lines before its header. One file at a time: the header names the columns."""
-    lines = spark.read.text(path, wholetext=False)
-    header = next(r.value for r in lines.take(3)[2:])
-    names = header.split("\t")
-    part = F.split("value", "\t")
-    rows = lines.where((F.col("value") != header) & (F.size(part) == len(names)))
-    cells = F.explode(F.arrays_zip(F.array(*map(F.lit, names[2:])).alias("sample"), F.slice(part, 3, len(names) - 2).alias("value")))
-    return rows.select(part[1].alias("gene"), cells.alias("c")).select("gene", F.col("c.sample").alias("sample"), F.col("c.value").cast("double").alias("value"))
+    """file, gene, sample, value of expression matrices with two lines before their header: one file, or all below a folder.
+
+    The header of each file is its third line, told by its place in the file's first block, and meets the file's lines in a join; files may have
+    different samples. Lines whose number of columns isn't their header's are left out. Cells that are no number are null.
+    """
+    text = spark.read.text(path, recursiveFileLookup=True)
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min("i").alias("first"))
+    placed = lines.join(first, "file").withColumn("part", F.split("value", "\t"))
+    heads = placed.where("block = 0 and i = first + 2").select("file", F.slice("part", F.lit(3), F.greatest(F.size("part") - 2, F.lit(0))).alias("samples"))
+    rows = placed.where("block > 0 or i > first + 2").join(heads, "file").where(F.size("part") == F.size("samples") + 2)
+    cells = F.arrays_zip(F.col("samples").alias("sample"), F.slice("part", F.lit(3), F.size("samples")).alias("value"))
+    return rows.select("file", F.col("part")[1].alias("gene"), F.explode(cells).alias("c")).select("file", "gene", F.col("c.sample").alias("sample"), F.col("c.value").try_cast("double").alias("value"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -74,6 +79,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.when(folder != "", folder).otherwise(stem).alias("category"), F.trim("value").alias("label"))
 
 
-def read_jdbc(spark: SparkSession, table: str, **options: str) -> DataFrame:
-    """A database table by the caller's own options; Spark pushes filters and columns down."""
-    return spark.read.format("jdbc").option("dbtable", table).options(**options).load()
+def read_jdbc(spark: SparkSession, table: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A database table by the caller's own options (url, driver, ...); Spark pushes filters and columns down.
+
+    partition: a numeric or time column, the bounds of its values and a number of reads; each read takes one stretch, values beyond the bounds go with the outer ones.
+    """
+    reader = spark.read.format("jdbc").option("dbtable", table).options(**options)
+    if partition:
+        column, low, high, reads = partition
+        reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(reads))
+    return reader.load()

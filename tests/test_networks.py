@@ -196,17 +196,41 @@ def test_principal_plane_equals_numpy(spark):
     assert np.allclose([got[k] for k in sorted(rows)], m @ axes, atol=1e-6)
 
 
-def test_computed_once_then_loaded(spark):
+def test_computed_once_then_loaded(spark, tmp_path):
     calls = []
     name = f"test-{random.random()}"
-    build_it = lambda: calls.append(1) or spark.range(5)
-    assert cached(spark, name, build_it).count() == cached(spark, name, build_it).count() == 5 and calls == [1]
+    source = str(tmp_path / "in")
+    spark.range(5).coalesce(1).write.parquet(source)
+    get = lambda parameters=None: cached(spark, name, lambda: calls.append(1) or spark.read.parquet(source), [source], parameters)
+    assert get().count() == get().count() == 5 and calls == [1]
+    spark.range(7).coalesce(1).write.mode("overwrite").parquet(source)
+    assert get().count() == 7 and calls == [1, 1] and get().count() == 7
+    assert get("other").count() == 7 and calls == [1, 1, 1]
+    with pytest.raises(ZeroDivisionError):
+        cached(spark, f"{name}-fails", lambda: 1 / 0)
+    assert cached(spark, f"{name}-fails", lambda: spark.range(3)).count() == 3
+
+
+def test_database_reads_are_split_and_filtered(spark):
+    """The database that comes with the engine, in memory."""
+    where = {"url": "jdbc:derby:memory:skein;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).select("id", (F.col("id") * 2).alias("twice")).coalesce(1).write.format("jdbc").options(dbtable="numbers", **where).save()
+    found = files.read_jdbc(spark, "numbers", ("id", 0, 100, 4), **where)
+    some = found.where("id > 90").select("id")
+    assert found.rdd.getNumPartitions() == 4 and sorted(r[0] for r in some.collect()) == list(range(91, 100))
+    plan = some._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThan(id,90)" in plan.replace("ID", "id") and "twice" not in plan.lower().split("readschema")[-1]
+    assert files.read_jdbc(spark, "numbers", **where).count() == 100
 
 
 def test_expression_matrix(spark, tmp_path):
     (tmp_path / "m.gct").write_text("#1.2\n2\t2\nName\tDescription\theart\tliver\nE1\tgA\t1.5\t0\nE2\tgB\t2\t7\n")
     got = {(r.gene, r["sample"], r.value) for r in files.read_gct(spark, str(tmp_path / "m.gct")).collect()}
     assert got == {("gA", "heart", 1.5), ("gA", "liver", 0.0), ("gB", "heart", 2.0), ("gB", "liver", 7.0)}
+    (tmp_path / "n.gct").write_text("#1.2\n1\t1\nName\tDescription\tlung\nE9\tgA\tx\nE9\tgB\t4\nshort\n")
+    (tmp_path / "o.gct").write_text("#1.2\n0\t1\nName\tDescription\tlung\n")
+    many = {(r.file[-5:], r.gene, r["sample"], r.value) for r in files.read_gct(spark, str(tmp_path)).collect()}
+    assert many == {("m.gct", *row) for row in got} | {("n.gct", "gA", "lung", None), ("n.gct", "gB", "lung", 4.0)}
 
 
 def test_command_line(spark, tmp_path):
