@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from skein.functions.scratch import materialise
 
 
-def closure(isa: DataFrame, most: int = 64) -> DataFrame:
-    """descendant, ancestor, all pairs reachable along (child, parent): the frontier joins the relation until nothing is new."""
+#: Rounds after which a closure's parts are written as one table, so that no plan grows with the depth.
+TOGETHER = 16
+
+
+def closure(isa: DataFrame) -> DataFrame:
+    """descendant, ancestor, all pairs reachable along (child, parent), at any depth: the frontier joins the relation until nothing is new. In a cycle all are each other's and their own ancestors."""
     edge = isa.select("child", "parent").distinct()
     reached = frontier = edge.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"))
-    for step in range(most):
+    step = 0
+    while True:
+        step += 1
         up = frontier.join(edge, F.col("ancestor") == F.col("child")).select("descendant", F.col("parent").alias("ancestor")).distinct()
         frontier = materialise(up.join(reached, ["descendant", "ancestor"], "left_anti"), f"closure-{step}")
         if not frontier.limit(1).count():
-            break
+            return reached
         reached = reached.unionByName(frontier)
-    return reached
+        if step % TOGETHER == 0:
+            reached = materialise(reached, "closure")
 
 
 def group_genes(isa: DataFrame, genes: DataFrame, root: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import inference, stats
 from skein.functions.scratch import materialise
-from skein.operators import build, ontology, topology
+from skein.operators import build, ontology, scaling, topology
 from skein.plans.base import query
 from skein.sources import tables
 from skein.sources.tables import EDGES_SQL
@@ -276,3 +276,25 @@ def rw18_paired(spark, d):
     """Signed ranks of all pairs of flags over the suppliers that have them all, adjusted together."""
     found = inference.paired_comparisons(_blocks(spark, d), ["all"], "s", "c", "y", exact_below=0)
     return found.select("first", "second", "n", *(F.round(x, 6).alias(x) for x in ("v", "p", "adjusted")))
+
+
+def _brand_distances(spark, d):
+    """i, j, d: one less the overlap of every two brands' orders."""
+    parts = T(spark, d, "part", "p_partkey", F.col("p_brand").alias("name"))
+    members = T(spark, d, "lineitem", "l_partkey", F.col("l_orderkey").alias("node")).join(parts, F.col("l_partkey") == F.col("p_partkey")).select("name", "node").distinct()
+    names = members.select("name").distinct()
+    every = names.select(F.col("name").alias("i")).join(names.select(F.col("name").alias("j")), F.col("i") < F.col("j"))  # brands are few
+    found = ontology.set_overlaps(materialise(members, "members")).select(F.col("name1").alias("i"), F.col("name2").alias("j"), "overlap")
+    return materialise(every.join(found, ["i", "j"], "left").select("i", "j", (1 - F.coalesce("overlap", F.lit(0.0))).alias("d")), "brand-distances")
+
+
+@query("gr34_classical_plane")
+def gr34_classical(spark, d):
+    """Brands in the plane by classical scaling of one less the overlap of their orders; held against numpy in the tests."""
+    return scaling.classical_plane(_brand_distances(spark, d)).select("i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("gr34_kruskal_plane")
+def gr34_kruskal(spark, d):
+    """The same by Kruskal's non-metric scaling."""
+    return scaling.kruskal_plane(_brand_distances(spark, d))[0].select("i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
