@@ -43,6 +43,23 @@ def information_content(isa: DataFrame, genes: DataFrame) -> DataFrame:
     return rolled.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("term", (-F.log(F.col("n") / F.col("total"))).alias("ic"))
 
 
+def pair_subgraphs(isa: DataFrame, genes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, child, parent, label: for every pair of genes the relation among their terms and all ancestors of these. isa: child, parent; genes: term, gene; pairs: a, b.
+
+    label says whose own term the child is: both, first, second, or none, which is an ancestor only. A gene's ancestors are found once, whatever its pairs;
+    a pair's rows are the edges of its own small graph.
+    """
+    edge = materialise(isa.select("child", "parent").distinct(), "isa-edges")
+    own = genes.select("gene", "term").distinct()
+    above = own.join(closure(edge), F.col("term") == F.col("descendant")).select("gene", F.col("ancestor").alias("node"))
+    nodes = own.select("gene", F.col("term").alias("node"), F.lit(True).alias("own")).unionByName(above.withColumn("own", F.lit(False)))
+    nodes = materialise(nodes.groupBy("gene", "node").agg(F.max("own").alias("own")), "gene-nodes")
+    of = lambda end, first: pairs.join(nodes.withColumnRenamed("gene", end), end).select("a", "b", "node", (F.col("own") & F.lit(first)).alias("first"), (F.col("own") & F.lit(not first)).alias("second"))
+    held = of("a", True).unionByName(of("b", False)).groupBy("a", "b", "node").agg(F.max("first").alias("first"), F.max("second").alias("second"))
+    label = F.when(F.col("first") & F.col("second"), "both").when(F.col("first"), "first").when(F.col("second"), "second").otherwise("none")
+    return held.join(edge, F.col("node") == F.col("child")).select("a", "b", "child", "parent", label.alias("label"))
+
+
 def set_overlaps(members: DataFrame) -> DataFrame:
     """name1, name2, shared, jaccard, overlap of the sets that share a member. members: name, node, distinct."""
     size = members.groupBy("name").agg(F.count("*").alias("size"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.functions import stats
 from skein.functions.scratch import materialise
 from skein.operators import build, ontology, search
 from skein.plans.base import query
@@ -212,3 +213,54 @@ def ui01(spark, d):
 def ui03(spark, d):
     """The frame behind the bars: counts by main type."""
     return T(spark, d, "part", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("main_type"), "p_size").groupBy("main_type").agg(F.count("*").alias("n"), F.round(F.avg("p_size"), 6).alias("mean_size"))
+
+
+@query(
+    "ot10_pair_subgraphs",
+    ISA_SQL.replace("WITH RECURSIVE", f"WITH RECURSIVE {EDGES_SQL},", 1)
+    + ", pairs AS (SELECT DISTINCT a, b FROM edges), gn AS (SELECT gene, node, bool_or(own) AS own FROM (SELECT gene, term AS node, true AS own FROM genes UNION ALL SELECT g.gene, c.ancestor, false FROM genes g JOIN clo c ON c.descendant = g.term) GROUP BY ALL),"
+    " held AS (SELECT a, b, node, bool_or(f) AS f, bool_or(s) AS s FROM (SELECT a, b, node, own AS f, false AS s FROM pairs JOIN gn ON gene = a UNION ALL SELECT a, b, node, false, own FROM pairs JOIN gn ON gene = b) GROUP BY ALL)"
+    " SELECT a, b, count(*) AS n, count(*) FILTER (f AND s) AS both_n, count(*) FILTER (f AND NOT s) AS first_n, count(*) FILTER (s AND NOT f) AS second_n, count(DISTINCT parent) AS parents FROM held JOIN (SELECT DISTINCT child, parent FROM isa) ON child = node GROUP BY ALL",
+)
+def ot10_subgraphs(spark, d):
+    """The ancestor graphs of the two ends of every edge of any layer: their edges, by whose term is below, and their distinct parents."""
+    pairs = materialise(tables.edges(spark, d).select("a", "b").distinct(), "pairs")
+    found = ontology.pair_subgraphs(_isa(spark, d), materialise(_genes(spark, d), "genes"), pairs)
+    count = lambda label: F.count_if(F.col("label") == label).alias(f"{label}_n")
+    return found.groupBy("a", "b").agg(F.count("*").alias("n"), count("both"), count("first"), count("second"), F.count_distinct("parent").alias("parents"))
+
+
+@query(
+    "factor_reorder",
+    "WITH m AS (SELECT p_brand, median(p_retailprice) AS middle FROM part GROUP BY ALL) SELECT p_brand, round(middle, 6) AS middle, row_number() OVER (ORDER BY middle, p_brand) AS level FROM m",
+)
+def factor_reorder(spark, d):
+    """Levels of a factor in order of the median of a value, ties by name."""
+    middle = T(spark, d, "part", "p_brand", "p_retailprice").groupBy("p_brand").agg(F.median("p_retailprice").alias("middle"))
+    return middle.select("p_brand", F.round("middle", 6).alias("middle"), F.row_number().over(Window.orderBy("middle", "p_brand")).cast("long").alias("level"))  # a row a level
+
+
+CANDIDATES_SQL = (
+    "WITH c AS (SELECT DISTINCT o_custkey AS patient, l_partkey AS node FROM orders JOIN lineitem ON l_orderkey = o_orderkey), terms AS (SELECT DISTINCT o_custkey AS patient, l_suppkey AS term FROM orders JOIN lineitem ON l_orderkey = o_orderkey),"
+    " of AS (SELECT DISTINCT l_partkey AS node, l_suppkey AS term FROM lineitem)"
+)
+
+
+@query(
+    "rw22_further_baselines",
+    CANDIDATES_SQL + ", ph AS (SELECT patient, node, count(*) AS n FROM c JOIN of USING (node) JOIN terms USING (patient, term) GROUP BY ALL), ex AS (SELECT l_partkey AS node, round(sum(l_quantity), 4) AS level FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),"
+    " pw AS (SELECT patient, p_type, count(*) AS n FROM c JOIN part ON p_partkey = node GROUP BY ALL),"
+    " f AS (SELECT c.patient, c.node, coalesce(ph.n, 0) AS ph, coalesce(ex.level, 0) AS ex, pw.n - 1 AS pw FROM c JOIN part ON p_partkey = c.node JOIN pw ON pw.patient = c.patient AND pw.p_type = part.p_type LEFT JOIN ph ON ph.patient = c.patient AND ph.node = c.node LEFT JOIN ex ON ex.node = c.node)"
+    " SELECT patient, node, " + ", ".join(f"rank() OVER (PARTITION BY patient ORDER BY {x} DESC) + (count(*) OVER (PARTITION BY patient, {x}) - 1) / 2.0 AS {n}" for x, n in (("ph", "by_phenotype"), ("ex", "by_expression"), ("pw", "by_pathway"))) + " FROM f",
+)
+def rw22_further(spark, d):
+    """Candidates of every patient by the patient's terms that the node has, by its level in one layer, and by how many further candidates share its pathway (type)."""
+    o, li = T(spark, d, "orders", "o_orderkey", "o_custkey"), T(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    lines = materialise(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("patient"), F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("term")).distinct(), "patient-lines")
+    c = lines.select("patient", "node").distinct()
+    overlap = c.join(li.select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("term")).distinct(), "node").join(lines.select("patient", "term").distinct(), ["patient", "term"]).groupBy("patient", "node").agg(F.count("*").alias("ph"))
+    level = li.where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("node")).agg(F.round(F.sum("l_quantity"), 4).cast("double").alias("ex"))
+    kinds = c.join(T(spark, d, "part", F.col("p_partkey").alias("node"), "p_type"), "node")
+    shared = kinds.groupBy("patient", "p_type").agg((F.count("*") - 1).alias("pw"))
+    full = kinds.join(shared, ["patient", "p_type"]).join(overlap, ["patient", "node"], "left").join(level, "node", "left").fillna(0, ["ph", "ex"])
+    return full.select("patient", "node", *(stats.rank_average(x, ["patient"], True).alias(n) for x, n in (("ph", "by_phenotype"), ("ex", "by_expression"), ("pw", "by_pathway"))))

@@ -158,6 +158,22 @@ def rw13_significant(spark, d):
     return pick(s, "weighted", F.col("w")).unionByName(pick(s, "unweighted", F.lit(1.0))).unionByName(pick(one, "best", F.lit(1.0)))
 
 
+#: Layers that the custom scenarios leave out, together.
+EXCLUDED = {"without A": ["A"], "without N and R": ["N", "R"], "without any": ["A", "N", "R"], "whole": []}
+
+
+@query(
+    "rw13_custom_lists",
+    RECURSIVE + LCC_SQL + NULL_SQL + BH_SQL
+    + ", x(scenario, gone) AS (VALUES " + ", ".join(f"('{k}', {v or '[]::VARCHAR[]'})" for k, v in EXCLUDED.items()) + ") SELECT scenario, name, layer, round(z, 6) AS w FROM cls, x WHERE signif <> 'none' AND NOT list_contains(gone, layer)",
+)
+def rw13_custom(spark, d):
+    """Each set's significant layers by z but for those that a scenario's list leaves out; a scenario that leaves none to a set has no row for it."""
+    s = materialise(classified(_significance(spark, d)).where("signif <> 'none'").select("name", "layer", F.round("z", 6).alias("w")), "significant")
+    lists = spark.createDataFrame([(k, v) for k, v in EXCLUDED.items()], "scenario string, gone array<string>")
+    return s.join(F.broadcast(lists), ~F.array_contains("gone", F.col("layer"))).select("scenario", "name", "layer", "w")  # the lists are a parameter
+
+
 FOLDS = 3
 SEEDS_OF_FOLDS = f"""fsh AS (SELECT p_brand AS name, p_partkey AS node, row_number() OVER (PARTITION BY p_brand ORDER BY md5('fold|' || p_brand || '|' || p_partkey), p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
 ffl AS (SELECT name, node, CAST(CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ((i - 1) * {FOLDS} + n - 2) // (n - 1)) END AS INTEGER) AS fold FROM fsh),
