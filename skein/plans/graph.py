@@ -243,12 +243,22 @@ def gr10(spark, d):
     return topology.connectivity_counts(edges, layer_nodes(edges), seeds)
 
 
-@query("gr10_connectivity_tail")
+_CHOOSE = lambda a, b: f"lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - ({b}) + 1)"
+
+
+@query(
+    "gr10_connectivity_tail",
+    WITH + ", seeds AS (SELECT node FROM sets WHERE name = 'Brand#11'), hit AS (SELECT b.layer, b.src AS node, count(*) AS x FROM two_way b JOIN seeds s ON s.node = b.dst GROUP BY ALL),"
+    " pop AS (SELECT layer, count(*) AS n FROM nodes GROUP BY ALL), succ AS (SELECT n.layer, count(*) AS m FROM nodes n JOIN seeds USING (node) GROUP BY ALL),"
+    " c AS (SELECT d.layer, d.node, coalesce(x, 0) AS x, d.k, p.n, coalesce(s.m, 0) AS m FROM deg d LEFT JOIN hit h ON h.layer = d.layer AND h.node = d.node JOIN pop p ON p.layer = d.layer LEFT JOIN succ s ON s.layer = d.layer),"
+    f" t AS (SELECT *, least(1.0, coalesce(list_sum(list_transform(range(greatest(x + 1, k - (n - m)), least(k, m) + 1), lambda i: exp({_CHOOSE('m', 'i')} + {_CHOOSE('n - m', 'k - i')} - ({_CHOOSE('n', 'k')})))), 0.0)) AS p FROM c)"
+    " SELECT l.layer, p_partkey AS node, coalesce(x, 0) AS x, coalesce(k, 0) AS k, round(coalesce(p, 1.0), 8) AS p FROM part CROSS JOIN (SELECT DISTINCT l_returnflag AS layer FROM lineitem) l LEFT JOIN t ON t.layer = l.layer AND t.node = p_partkey",
+)
 def gr10_tail(spark, d):
     """The tails of all parts in every layer; a part that a layer lacks has 0, 0, 1."""
     layers = tables.table(spark, d, "lineitem", F.col("l_returnflag").alias("layer")).distinct()
     every = tables.table(spark, d, "part", F.col("p_partkey").alias("node")).crossJoin(F.broadcast(layers))  # few layers
-    return topology.connectivity(gr10(spark, d), every)
+    return topology.connectivity(gr10(spark, d), every).withColumn("p", F.round("p", 8))
 
 
 @query("gr11_degree", WITH + "SELECT layer, node, k FROM deg")

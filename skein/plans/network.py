@@ -382,10 +382,23 @@ def rw16(spark, d):
     return evaluate.roc(_labelled(spark, d), ["grp"]).select("grp", "threshold", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
 
 
-@query("rw17_delong")
+def _placement_sql(score: str, k: int) -> str:
+    """The placement of each row among the other class by one score."""
+    rank = lambda by: f"rank() OVER (PARTITION BY {by} ORDER BY {score}) + (count(*) OVER (PARTITION BY {by}, {score}) - 1) / 2.0"
+    return f"({rank('grp')} - ({rank('grp, y')})) / nullif(CASE WHEN y = 1 THEN count(*) FILTER (y = 0) OVER (PARTITION BY grp) ELSE count(*) FILTER (y = 1) OVER (PARTITION BY grp) END, 0) AS share{k}"
+
+
+@query(
+    "rw17_delong",
+    LABELLED_SQL + f", s AS (SELECT grp, y, {_placement_sql('score', 1)}, {_placement_sql('other', 2)} FROM r), v AS (SELECT grp, y, CASE WHEN y = 1 THEN share1 ELSE 1 - share1 END AS v1, CASE WHEN y = 1 THEN share2 ELSE 1 - share2 END AS v2 FROM s),"
+    " p AS (SELECT grp, y, count(*) AS c, avg(v1) AS a1, avg(v2) AS a2, var_samp(v1) + var_samp(v2) - 2 * covar_samp(v1, v2) AS s FROM v GROUP BY ALL),"
+    " g AS (SELECT grp, max(a1) FILTER (y = 1) AS auc1, max(a2) FILTER (y = 1) AS auc2, sum(s / c) AS v FROM p GROUP BY ALL), z AS (SELECT *, CASE WHEN v > 0 THEN (auc1 - auc2) / sqrt(v) END AS z FROM g)"
+    f" SELECT grp, round(auc1, 6) AS auc1, round(auc2, 6) AS auc2, round(z, 5) AS z, CASE WHEN z IS NOT NULL THEN round(2 * ({stats.upper_tail_sql('abs(z)')}), 5) END AS p FROM z",
+)
 def rw17(spark, d):
-    """DeLong comparison of two scores' AUCs in every brand; held against numpy in the tests."""
-    return evaluate.delong(_labelled(spark, d), ["grp"], "score", "other")
+    """DeLong comparison of two scores' AUCs in every brand."""
+    found = evaluate.delong(_labelled(spark, d), ["grp"], "score", "other")
+    return found.select("grp", *(F.round(c, n).alias(c) for c, n in (("auc1", 6), ("auc2", 6), ("z", 5), ("p", 5))))
 
 
 @query("rw19_edge_subsample", WITH + "SELECT s.seed, e.layer, e.a, e.b FROM range(1, 4) s(seed), (SELECT *, 1 FROM edges) e QUALIFY row_number() OVER (PARTITION BY s.seed, e.layer ORDER BY md5(s.seed || '|' || e.layer || '|' || e.a || '|' || e.b), e.a, e.b) <= 100")
