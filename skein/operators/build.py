@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skein.functions.scratch import materialise
 
@@ -65,27 +67,86 @@ def multiplicity(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.count("*").alias("layers"))
 
 
-def cosine_pairs(vectors: DataFrame, block: int = 512) -> DataFrame:
-    """i, j, w: the positive cosine similarities of all ordered pairs of unlike nodes. vectors: node (long), embedding.
+#: Vectors of a block; each pair of blocks is one matrix product in a task.
+BLOCK = 512
 
-    Vectors are gathered to blocks of about ``block``; each pair of blocks is one matrix product in a task, so what moves is the vectors
-    once for each block they meet, and only pairs above zero leave the task.
+
+def _block_products(vectors: DataFrame, block: int, further: list[str], made, fields: str) -> DataFrame:
+    """What ``made(i, j, w, left, right)`` gives, as columns of ``fields``, for each pair of blocks: the nodes of both, their cosines, and the ``further`` columns of both.
+
+    vectors: node (long), embedding, ``further`` (double). What moves is the vectors once for each block they meet; blocks stay Arrow data.
     """
-    n = vectors.count()
-    count = max(1, -(-n // block))
-    blocks = materialise(vectors.groupBy(F.pmod(F.xxhash64("node"), F.lit(count)).alias("block")).agg(F.collect_list("node").alias("nodes"), F.collect_list(F.transform("embedding", lambda x: x.cast("double"))).alias("rows")), "blocks")
-    x, y = blocks.select(F.col("nodes").alias("i"), F.col("rows").alias("x")), blocks.select(F.col("nodes").alias("j"), F.col("rows").alias("y"))
+    count = max(1, -(-vectors.count() // block))
+    columns = ["node", *further]
+    held = [F.collect_list(c).alias(c) for c in columns] + [F.collect_list(F.transform("embedding", lambda x: x.cast("double"))).alias("rows")]
+    blocks = vectors.where("embedding is not null").groupBy(F.pmod(F.xxhash64("node"), F.lit(count)).alias("block")).agg(*held)
+    blocks = materialise(blocks, "blocks")
+    names = [*columns, "rows"]
+    x, y = (blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "xy")
+    kinds = to_arrow_schema(T.StructType.fromDDL(fields))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = lambda rows: (m := np.array(rows, float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        def of(batch: pa.RecordBatch, side: str, k: int) -> dict[str, np.ndarray]:
+            out = {c: batch.column(f"{side}_{c}")[k].values.to_numpy(zero_copy_only=False) for c in columns}
+            m = batch.column(f"{side}_rows")[k].values.flatten().to_numpy(zero_copy_only=False).reshape(len(out["node"]), -1)
+            return out | {"unit": m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)}
+
         for batch in batches:
-            for i, left, j, right in zip(*(batch.column(c).to_pylist() for c in ("i", "x", "j", "y")), strict=True):
-                w = unit(left) @ unit(right).T
-                a, b = np.nonzero((w > 0) & (np.array(i)[:, None] != np.array(j)[None, :]))
-                yield pa.RecordBatch.from_pydict({"i": np.array(i)[a], "j": np.array(j)[b], "w": w[a, b]})
+            for k in range(batch.num_rows):
+                left, right = of(batch, "x", k), of(batch, "y", k)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(made(left["node"], right["node"], left["unit"] @ right["unit"].T, left, right), kinds, strict=True)], names=kinds.names)
 
     spread = x.crossJoin(y).repartition(min(count * count, 4 * vectors.sparkSession.sparkContext.defaultParallelism))  # blocks, not vectors
-    return spread.mapInArrow(work, "i long, j long, w double")
+    return spread.mapInArrow(work, fields)
+
+
+def cosine_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """i, j, w: the positive cosine similarities of all ordered pairs of unlike nodes. vectors: node (long), embedding. Only pairs above zero leave a task."""
+
+    def made(i, j, w, left, right):
+        a, b = np.nonzero((w > 0) & (i[:, None] != j[None, :]))
+        return i[a], j[b], w[a, b]
+
+    return _block_products(vectors.select("node", "embedding"), block, [], made, "i long, j long, w double")
+
+
+def vector_backbone(vectors: DataFrame, alpha: float = 0.05, block: int = BLOCK, width: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(i, j, w), (bin, n): the pairs i < j above the weakest that are significant from both ends, and all pairs above the weakest by ``width`` of the similarity.
+
+    The same as ``backbone`` of ``disparity`` of ``drop_weakest`` of all pairs, without writing these: block products are made three times, for the least weight,
+    for each node's strength and number of neighbours, and for the pairs, so what leaves the tasks is a number, a row a node and block, and significant pairs.
+    """
+    vectors = materialise(vectors.select("node", "embedding"), "vectors")
+    apart = lambda i, j: i[:, None] != j[None, :]
+
+    def least(i, j, w, left, right):
+        some = w[(w > 0) & apart(i, j)]
+        return ([some.min()],) if len(some) else ([],)
+
+    low = _block_products(vectors, block, [], least, "w double").agg(F.ceil(F.min("w") * 100) / 100).first()[0]
+    floor = float("inf") if low is None else float(low)
+
+    def sums(i, j, w, left, right):
+        kept = (w > floor) & apart(i, j)
+        return j, (w * kept).sum(axis=0), kept.sum(axis=0)
+
+    strength = _block_products(vectors, block, [], sums, "node long, s double, k long").groupBy("node").agg(F.sum("s").alias("s"), F.sum("k").cast("double").alias("k"))
+    full = vectors.join(materialise(strength, "strengths"), "node")
+
+    def pairs(i, j, w, left, right):
+        kept = (w > floor) & (i[:, None] < j[None, :])
+        a, b = np.nonzero(kept)
+        v = w[a, b]
+        p, q = (1 - v / right["s"][b]) ** (right["k"][b] - 1), (1 - v / left["s"][a]) ** (left["k"][a] - 1)
+        both = (p < alpha) & (q < alpha)
+        return i[a][both], j[b][both], v[both]
+
+    def bins(i, j, w, left, right):
+        at, n = np.unique(np.floor(w[(w > floor) & (i[:, None] < j[None, :])] / width).astype(np.int64), return_counts=True)
+        return at, n
+
+    counts = _block_products(vectors, block, [], bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return materialise(_block_products(full, block, ["s", "k"], pairs, "i long, j long, w double"), "backbone"), counts
 
 
 def drop_weakest(weights: DataFrame, times: int = 1) -> DataFrame:

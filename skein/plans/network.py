@@ -24,9 +24,13 @@ bb AS (SELECT i, j, w, pow(1 - w / sum(w) OVER (PARTITION BY j), count(*) OVER (
 """
 
 
+def _vectors(spark, d):
+    return tables.table(spark, d, "embeddings", F.col("vec_id").alias("node"), "embedding")
+
+
 def _similarities(spark, d):
     """i, j, w: positive cosine similarities of all pairs of vectors."""
-    return build.cosine_pairs(tables.table(spark, d, "embeddings", F.col("vec_id").alias("node"), "embedding"))
+    return build.cosine_pairs(_vectors(spark, d))
 
 
 @query("gr22_drop_weakest", SIM_SQL + "SELECT i, j, round(w, 6) AS w FROM cut")
@@ -46,7 +50,8 @@ def gr23(spark, d):
 
 @query("gr24_backbone", SIM_SQL + "SELECT x.i, x.j, round(x.w, 6) AS w FROM bb x JOIN bb y ON x.i = y.j AND x.j = y.i WHERE x.i < x.j AND x.p < 0.05 AND y.p < 0.05")
 def gr24(spark, d):
-    return build.backbone(_backbone(spark, d)).select("i", "j", F.round("w", 6).alias("w"))
+    """The pairs that are significant from both ends; no others leave the block products."""
+    return build.vector_backbone(_vectors(spark, d))[0].select("i", "j", F.round("w", 6).alias("w"))
 
 
 @query(
@@ -55,11 +60,9 @@ def gr24(spark, d):
 )
 def gr25(spark, d):
     """Pairs by twentieths of the similarity, before and after the backbone."""
-    scored = materialise(_backbone(spark, d), "scored")
-    back = scored.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("p").alias("q"))
-    keep = (F.col("p") < 0.05) & (F.col("q") < 0.05)
-    found = scored.join(back, ["i", "j"]).groupBy(F.floor(F.col("w") * 20).alias("bin"))
-    return found.agg(F.floor(F.count("*") / 2).alias("before"), F.floor(F.count_if(keep) / 2).alias("after"))
+    kept, before = build.vector_backbone(_vectors(spark, d))
+    after = kept.groupBy(F.floor(F.col("w") * 20).alias("bin")).agg(F.count("*").alias("after"))
+    return before.withColumnRenamed("n", "before").join(after, "bin", "left").fillna(0, ["after"]).select("bin", "before", "after")
 
 
 #: Steps that the SQL of distances goes; the engine goes on until nothing changes, which is before that at the checked scales, as a test says.

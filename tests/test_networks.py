@@ -187,6 +187,19 @@ def test_all_pairs_of_vectors(spark):
     assert got == {(i, j): pytest.approx(w[i, j]) for i in range(50) for j in range(50) if i != j and w[i, j] > 0}
 
 
+def test_backbone_without_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(60, 6)) + 0.5 * rng.normal(size=(1, 6))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "node long, embedding array<double>")
+    plain = build.backbone(build.disparity(build.drop_weakest(build.cosine_pairs(vectors).cache())), 0.2).collect()
+    kept, counts = build.vector_backbone(vectors, 0.2, block=13)
+    assert {(r.i, r.j): r.w for r in kept.collect()} == {(r.i, r.j): pytest.approx(r.w) for r in plain} and plain
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    w = (unit @ unit.T)[np.triu_indices(60, 1)]
+    floor = np.ceil(w[w > 0].min() * 100) / 100
+    assert {r.bin: r.n for r in counts.collect()} == Counter(np.floor(w[w > floor] / 0.05).astype(int).tolist())
+
+
 def test_principal_plane_equals_numpy(spark):
     rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
     m = np.array([rows[k] for k in sorted(rows)])
