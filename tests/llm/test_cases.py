@@ -122,7 +122,7 @@ def classes_by_hand(pages):
 def test_classes_equal_whole_vectors(spark):
     rng = random.Random(3)
     pages = [f"<body><nav><ul>{'<li><a href=1>x</a>' * rng.randrange(1, 5)}</ul></nav><article><h1>T{k}</h1>{'<p>a<b>b</b>' * rng.randrange(4)}<i>{k}</i></article></body>" for k in range(9)]
-    rows = spark.createDataFrame([(k, "h", p) for k, p in enumerate(pages)], "key long, host string, html string").withColumn("key", F.xxhash64("key").bitwiseAND(F.lit((1 << 62) - 1)))
+    rows = spark.createDataFrame([(k, "h", p) for k, p in enumerate(pages)], "key long, host string, html string").withColumns({"key": F.xxhash64("key").bitwiseAND(F.lit((1 << 62) - 1)), "copied": F.col("key") < 3})
     got = {}
     for r in html.template_tokens(rows, min_share=0.0).where("not is_text and token <> 1").collect():
         got.setdefault(r["class"], set()).add(r.token)
@@ -164,7 +164,7 @@ def test_broken_pages_are_read_in_linear_time():
 
 
 def test_copies_by_hand(spark):
-    """Copies of every source: whole parts, then every so many-th by size, then the smallest for what is left; recomputed from the rules."""
+    """Copies of every source: whole parts, then every so many-th by size, then the largest that fit into what is left, and one beyond it if that is nearer; recomputed from the rules."""
     rng = random.Random(5)
     rows = [(k if k % 7 else None, " ".join(["w"] * rng.choice((1, 2, 3, 5, 8, 40, 200))), "en", "big" if k % 3 else f"s{k % 2}", 0) for k in range(400)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -178,12 +178,15 @@ def test_copies_by_hand(spark):
         sizes = sorted((r.words for r in of), reverse=True)
         more = [math.floor((i + 1) * part + 0.5) - math.floor(i * part + 0.5) for i in range(len(sizes))]
         gap = math.floor(target + 0.5 - sum(w * (whole + m) for w, m in zip(sizes, more)))
-        for w in sorted(set(sizes)):
-            able = [i for i, x in enumerate(sizes) if x == w and more[i] == (gap < 0)]
-            turned = min(len(able), abs(gap) // w) if part else 0
-            for i in able[:turned]:
+        left, able = abs(gap), {w: [i for i, x in enumerate(sizes) if x == w and more[i] == (gap < 0)] if part else [] for w in set(sizes)}
+        for w in sorted(set(sizes), reverse=True):
+            turned, able[w] = able[w][: left // w], able[w][left // w :]
+            for i in turned:
                 more[i] = 1 - more[i]
-            gap -= (1 if gap > 0 else -1) * w * turned
+            left -= w * len(turned)
+        least = min((w for w, of_size in able.items() if of_size), default=math.inf)
+        if left < least < 2 * left:
+            more[able[least][0]] = 1 - more[able[least][0]]
         want = Counter((w, whole + m) for w, m in zip(sizes, more))
         assert Counter((r.words, r.copies) for r in of) == want
         assert abs(sum(r.words * r.copies for r in of) - target) <= 3
