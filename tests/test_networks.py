@@ -200,6 +200,17 @@ def test_backbone_without_all_pairs(spark):
     assert {r.bin: r.n for r in counts.collect()} == Counter(np.floor(w[w > floor] / 0.05).astype(int).tolist())
 
 
+def test_block_products_deal_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(70, 6))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "node long, embedding array<double>")
+    plan = build.cosine_pairs(vectors, block=9)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "RoundRobinPartitioning" not in plan.split("== Physical Plan ==")[1]
+    want = {(r.i, r.j): (r.w, r.p) for r in build.disparity(build.drop_weakest(build.cosine_pairs(vectors).cache())).collect()}
+    assert {(r.i, r.j): r.w for r in build.strong_pairs(vectors, block=9).collect()} == {k: pytest.approx(w) for k, (w, _) in want.items()} and want
+    assert {(r.i, r.j): r.p for r in build.vector_disparity(vectors, block=9).collect()} == {k: pytest.approx(p) for k, (_, p) in want.items()}
+
+
 def test_principal_plane_equals_numpy(spark):
     rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
     m = np.array([rows[k] for k in sorted(rows)])
