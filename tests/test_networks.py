@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import __main__ as cli
+from skein.functions import draws
 from skein.functions.scratch import cached
 from skein.operators import build, components, paths, propagate, search, topology
 from skein.plans import network, registry
@@ -200,6 +201,31 @@ def test_backbone_without_all_pairs(spark):
     assert {r.bin: r.n for r in counts.collect()} == Counter(np.floor(w[w > floor] / 0.05).astype(int).tolist())
 
 
+def test_contracted_components_equal_labels(spark):
+    rng = random.Random(5)
+    pairs = [("chain", k, k + 1) for k in range(40)] + [("star", 0, k) for k in range(1, 30)] + [("loop", 7, 7)] + [("r%d" % (k % 3), rng.randrange(60), rng.randrange(60)) for k in range(110)]
+    links = spark.createDataFrame(pairs, "run string, a long, b long")
+    nodes = links.select("run", links.a.alias("node")).union(links.select("run", "b")).distinct()
+    by_label = components.labels(nodes, links).groupBy("run", "label").count().groupBy("run").agg({"count": "max"}).collect()
+    assert {(r.run, r.lcc) for r in components.largest(nodes, links).collect()} == {tuple(r) for r in by_label}
+    assert components.linked_largest(links.where("run = 'loop'")).collect() == []
+
+
+def test_random_sets_meet_the_edges_once_a_trial(spark, graph):
+    _, edges = graph
+    nodes = build.graph_nodes(edges, by=("layer",))
+    wanted = nodes.groupBy("layer").count().selectExpr("layer", "explode(sequence(2L, count)) as n")
+    drawn = draws.drawn_ranks(nodes, wanted, 2, "t").cache()
+    held = {}
+    for r in draws.drawn_sets(nodes, wanted, 2, "t").collect():
+        held.setdefault((r.layer, r.n, r.trial), set()).add(r.node)
+    links = [tuple(r) for r in edges.select("layer", "a", "b").collect()]
+    want = Counter((*k, a, b) for k, v in held.items() for layer, a, b in links if layer == k[0] and a in v and b in v)
+    assert Counter(tuple(r) for r in components.drawn_links(edges, drawn, wanted).collect()) == want and want
+    sizes = wanted.groupBy("layer").agg({"n": "max"}).collect()
+    assert drawn.count() == 2 * sum(r[1] for r in sizes)  # a row a node and trial, whatever the sizes
+
+
 def test_block_products_deal_no_pairs(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(70, 6))
