@@ -432,10 +432,10 @@ def _supplied(spark, d):
     return materialise(T(spark, d, "lineitem", "l_partkey", F.col("l_suppkey").alias("node")).join(part, "l_partkey").select("name", "node").distinct(), "supplied")
 
 
-@query("ot14_first_mapping", "SELECT l_orderkey, min_by(l_partkey, l_linenumber) AS mapped FROM lineitem GROUP BY ALL")
+@query("ot14_first_mapping", "SELECT l_orderkey, l_partkey AS mapped FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS LAST, l_partkey NULLS LAST) = 1")
 def ot14(spark, d):
-    """First match of an id mapping with several matches."""
-    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    """First match of an id mapping with several matches: the least line number, of lines with the same one the least part; nulls come last."""
+    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.col("l_linenumber").asc_nulls_last(), F.col("l_partkey").asc_nulls_last()))
     return T(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").withColumn("r", first).where("r = 1").select("l_orderkey", F.col("l_partkey").alias("mapped"))
 
 

@@ -48,3 +48,13 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_first_mapping_leaves_no_ties_to_chance(spark, tmp_path):
+    lines = [(1, 9, 1), (1, 3, 1), (1, 1, 2), (2, 5, None), (2, 8, 4), (3, 7, 2), (3, 6, 2)]
+    for k, order in enumerate((lines, lines[::-1])):
+        at = tmp_path / str(k)
+        spark.createDataFrame(order, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(str(at / "lineitem.parquet"))
+        got = {tuple(r) for r in registry.QUERIES["ot14_first_mapping"](spark, str(at)).collect()}
+        sql = registry.ORACLES["ot14_first_mapping"].replace("FROM lineitem", f"FROM read_parquet('{at}/lineitem.parquet/*.parquet')")
+        assert got == set(duckdb.sql(sql).fetchall()) == {(1, 3), (2, 8), (3, 6)}
