@@ -1,6 +1,7 @@
 """Bit-parallel search, distances of pairs and sets, and numbering and bottom-k draws, against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -104,3 +105,11 @@ def test_smallest_and_numbers(spark, monkeypatch):
     assert len(draws.smallest(rows, ["g"], "key", ["id"], 5000).collect()) == 3000
     numbers = draws.numbered_within(rows, ["g"], "id").collect()
     assert all(sorted(r.position for r in numbers if r.g == g) == list(range(1000)) for g in range(3))
+
+
+def test_smallest_deals_by_bin_not_by_group(spark):
+    rows = spark.range(4000).selectExpr("'g' as g", "id", "md5(cast(id as string)) as key")
+    found = draws.smallest(rows, ["g"], "key", ["id"], 1500)
+    assert not re.search(r"hashpartitioning\(g#\d+, \d+\)", found._jdf.queryExecution().executedPlan().toString())
+    order = sorted((r.key, r.id) for r in rows.collect())[:1500]
+    assert sorted((r.r, r.id) for r in found.collect()) == [(k, i) for k, (_, i) in enumerate(order, 1)]
