@@ -2,9 +2,11 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 import __spark_entry__ as entry_point
 from skein.plans import registry
@@ -58,3 +60,11 @@ def test_first_mapping_leaves_no_ties_to_chance(spark, tmp_path):
         got = {tuple(r) for r in registry.QUERIES["ot14_first_mapping"](spark, str(at)).collect()}
         sql = registry.ORACLES["ot14_first_mapping"].replace("FROM lineitem", f"FROM read_parquet('{at}/lineitem.parquet/*.parquet')")
         assert got == set(duckdb.sql(sql).fetchall()) == {(1, 3), (2, 8), (3, 6)}
+
+
+def test_pairs_of_one_group_come_from_many_tasks(spark, tmp_path):
+    spark.range(200).selectExpr("id as c_custkey", "1 as c_nationkey", "'m' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(300).selectExpr("id % 100 as o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    found = registry.QUERIES["j05_stats_of_both"](spark, str(tmp_path)).withColumn("task", spark_partition_id()).collect()
+    assert {(r.x, r.y): (r.nx, r.ny) for r in found} == {(x, y): (3 if x < 100 else None, 3 if y < 100 else None) for y in range(200) for x in range(y)}
+    assert max(Counter(r.task for r in found).values()) < len(found) / 2
