@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.functions import draws
+from skein.functions import draws, stats
 from skein.operators import build, paths, search
 from test_networks import steps_from
 
@@ -113,3 +113,12 @@ def test_smallest_deals_by_bin_not_by_group(spark):
     assert not re.search(r"hashpartitioning\(g#\d+, \d+\)", found._jdf.queryExecution().executedPlan().toString())
     order = sorted((r.key, r.id) for r in rows.collect())[:1500]
     assert sorted((r.r, r.id) for r in found.collect()) == [(k, i) for k, (_, i) in enumerate(order, 1)]
+
+
+def test_average_ranks_of_large_groups(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id % 5 = 0, 'a', 'b') as g", "case when id % 3 = 0 then 0.0 else round(rand(4), 2) end as v").cache()
+    for descending in (False, True):
+        want = {r.id: r.k for r in rows.withColumn("k", stats.rank_average("v", ["g"], descending)).collect()}
+        found = draws.average_ranks(rows, ["g"], "v", "k", descending)
+        assert {r.id: r.k for r in found.collect()} == want
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()  # rows meet no window of their whole group
