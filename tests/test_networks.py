@@ -237,6 +237,23 @@ def test_block_products_deal_no_pairs(spark):
     assert {(r.i, r.j): r.p for r in build.vector_disparity(vectors, block=9).collect()} == {k: pytest.approx(p) for k, (_, p) in want.items()}
 
 
+def test_backbone_is_not_written_and_vectors_keep_their_numbers(spark, monkeypatch):
+    written = {}
+
+    def put(df, name, write=build.materialise):
+        written[name] = df.schema
+        return write(df, name)
+
+    monkeypatch.setattr(build, "materialise", put)
+    m = np.random.default_rng(5).normal(size=(700, 3)).astype(np.float32)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "node long, embedding array<float>")
+    kept, _ = build.vector_backbone(vectors, 0.2, block=4)
+    assert kept.count() and "backbone" not in written
+    assert written["blocks"]["rows"].dataType.simpleString() == "array<array<float>>"
+    # 175 blocks: each part of one side meets each of the other, so the number of tasks says how often a side is read
+    assert kept.rdd.getNumPartitions() <= 7**2
+
+
 def test_principal_plane_equals_numpy(spark):
     rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
     m = np.array([rows[k] for k in sorted(rows)])
