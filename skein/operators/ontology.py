@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.draws import numbered_within
 from skein.functions.scratch import materialise
 
 
@@ -43,21 +44,56 @@ def information_content(isa: DataFrame, genes: DataFrame) -> DataFrame:
     return rolled.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("term", (-F.log(F.col("n") / F.col("total"))).alias("ic"))
 
 
+def _pairs_with_graphs(edge: DataFrame, genes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with x_own, x_above, x_parents of a and y_own, y_above, y_parents of b: a gene's small graph as three arrays of numbers. edge: child, parent, id; genes: term, gene; pairs: a, b.
+
+    own holds the edges above the gene's own terms, above the edges above their ancestors, parents each parent once, by the least id of its edges. A gene's arrays are
+    made once; a pair moves those of one end, and no row for each of its nodes.
+    """
+    own = genes.select("gene", "term").distinct()
+    above = own.join(closure(edge), F.col("term") == F.col("descendant")).select("gene", F.col("ancestor").alias("node"))
+    nodes = own.select("gene", F.col("term").alias("node"), F.lit(True).alias("own")).unionByName(above.withColumn("own", F.lit(False)))
+    nodes = nodes.groupBy("gene", "node").agg(F.max("own").alias("own"))
+    numbered = edge.join(edge.groupBy("parent").agg(F.min("id").alias("up")), "parent").select(F.col("child").alias("node"), "id", "up")
+    held = nodes.join(numbered, "node").groupBy("gene").agg(
+        F.array_sort(F.collect_list(F.when(F.col("own"), F.col("id")))).alias("own"), F.array_sort(F.collect_list(F.when(~F.col("own"), F.col("id")))).alias("above"), F.array_sort(F.collect_set("up")).alias("parents")
+    )
+    held = materialise(held, "gene-graphs")
+    none = F.array().cast("array<int>")
+    for end, side in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(held.select(F.col("gene").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in ("own", "above", "parents"))), end, "left")
+    return pairs.select("a", "b", *(F.coalesce(f"{side}_{c}", none).alias(f"{side}_{c}") for side in "xy" for c in ("own", "above", "parents")))
+
+
+def _numbered_edges(isa: DataFrame) -> DataFrame:
+    edge = numbered_within(isa.select("child", "parent").distinct().withColumn("all", F.lit(1)), ["all"], "child", "id")
+    return materialise(edge.select("child", "parent", F.col("id").cast("int").alias("id")), "isa-edges")
+
+
 def pair_subgraphs(isa: DataFrame, genes: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, child, parent, label: for every pair of genes the relation among their terms and all ancestors of these. isa: child, parent; genes: term, gene; pairs: a, b.
 
     label says whose own term the child is: both, first, second, or none, which is an ancestor only. A gene's ancestors are found once, whatever its pairs;
     a pair's rows are the edges of its own small graph.
     """
-    edge = materialise(isa.select("child", "parent").distinct(), "isa-edges")
-    own = genes.select("gene", "term").distinct()
-    above = own.join(closure(edge), F.col("term") == F.col("descendant")).select("gene", F.col("ancestor").alias("node"))
-    nodes = own.select("gene", F.col("term").alias("node"), F.lit(True).alias("own")).unionByName(above.withColumn("own", F.lit(False)))
-    nodes = materialise(nodes.groupBy("gene", "node").agg(F.max("own").alias("own")), "gene-nodes")
-    of = lambda end, first: pairs.join(nodes.withColumnRenamed("gene", end), end).select("a", "b", "node", (F.col("own") & F.lit(first)).alias("first"), (F.col("own") & F.lit(not first)).alias("second"))
-    held = of("a", True).unionByName(of("b", False)).groupBy("a", "b", "node").agg(F.max("first").alias("first"), F.max("second").alias("second"))
-    label = F.when(F.col("first") & F.col("second"), "both").when(F.col("first"), "first").when(F.col("second"), "second").otherwise("none")
-    return held.join(edge, F.col("node") == F.col("child")).select("a", "b", "child", "parent", label.alias("label"))
+    edge = _numbered_edges(isa)
+    held = _pairs_with_graphs(edge, genes, pairs)
+    every = held.withColumn("id", F.explode(F.array_distinct(F.concat("x_own", "x_above", "y_own", "y_above"))))
+    first, second = (F.array_contains(f"{side}_own", F.col("id")) for side in "xy")
+    label = F.when(first & second, "both").when(first, "first").when(second, "second").otherwise("none")
+    return every.select("a", "b", "id", label.alias("label")).join(edge, "id").select("a", "b", "child", "parent", "label")
+
+
+def pair_subgraph_counts(isa: DataFrame, genes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, n, both_n, first_n, second_n, parents: how many edges ``pair_subgraphs`` has, by label, and how many distinct parents, without making its rows."""
+    held = _pairs_with_graphs(_numbered_edges(isa), genes, pairs)
+    size = lambda c: F.size(c).cast("long")
+    shared = lambda one, two: size(F.array_intersect(f"x_{one}", f"y_{two}"))
+    held = held.withColumn("both_n", shared("own", "own"))
+    common = F.col("both_n") + shared("own", "above") + shared("above", "own") + shared("above", "above")
+    total = size("x_own") + size("x_above") + size("y_own") + size("y_above")
+    counts = (total - common).alias("n"), F.col("both_n"), (size("x_own") - F.col("both_n")).alias("first_n"), (size("y_own") - F.col("both_n")).alias("second_n")
+    return held.select("a", "b", *counts, (size("x_parents") + size("y_parents") - shared("parents", "parents")).alias("parents")).where("n > 0")
 
 
 def set_overlaps(members: DataFrame) -> DataFrame:

@@ -100,12 +100,12 @@ def ot07(spark, d):
 )
 def ot10(spark, d):
     """Terms that both ends of an edge share, and that one has alone, along the edges of all layers."""
-    m = materialise(T(spark, d, "lineitem", F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("g")).distinct(), "terms")
-    n = m.groupBy("g").agg(F.count("*").alias("n"))
-    e = materialise(tables.edges(spark, d).select("a", "b").distinct(), "pairs")
-    x, y = m.select(F.col("g").alias("a"), "s"), m.select(F.col("g").alias("b"), "s")
-    shared = e.join(x, "a").join(y, ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("i"))
-    full = e.join(n.select(F.col("g").alias("a"), F.col("n").alias("p")), "a").join(n.select(F.col("g").alias("b"), F.col("n").alias("q")), "b").join(shared, ["a", "b"], "left").fillna(0, ["i"])
+    m = T(spark, d, "lineitem", F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("g")).distinct()
+    lists = materialise(m.groupBy("g").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s")).alias("terms")), "term-lists")
+    full = materialise(tables.pairs(spark, d), "pairs")
+    for end, n, terms in (("a", "p", "x"), ("b", "q", "y")):  # a pair moves the list of one end, and no row a term
+        full = full.join(lists.select(F.col("g").alias(end), F.col("n").alias(n), F.col("terms").alias(terms)), end)
+    full = full.withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
     fraction = F.round(F.col("i") / (F.col("p") + F.col("q") - F.col("i")), 9).alias("fraction")
     return full.select("a", "b", F.col("i").alias("shared"), (F.col("p") - F.col("i")).alias("only1"), (F.col("q") - F.col("i")).alias("only2"), fraction)
 

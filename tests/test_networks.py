@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein import __main__ as cli
 from skein.functions import draws
 from skein.functions.scratch import cached
-from skein.operators import build, components, paths, propagate, search, topology
+from skein.operators import build, components, ontology, paths, propagate, search, topology
 from skein.plans import network, registry
 from skein.sources import files
 
@@ -226,6 +226,27 @@ def test_random_sets_meet_the_edges_once_a_trial(spark, graph):
     assert drawn.count() == 2 * sum(r[1] for r in sizes)  # a row a node and trial, whatever the sizes
 
 
+def test_pairs_of_genes_move_lists_and_no_terms(spark):
+    isa = spark.createDataFrame([("s1", "n1"), ("s2", "n1"), ("s3", "n2"), ("s3", "n1"), ("n1", "r"), ("n2", "r"), ("n1", "q")], "child string, parent string")
+    genes = spark.createDataFrame([("s1", 1), ("s2", 1), ("s2", 2), ("n1", 2), ("s3", 3), ("r", 4)], "term string, gene long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (4, 5), (5, 6)], "a long, b long")
+    above = {"s1": {"n1", "r", "q"}, "s2": {"n1", "r", "q"}, "s3": {"n1", "n2", "r", "q"}, "n1": {"r", "q"}, "r": set()}
+    own = {1: {"s1", "s2"}, 2: {"s2", "n1"}, 3: {"s3"}, 4: {"r"}}
+    want = {}
+    for a, b in ((1, 2), (1, 3), (2, 3), (1, 4), (4, 5), (5, 6)):
+        x, y = own.get(a, set()), own.get(b, set())
+        nodes = set().union(x, y, *(above[t] for t in x | y))
+        for c, p in {(r.child, r.parent) for r in isa.collect() if r.child in nodes}:
+            want[a, b, c, p] = "both" if c in x & y else "first" if c in x else "second" if c in y else "none"
+    assert {(r.a, r.b, r.child, r.parent): r.label for r in ontology.pair_subgraphs(isa, genes, pairs).collect()} == want
+    found = ontology.pair_subgraph_counts(isa, genes, pairs)
+    got = {(r.a, r.b): (r.n, r.both_n, r.first_n, r.second_n, r.parents) for r in found.collect()}
+    of = lambda a, b: {k: v for k, v in want.items() if k[:2] == (a, b)}
+    assert got == {p: (len(of(*p)), *(list(of(*p).values()).count(k) for k in ("both", "first", "second")), len({k[3] for k in of(*p)})) for p in {k[:2] for k in want}}
+    for plan in (found, registry.QUERIES["ot10_pair_overlap"](spark, DATA)):  # nothing after the pairs makes a row for each term
+        assert not any(x in plan._jdf.queryExecution().optimizedPlan().toString() for x in ("Generate", "Aggregate"))
+
+
 def test_block_products_deal_no_pairs(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(70, 6))
