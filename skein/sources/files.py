@@ -21,9 +21,12 @@ def read_edge_lists(spark: SparkSession, path: str, delim: str = "\t", header: b
     Lines that start with # are comments; rows without both ends are dropped; fields are trimmed.
     """
     read = spark.read.csv(path, schema="A string, B string", sep=delim, header=header, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, recursiveFileLookup=True)
-    named = F.regexp_extract(F.input_file_name(), r"(?:layer=([^/]+)/[^/]+|([^/]+?)(?:\.tsv|\.csv|\.txt)?)$", 1)
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.tsv|\.csv|\.txt)?$", 1)
-    return read.where("A is not null and B is not null").select(F.when(named != "", named).otherwise(stem).alias("layer"), F.col("A").alias("a"), F.col("B").alias("b"))
+    file = F.substring_index(F.input_file_name(), "/", -1)
+    folder = F.substring_index(F.substring_index(F.input_file_name(), "/", -2), "/", 1)
+    named = F.when(F.instr(folder, "layer=") > 0, F.expr("substring(folder, instr(folder, 'layer=') + 6)"))
+    stem = F.regexp_extract("file", r"^(.+?)(?:\.tsv|\.csv|\.txt)?$", 1)  # from the start of the name: it is done for each row
+    ends = read.where("A is not null and B is not null").select(file.alias("file"), folder.alias("folder"), F.col("A").alias("a"), F.col("B").alias("b"))
+    return ends.select(F.coalesce(F.nullif(named, F.lit("")), stem).alias("layer"), "a", "b")
 
 
 def write_edge_lists(edges: DataFrame, path: str) -> None:
