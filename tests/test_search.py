@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import draws, stats
-from skein.operators import build, paths, search
+from skein.operators import build, parts, paths, search
 from test_networks import steps_from
 
 
@@ -122,3 +122,16 @@ def test_average_ranks_of_large_groups(spark):
         found = draws.average_ranks(rows, ["g"], "v", "k", descending)
         assert {r.id: r.k for r in found.collect()} == want
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()  # rows meet no window of their whole group
+
+
+def test_index_of_parts_equals_that_of_joins(spark, graph, monkeypatch):
+    edges, nodes, members, inside, far, _ = graph
+    pairs = spark.createDataFrame([(k, a, b) for k, a in list(far)[::5] for b in range(0, 212, 3)], "layer string, a long, b long")
+    found = []
+    for most in (1000, 20):  # all in parts, the small component alone
+        monkeypatch.setattr(parts, "MOST_LINKS", most)
+        index = search.distance_index(edges)
+        assert (index.levels is None, index.parts.some) == (most == 1000, True)
+        found.append([sorted(map(tuple, x.collect()), key=repr) for x in (search.pair_distances(index, pairs), search.level_counts(index), search.within_levels(index, inside))])
+        found[-1].append({(r.layer, r.name1, r.name2): tuple(round(v, 9) for v in r if isinstance(v, float)) for r in search.between_significance(index, nodes, members, trials=2).collect()})
+    assert found[0] == found[1] and all(found[0])
