@@ -135,3 +135,14 @@ def test_index_of_parts_equals_that_of_joins(spark, graph, monkeypatch):
         found.append([sorted(map(tuple, x.collect()), key=repr) for x in (search.pair_distances(index, pairs), search.level_counts(index), search.within_levels(index, inside))])
         found[-1].append({(r.layer, r.name1, r.name2): tuple(round(v, 9) for v in r if isinstance(v, float)) for r in search.between_significance(index, nodes, members, trials=2).collect()})
     assert found[0] == found[1] and all(found[0])
+
+
+def test_closest_in_parts_equals_that_of_joins(spark, graph, monkeypatch):
+    edges, _, _, inside, _, _ = graph
+    near, to_sets = (x.cache() for x in search.closest(edges, inside))
+    found = search.set_distances(edges, inside)  # all in parts
+    own = {(r.name1, r.layer): r.steps / r.n for r in found.where("name1 = name2").collect()}
+    assert own == {(r.name, r.layer): r["avg(near)"] for r in near.groupBy("name", "layer").avg("near").collect()}
+    assert {tuple(r)[:3]: round(r.closest, 9) for r in paths.between_sets(found).collect()} == {tuple(r)[:3]: round(r.closest, 9) for r in paths.between(to_sets, inside).collect()}
+    monkeypatch.setattr(parts, "MOST_LINKS", 20)  # the chain is a part, the rest goes by joins
+    assert sorted(map(tuple, search.member_distances(edges, inside).collect())) == sorted(map(tuple, near.collect()))
