@@ -236,3 +236,13 @@ def test_tree_of_nothing(spark):
     assert suffixtree.score(empty, tree, vocabulary).collect() == []
     rows = suffixtree.score(spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string"), tree, vocabulary).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows} == {(1, 3, 0, 0.0, 0.0), (2, 1, 0, 0.0, 0.0)}
+
+
+def test_long_words_are_symbols_of_contexts(spark):
+    def scores(word):
+        texts = [f"one {word} two three", f"four {word} two five", f"{word} two one", "two five four one", "one three"] * 40
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+        tree, vocabulary = suffixtree.fit(docs)
+        return {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in suffixtree.score(docs, tree, vocabulary).collect()}
+
+    assert scores("x" * 200) == scores("x" * 64) == scores("é" * 50)
