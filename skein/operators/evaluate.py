@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.scratch import materialise
 from skein.functions.stats import fold_number, rank_average, shuffled, upper_tail
 
 
@@ -24,16 +29,47 @@ def auc(scored: DataFrame, by: list[str], score: str = "score", label: str = "la
     return ranked.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos > 0) & (neg > 0), u / (pos * neg)).alias("auc"))
 
 
-def auc_of_found(scored: DataFrame, totals: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """As ``auc``, where rows without a score above zero aren't listed but counted: they tie behind all others.
+#: Lists that scores of one run and bin are dealt to where they come as rows.
+LISTS = 64
+
+
+def score_bin(score: np.ndarray) -> np.ndarray:
+    """Bins of whole numbers above zero: an eighth of what lies between two powers of two, rising with the number."""
+    part, exponent = np.frexp(score.astype(np.float64))
+    return exponent * 8 + np.floor((part - 0.5) * 16).astype(np.int64)
+
+
+def score_bin_column(score: Column) -> Column:
+    """The same of a column."""
+    exponent = F.length(F.bin(score))
+    return (exponent * 8 + F.floor((score / F.pow(F.lit(2.0), exponent) - 0.5) * 16)).cast("int")
 
-    scored: ``by``, score > 0, label; totals: ``by``, n_pos, n_neg of all rows, listed or not. Scores are ranked by the counts of their distinct values.
+
+def auc_of_lists(lists: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """As ``auc``, from lists of whole scores above zero; all other rows are counted, they tie behind.
+
+    lists: ``by``, bin (``score_bin`` of the scores), pos, neg; totals: ``by``, n_pos, n_neg of all rows, listed or not. Within a bin negatives are
+    counts of their distinct scores, between bins sums say how many lie below.
     """
-    y = F.coalesce(F.col(label).cast("int"), F.lit(0))
-    at = scored.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(y).alias("_p"), F.sum(1 - y).alias("_q"))
-    above = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_q").over(above), F.lit(0))  # listed negatives with less
-    per = at.withColumn("_won", F.col("_p") * (below + F.col("_q") / 2.0)).groupBy(*by).agg(F.sum("_won").alias("_won"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    grouped = [*by, "bin"]
+
+    def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = {c: (np.empty(0, np.int64), np.empty(0, np.int64)) for c in ("pos", "neg")}
+        for batch in batches:
+            for c, (held, n) in sides.items():
+                fresh = batch.column(c).flatten().to_numpy(zero_copy_only=False)
+                values, at = np.unique(np.concatenate([held, fresh]), return_inverse=True)
+                sides[c] = values, np.bincount(at, np.concatenate([n, np.ones(len(fresh), np.int64)]), len(values)).astype(np.int64)
+        (pos, p), (neg, q) = sides["pos"], sides["neg"]
+        below = np.concatenate([[0], np.cumsum(q)])
+        won = int((p * (below[np.searchsorted(neg, pos)] + below[np.searchsorted(neg, pos, "right")])).sum())  # a tie counts one, a win two
+        out = {c: pa.array([k.as_py()], k.type) for c, k in zip(grouped, key, strict=True)} | {"_won": [won], "_p": [int(p.sum())], "_q": [int(q.sum())]}
+        yield pa.RecordBatch.from_pydict(out)
+
+    fields = ", ".join(f"{c} {lists.schema[c].dataType.simpleString()}" for c in grouped)
+    at = materialise(lists.groupBy(*grouped).applyInArrow(work, fields + ", _won long, _p long, _q long"), "won")
+    lower = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a bin
+    per = at.withColumn("_won", F.col("_won") / 2.0 + F.col("_p") * lower).groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("_won", "_p", "_q")))
     joined = totals.join(per, by, "left").na.fill(0, ["_won", "_p", "_q"])
     zero = F.col("n_neg") - F.col("_q")  # negatives that aren't listed
     u = F.col("_won") + F.col("_p") * zero + (F.col("n_pos") - F.col("_p")) * zero / 2.0
