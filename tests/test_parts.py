@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import build, evaluate, parts, propagate
+from skein.operators import build, evaluate, parts, propagate, topology
 from skein.sources import files
 
 
@@ -58,3 +58,11 @@ def test_auc_of_lists_equals_auc_of_rows(spark):
     totals = frame.groupBy("run").agg(F.sum("label").alias("n_pos"), F.sum(1 - F.col("label")).alias("n_neg"))
     got = evaluate.auc_of_lists(lists, totals, ["run"]).collect()[0]
     assert (got.n_pos, got.n_neg, got.auc) == (want.n_pos, want.n_neg, pytest.approx(want.auc))
+
+
+def test_triangles_are_counted_without_their_nodes(spark):
+    rows = [("x", 1, 2), ("x", 2, 3), ("x", 1, 3), ("x", 3, 4), ("y", 1, 2), ("y", 2, 3)]
+    found = topology.transitivity(spark.createDataFrame(rows, "layer string, a long, b long"))
+    assert sorted(tuple(r) for r in found.collect()) == [("x", 1, 0.6), ("y", 0, 0.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array(u" not in plan  # three rows for each triangle
