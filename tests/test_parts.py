@@ -1,8 +1,10 @@
 """Steps that do a bounded part of the work in a task each, against the plain way."""
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,19 @@ def test_triangles_are_counted_without_their_nodes(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("x", 1, 0.6), ("y", 0, 0.0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array(u" not in plan  # three rows for each triangle
+
+
+def test_runs_of_one_component_are_walked_by_many_tasks(spark):
+    edges = spark.createDataFrame([("x", k, k + 1) for k in range(30)], "layer string, a long, b long")
+    split = parts.cut(edges)
+    starts = spark.createDataFrame([(k, 3 * k, 1.0) for k in range(8)], "g long, node long, p0 double")
+    starts = starts.select(*propagate._row(propagate.START, "node", run="g", p="p0")).withColumn("until", F.lit(1))
+    near = propagate._lists(parts.inside(split, edges.select(*propagate._row(0, "a", "b")), "a"), "part", "layer")
+
+    def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = propagate._Part(batches, np.ones((1, 1)))
+        yield pa.RecordBatch.from_pydict({"runs": [len(part.runs)], "nodes": [len(part.nodes)]})
+
+    found = propagate._dealt(near, split, starts).applyInArrow(work, "runs long, nodes long").collect()
+    assert len(found) == 4 and {(r.runs, r.nodes) for r in found} == {(2, 31)}  # four cores
+    assert near.count() == 1  # a part's links are a few rows
